@@ -57,20 +57,21 @@ def phrase_hits(words: Column, phrases: Sequence[str]) -> Column:
     return total
 
 
-def term_runs(sorted_words: Column) -> Column:
-    """``array<struct<n, term>>`` of a sorted word array.
+def run_starts(sorted_words: Column) -> Column:
+    """Positions (from 1) at which a new word starts in a sorted word array.
 
-    Equal words are neighbours after sorting, so the distance between run starts is the count. Give a
-    plain column, not the sorting expression: lambdas evaluate what is inside them per element.
+    Give a plain column, not the sorting expression: lambdas evaluate what is inside them per element.
     """
     size = F.size(sorted_words)
-    starts = F.filter(
-        F.sequence(F.lit(1), size),
-        lambda i: (i == 1) | (F.get(sorted_words, i - 1) != F.get(sorted_words, i - 2)))
-    ends = F.concat(F.slice(starts, F.lit(2), size), F.array(size + 1))
-    runs = F.zip_with(starts, ends, lambda start, end: F.struct(
-        (end - start).alias("n"), F.get(sorted_words, start - 1).alias("term")))
-    return F.when(size > 0, runs).otherwise(F.array().cast("array<struct<n:int,term:string>>"))
+    positions = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    return F.filter(positions, lambda i: (i == 1) | (F.get(sorted_words, i - 1) != F.get(sorted_words, i - 2)))
+
+
+def term_runs(sorted_words: Column, starts: Column) -> Column:
+    """``array<struct<n, term>>``: equal words are neighbours, so the distance of run starts is the count."""
+    ends = F.concat(F.slice(starts, 2, F.size(sorted_words)), F.array(F.size(sorted_words) + 1))
+    return F.filter(F.zip_with(starts, ends, lambda start, end: F.struct(
+        (end - start).alias("n"), F.get(sorted_words, start - 1).alias("term"))), lambda r: r["n"].isNotNull())
 
 
 def years_of_experience(clean: Column) -> Column:

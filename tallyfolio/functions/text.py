@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 TAG = r"<[^>]*>"
 URL = r"https?://[a-z$-_!]+"
 NOT_KEPT = r"[^a-zA-Z0-9 ]"
-SCORE = r"(?<![\p{L}\p{N}_])\p{Nd}{2}(?![\p{L}\p{N}_])"
-SCORE_FULL_RANGE = r"(?<![\p{L}\p{N}_])(?:100|\p{Nd}{1,2})(?![\p{L}\p{N}_])"
+SCORE = r"\p{Nd}{2}"
+SCORE_FULL_RANGE = r"100|\p{Nd}{1,2}"
+WORD = r"\p{L}\p{N}_"
 NO_SCORE = "0"
 
 
@@ -47,19 +48,24 @@ def clean_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(strip_urls(strip_tags(text)), "[^a-zA-Z0-9]+", " "))
 
 
+def _first_number(reply: Column, number: str) -> Column:
+    # The character before the number is matched, not looked back at: Java's look-behind takes half of a
+    # character outside the basic plane, and its \b has another idea of a word than Unicode's letters and numbers.
+    found = F.regexp_extract(reply, f"(?:^|[^{WORD}])({number})(?![{WORD}])", 1)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit(NO_SCORE))
+
+
 def parse_score(reply: Column) -> Column:
     """First stand-alone two-digit number of a reply as text, ``"0"`` where there is none.
 
     A reply of ``100`` has no two-digit number and therefore gives ``"0"``; see
     :func:`parse_score_full_range` for the variant that reads 0 to 100.
     """
-    found = F.regexp_extract(reply, SCORE, 0)
-    return F.coalesce(F.nullif(found, F.lit("")), F.lit(NO_SCORE))
+    return _first_number(reply, SCORE)
 
 
 def parse_score_full_range(reply: Column) -> Column:
-    found = F.regexp_extract(reply, SCORE_FULL_RANGE, 0)
-    return F.coalesce(F.nullif(found, F.lit("")), F.lit(NO_SCORE))
+    return _first_number(reply, SCORE_FULL_RANGE)
 
 
 def score_int(score: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfolio.functions import evidence as ev
 from tallyfolio.functions.text import clean_text
-from tallyfolio.operators.rubric import POINTS
+from tallyfolio.operators.rubric import criteria, points_of
 
 
 def job_terms(jobs: DataFrame, min_chars: int = 4, critical_chars: int = 8) -> DataFrame:
@@ -29,7 +29,8 @@ def term_frequency(documents: DataFrame, key: str, text: str, top: int | None =
     All of it happens inside the row, so there is no shuffle, whatever the number of words.
     """
     words = documents.select(key, F.array_sort(ev.tokens(clean_text(F.col(text)))).alias("words"))
-    runs = words.select(key, ev.term_runs(F.col("words")).alias("runs"))
+    starts = words.select(key, "words", ev.run_starts(F.col("words")).alias("starts"))
+    runs = starts.select(key, ev.term_runs(F.col("words"), F.col("starts")).alias("runs"))
     ranked = F.array_sort(F.transform("runs", lambda r: F.struct((-r["n"]).alias("minus"), r["term"].alias("term"))))
     if top is not None:
         ranked = F.slice(ranked, 1, top)
@@ -75,8 +76,6 @@ def rubric_levels(documents: DataFrame, keep: Sequence[str], action_words: Seque
     return counted.select(*keep, *[level.cast("int").alias(f"level_{c}") for c, level in levels.items()])
 
 
-def ratings_of(levels: DataFrame, key: str) -> DataFrame:
-    """The levels as ``(key, criterion, level)`` rows of a rating table."""
-    criteria = [criterion for section in POINTS.values() for criterion in section]
-    pairs = F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(f"`level_{c}`").alias("level")) for c in criteria])
-    return levels.select(key, F.inline(pairs))
+def level_total(levels: DataFrame) -> DataFrame:
+    """Add ``total``: the points of a row's own level columns, without a join or a rating table."""
+    return levels.withColumn("total", points_of({c: F.col(f"`level_{c}`") for c in criteria()}))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfolio.operators.merge import WIDE_BYTES, mark_picked
 from tallyfolio.schemas import MAX_NAME_CHARS, RESULTS
+from tallyfolio.workspace import lookup_join
 
 NAME_TOO_LONG = "name_too_long"
 DUPLICATE_KEY = "duplicate_key"
@@ -19,23 +21,16 @@ def new_results(documents: DataFrame, *keep: str) -> DataFrame:
 
 
 def mark_rejects(rows: DataFrame, order: list[str], key: str = "unique_id",
-                 name: str = "resume_name") -> DataFrame:
+                 name: str = "resume_name", wide_bytes: int = WIDE_BYTES) -> DataFrame:
     """Add ``reason``: NULL for a row the table accepts.
 
     A name over the column's length is rejected; of the remaining rows with one key the first in ``order``
-    (unique within a key) is accepted. The first ones are found from narrow columns; rows meet them on key
-    and order value together, so a key with very many rows is spread over all tasks.
+    (unique within a key) is accepted.
     """
-    value = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    too_long = F.length(name) > MAX_NAME_CHARS
-    first = (rows.filter(~too_long).groupBy(key).agg(F.min(value).alias("_order"))
-             .withColumn("_first", F.lit(True)))
-    reason = (F.when(too_long, F.lit(NAME_TOO_LONG))
-              .when(F.col("_first").isNull(), F.lit(DUPLICATE_KEY)))
-    return (rows.withColumn("_order", value)
-            .join(first.hint("shuffle_hash"), [key, "_order"], "left")
-            .withColumn("reason", reason)
-            .drop("_order", "_first"))
+    fits = F.length(name) <= MAX_NAME_CHARS
+    marked = mark_picked(rows, [key], order, F.min, fits, "_first", wide_bytes)
+    reason = F.when(~fits, F.lit(NAME_TOO_LONG)).when(~F.col("_first"), F.lit(DUPLICATE_KEY))
+    return marked.withColumn("reason", reason).drop("_first")
 
 
 def accepted(marked: DataFrame) -> DataFrame:
@@ -53,7 +48,7 @@ def apply_updates(rows: DataFrame, updates: DataFrame, key: str = "unique_id") -
     """
     new = updates.select(key, F.col("resume_key_aspect").alias("_aspect"), F.col("score").alias("_score"),
                          F.lit(True).alias("_hit"))
-    joined = rows.join(new.hint("shuffle_hash"), key, "left")
+    joined = lookup_join(rows, new, [key])
     return joined.select(
         *[c for c in rows.columns if c not in ("resume_key_aspect", "score")],
         F.when(F.col("_hit"), F.col("_aspect")).otherwise(F.col("resume_key_aspect")).alias("resume_key_aspect"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfolio.schemas import RUBRIC
@@ -23,6 +25,20 @@ def rubric_rows() -> list[tuple[str, str, int, int]]:
             for level, points in enumerate(ladder, start=1)]
 
 
+def criteria() -> dict[str, list[int]]:
+    """Point ladder by criterion."""
+    return {criterion: ladder for section in POINTS.values() for criterion, ladder in section.items()}
+
+
+def points_of(levels: Mapping[str, Column]) -> Column:
+    """Total of one row from its level columns by criterion; an unknown level counts 0."""
+    total = F.lit(UNSCORABLE)
+    for criterion, level in levels.items():
+        ladder = F.array(*[F.lit(points) for points in criteria()[criterion]])
+        total = total + F.coalesce(F.get(ladder, level - 1), F.lit(0))
+    return total
+
+
 def section_max(section: str) -> int:
     return sum(ladder[0] for ladder in POINTS[section].values())
 

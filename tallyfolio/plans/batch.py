@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.prompts import JOB_PROMPT, RESUME_PROMPT, SCORE_PROMPT, Prompt
-from tallyfolio.functions.text import clean_text, parse_score, score_int
+from tallyfolio.functions.text import NO_SCORE, clean_text, parse_score, score_int
 from tallyfolio.operators.inference import ModelFactory, requests, require_all, run_stage
 from tallyfolio.operators.jobs import attach_jobs
 from tallyfolio.operators.merge import final_record, last_write_wins
@@ -18,7 +18,7 @@ from tallyfolio.sources.decoders import Decoder
 from tallyfolio.sources.intake import OK, read_documents
 from tallyfolio.sources.raw_files import put_raw
 from tallyfolio.sources.results_table import ResultsTable
-from tallyfolio.workspace import materialize
+from tallyfolio.workspace import lookup_join, materialize
 
 
 @dataclass
@@ -71,11 +71,11 @@ def two_stages(documents: DataFrame, features: DataFrame, models: Models,
     """``(unique_id, key_aspects, score_reply)`` of the documents; only ids and replies move between stages."""
     tables = tables or {}
     extracted = key_aspects(documents, models, tables.get("resume"))
-    aspects = (documents.select("unique_id", "request_id")
-               .join(extracted.select("unique_id", F.col("reply").alias("key_aspects")), "unique_id", "left"))
+    found = extracted.select("unique_id", F.col("reply").alias("key_aspects"))
+    aspects = materialize(lookup_join(documents.select("unique_id", "request_id"), found, ["unique_id"]), "aspects")
     scored = score_replies(aspects, features, models, tables.get("score"))
-    return aspects.select("unique_id", "key_aspects").join(
-        scored.select("unique_id", F.col("reply").alias("score_reply")), "unique_id", "left")
+    return lookup_join(aspects.select("unique_id", "key_aspects"),
+                       scored.select("unique_id", F.col("reply").alias("score_reply")), ["unique_id"])
 
 
 def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: ResultsTable, load_id: str,
@@ -89,21 +89,20 @@ def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: Resu
     written; everything after that reads the written columns it needs.
     """
     tables = tables or {}
-    features = job_features(jobs, models, tables.get("job"))
+    features = materialize(job_features(jobs, models, tables.get("job")), "features")
     documents = materialize(read_documents(files, decoders), "documents").filter(F.col("status") == OK)
     if raw_path is not None:
         put_raw(documents.select("file_path", F.col("raw").alias("content")), raw_path, raw_digits)
-    results.insert(load_id, accepted(mark_rejects(new_results(documents, "source_seq", "member"),
-                                                  ["source_seq", "member"])))
-    latest = materialize(
-        last_write_wins(documents.select("request_id", "source_seq", "member", "unique_id", "name", "content",
-                                         "file_path"),
-                        ["request_id", "name"], ["source_seq", "member", "unique_id"]), "latest")
+    fresh = new_results(documents, "source_seq", "member")
+    results.insert(load_id, accepted(mark_rejects(fresh, ["source_seq", "member"])))
+    text = documents.select("request_id", "source_seq", "member", "unique_id", "name", "content", "file_path")
+    latest = last_write_wins(text, ["request_id", "name"], ["source_seq", "member", "unique_id"])
     outcome = materialize(two_stages(latest, features, models, tables), "outcome")
     results.update(load_id, outcome.select(
         "unique_id",
         clean_text(F.coalesce("key_aspects", F.lit(""))).alias("resume_key_aspect"),
-        score_int(F.coalesce(parse_score(F.col("score_reply")), F.lit("0"))).alias("score")))
-    answered = latest.join(outcome, "unique_id", "left")
+        score_int(F.coalesce(parse_score(F.col("score_reply")), F.lit(NO_SCORE))).alias("score")))
+    # Exactly the latest documents have an outcome, so this join also picks them.
+    answered = lookup_join(text, outcome, ["unique_id"], "inner")
     return answered.select("request_id", "unique_id", *final_record(
         F.col("name"), F.col("content"), F.col("file_path"), F.col("key_aspects"), F.col("score_reply")))

@@ -26,7 +26,7 @@ _SQL_RUBRIC = ("(VALUES " + ", ".join(f"('{s}', '{c}', {level}, {points})" for s
 
 def _ratings(spark, sf_dir):
     """Ratings derived from the documents; short ones have none and count as unscorable."""
-    criteria = [(c, len(ladder)) for section in rubric.POINTS.values() for c, ladder in section.items()]
+    criteria = [(c, len(ladder)) for c, ladder in rubric.criteria().items()]
     pairs = F.array(*[F.struct(F.lit(c).alias("criterion"),
                                (F.pmod(F.col("doc_id") + step, F.lit(n)) + 1).cast("int").alias("level"))
                       for step, (c, n) in enumerate(criteria)])
@@ -154,5 +154,4 @@ _SQL_LEVELS = f"""SELECT doc_id, {_sql_share("found", "wanted", [0.5, 0.25])} AS
     AS total FROM ({_SQL_LEVELS})""")
 def evidence_score(spark, sf_dir):
     levels = evidence.rubric_levels(_with_job_terms(spark, sf_dir), ["doc_id"], ACTION_WORDS, SOFT_SKILLS, DEGREES)
-    ids = table(spark, sf_dir, "documents").select("doc_id")
-    return rubric.rubric_total(ids, evidence.ratings_of(levels, "doc_id"), "doc_id")
+    return evidence.level_total(levels).select("doc_id", "total")

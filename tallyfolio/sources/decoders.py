@@ -92,5 +92,5 @@ def decode_with(route: Column, content: Column, decoders: Mapping[str, Decoder])
 
     if not table:
         return F.lit(None).cast("struct<text:string,error:string>")
-    udf = F.pandas_udf(decode, "text string, error string", F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(decode, "text string, error string")
     return udf(route, F.when(route.isin(list(table)), content))

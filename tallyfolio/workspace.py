@@ -18,14 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     Where it is unset a local session gets a temporary folder; a cluster session is refused, because
     a folder of one machine would be lost with that machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -54,6 +53,21 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return seen.n <= max_rows and (seen.b or 0) <= max_bytes
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``; used to choose a strategy, never to prove a bound."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def lookup_join(wide: DataFrame, narrow: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join wide rows with a narrow side that is unique in ``on``.
+
+    A narrow side that a probe shows to be small is broadcast and the wide rows stay where they are. Beyond
+    that both sides are shuffled and the narrow one is hashed, so that wide rows are never sorted.
+    """
+    side = F.broadcast(narrow) if fits_broadcast(narrow) else narrow.hint("shuffle_hash")
+    return wide.join(side, on, how)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_on: list[str],
                 salts: int = 32, how: str = "left") -> DataFrame:
     """Equi-join that splits every key of ``big`` over ``salts`` tasks.
@@ -74,7 +88,6 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * (128 << 20):
+    if estimated_bytes(df) >= cores * (128 << 20):
         return df
     return df.repartition(cores, key)

@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_of
+from tallyfolio.functions.naming import make_id, stored_key
+from tallyfolio.schemas import RESULTS
+from tallyfolio.sources.raw_files import get_raw, get_raw_many, put_raw
+from tallyfolio.sources.results_table import ResultsTable
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return ResultsTable(spark, f"results_{uuid.uuid4().hex}", str(tmp_path / "results"))
+
+
+def rows(spark, *values):
+    return spark.createDataFrame([(key, f"{key}.txt", f"text {key}", None, None) for key in values], RESULTS)
+
+
+def updates(spark, *values):
+    return spark.createDataFrame(list(values), "unique_id string, resume_key_aspect string, score int")
+
+
+def state(frame):
+    return {r.unique_id: (r.resume_key_aspect, r.score) for r in frame.collect()}
+
+
+def test_schema_and_create_if_missing(spark, table):
+    table.insert("l1", rows(spark, "a"))
+    again = ResultsTable(spark, table.name, table.location)
+    fields = {f.name: f.dataType for f in again.read().schema}
+    assert fields == {**{f.name: f.dataType for f in RESULTS}, "load_id": fields["load_id"]}
+    assert state(again.read()) == {"a": (None, None)}
+
+
+def test_loads_are_independent_and_repeatable(spark, table):
+    table.insert("l1", rows(spark, "a", "b"))
+    table.insert("l2", rows(spark, "c"))
+    table.insert("l2", rows(spark, "c"))
+    assert state(table.read()) == {"a": (None, None), "b": (None, None), "c": (None, None)}
+    table.update("l1", updates(spark, ("a", "x", 85), ("c", "not in this load", 1)))
+    assert state(table.read()) == {"a": ("x", 85), "b": (None, None), "c": (None, None)}
+    table.update("l1", updates(spark, ("b", "y", 10), ("a", None, None)))
+    assert state(table.read()) == {"a": (None, None), "b": ("y", 10), "c": (None, None)}
+
+
+def test_a_failed_load_changes_nothing(spark, table):
+    table.insert("l1", rows(spark, "a"))
+    broken = rows(spark, "b").withColumn("score", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        table.insert("l1", broken)
+    assert state(table.read()) == {"a": (None, None)}
+
+
+def test_update_reads_its_own_load_only(spark, table):
+    table.insert("l1", rows(spark, "a"))
+    table.insert("l2", rows(spark, "b"))
+    plan = plan_of(table.load("l2"))
+    assert "PartitionFilters: [isnotnull(load_id" in plan
+
+
+@pytest.mark.parametrize("load_id", ["a'b", "", "a/b", "a b"])
+def test_load_ids_are_checked(spark, table, load_id):
+    with pytest.raises(ValueError):
+        table.insert(load_id, rows(spark, "a"))
+
+
+@pytest.fixture(scope="module")
+def raw(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("raw") / "table")
+    files = spark.range(500).select(
+        stored_key(make_id(F.col("id")), F.concat(F.lit("f"), "id", F.lit(".pdf"))).alias("file_path"),
+        F.concat(F.lit("content "), "id").cast("binary").alias("content"))
+    put_raw(files, path, digits=1)
+    return path, {r.file_path: r.content for r in files.collect()}
+
+
+def test_raw_files_come_back_by_key(spark, raw):
+    path, files = raw
+    key = sorted(files)[137]
+    got = get_raw(spark, path, key, digits=1)
+    assert [(r.file_path, bytes(r.content)) for r in got.collect()] == [(key, files[key])]
+    assert get_raw(spark, path, "0" * 36 + "_none.pdf", digits=1).count() == 0
+
+
+def test_raw_get_reads_one_shard_with_a_pushed_filter(spark, raw):
+    path, files = raw
+    key = next(k for k in files if k[0].isdigit())
+    got = get_raw(spark, path, key, digits=1)
+    formatted = got._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(file_path), EqualTo(file_path," in formatted
+    assert "PartitionFilters: [isnotnull(shard" in formatted
+    assert got.count() == 1
+
+
+def test_many_raw_files(spark, raw):
+    path, files = raw
+    wanted = sorted(files)[::7]
+    keys = spark.createDataFrame([(k,) for k in [*wanted, wanted[0], "unknown_key"]], "file_path string")
+    got = {r.file_path: bytes(r.content) for r in get_raw_many(spark, path, keys, digits=1).collect()}
+    assert got == {k: files[k] for k in wanted}
+
+
+def test_puts_append(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    for number in range(2):
+        put_raw(spark.createDataFrame([(f"{number}f_x", b"c")], "file_path string, content binary"), path, digits=1)
+    assert get_raw(spark, path, "0f_x", 1).count() == get_raw(spark, path, "1f_x", 1).count() == 1
