@@ -83,15 +83,15 @@ def call_model(calls: DataFrame, model: ModelFactory, batch_size: int = 1,
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch.iloc[start:start + batch_size]
-                answers = _answer(call, part["request"].tolist())
-                yield pd.DataFrame({
-                    "unique_id": part["unique_id"].tolist(),
-                    "call_key": part["call_key"].tolist(),
-                    "body": pd.Series([body for body, _ in answers], dtype=object),
-                    "error": pd.Series([error for _, error in answers], dtype=object),
-                })
+            bodies = batch["request"].tolist()
+            answers = [answer for start in range(0, len(bodies), batch_size)
+                       for answer in _answer(call, bodies[start:start + batch_size])]
+            yield pd.DataFrame({
+                "unique_id": batch["unique_id"],
+                "call_key": batch["call_key"],
+                "body": pd.Series([body for body, _ in answers], dtype=object),
+                "error": pd.Series([error for _, error in answers], dtype=object),
+            })
 
     return narrow.mapInPandas(ask, STAGE_REPLIES)
 

@@ -18,7 +18,7 @@ from tallyfolio.sources.decoders import Decoder
 from tallyfolio.sources.intake import OK, read_documents
 from tallyfolio.sources.raw_files import put_raw
 from tallyfolio.sources.results_table import ResultsTable
-from tallyfolio.workspace import lookup_join, materialize
+from tallyfolio.workspace import lookup_join, materialize, spread_small
 
 
 @dataclass
@@ -48,8 +48,9 @@ def job_features(jobs: DataFrame, models: Models, table: str | None = None) -> D
 
 def key_aspects(documents: DataFrame, models: Models, table: str | None = None) -> DataFrame:
     """``(unique_id, reply, error)``: one call per document, failures isolated."""
+    rows = spread_small(documents.select("unique_id", "content"), "unique_id")
     prompt = models.resume_prompt.render(resume_text=F.col("content"))
-    return run_stage(requests(documents, prompt, **models.parameters), models.resume, table,
+    return run_stage(requests(rows, prompt, **models.parameters), models.resume, table,
                      models.batch_size, models.parallelism)
 
 
@@ -59,7 +60,7 @@ def score_replies(aspects: DataFrame, features: DataFrame, models: Models, table
     The raw key aspects and raw job features go into the prompt; a document whose extraction failed is
     scored on empty text.
     """
-    rows = attach_jobs(aspects, features)
+    rows = attach_jobs(spread_small(aspects, "unique_id"), features)
     prompt = models.score_prompt.render(resume_text=F.coalesce(F.col("key_aspects"), F.lit("")),
                                         job_description=F.col("job_features"))
     return run_stage(requests(rows, prompt, **models.parameters), models.score, table,

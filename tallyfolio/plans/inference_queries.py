@@ -13,6 +13,7 @@ from tallyfolio.plans import batch, sql
 from tallyfolio.plans.registry import query
 from tallyfolio.plans.samples import documents, jobs, resumes, table
 from tallyfolio.plans.stubs import stub_models
+from tallyfolio.workspace import lookup_join, materialize, new_folder
 
 _SQL_JD_PROMPT = sql.render(prompts.JOB_PROMPT, job_description_text="text")
 _SQL_RESUME_PROMPT = sql.render(prompts.RESUME_PROMPT, resume_text="text")
@@ -99,7 +100,6 @@ def stage_score(spark, sf_dir):
 @query("stage_reuse", f"""SELECT {sql.RESUME_ID} AS unique_id, {_sql_aspects("text")} AS reply FROM documents""")
 def stage_reuse(spark, sf_dir):
     """A stage table that already holds a part of the calls: the second run asks for the rest only."""
-    from tallyfolio.workspace import new_folder
     rows = resumes(spark, sf_dir)
     prompt = prompts.RESUME_PROMPT.render(resume_text=F.col("content"))
     models, stage = stub_models(), new_folder(spark, "stage")
@@ -122,10 +122,9 @@ FROM scored"""
 def score_two_stages(spark, sf_dir):
     """Job features, key aspects, scores and the final record of all resumes."""
     models = stub_models()
-    rows = resumes(spark, sf_dir)
-    cleaned = rows.withColumn("content", clean_text(F.col("content")))
+    cleaned = materialize(resumes(spark, sf_dir).withColumn("content", clean_text(F.col("content"))), "cleaned")
     outcome = batch.two_stages(cleaned, batch.job_features(jobs(spark, sf_dir), models), models)
-    answered = cleaned.join(outcome, "unique_id", "left")
+    answered = lookup_join(cleaned, outcome, ["unique_id"])
     return answered.select("unique_id", *final_record(
         F.col("name"), F.col("content"), F.concat_ws("_", "unique_id", "name"), F.col("key_aspects"),
         F.col("score_reply")))
