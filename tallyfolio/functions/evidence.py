@@ -17,7 +17,7 @@ from tallyfolio.functions.text import clean_text
 
 def tokens(clean: Column) -> Column:
     """Lower-case words of cleaned text; empty text has no words."""
-    return F.filter(F.split(F.lower(clean), " "), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(clean), " "), "")
 
 
 def terms_of(text: Column, min_chars: int = 1) -> Column:
@@ -46,15 +46,23 @@ def matched(words: Column, terms: Column) -> Column:
     return F.array_intersect(words, terms)
 
 
-def phrase_hits(words: Column, phrases: Sequence[str]) -> Column:
-    """How many phrases of a fixed list occur as whole words, grouped by their number of words."""
-    by_length: dict[int, list[str]] = {}
-    for phrase in dict.fromkeys(phrases):
-        by_length.setdefault(len(phrase.split(" ")), []).append(phrase)
-    total = F.lit(0)
-    for n, same_length in sorted(by_length.items()):
-        total = total + F.size(matched(grams(words, n), F.array(*[F.lit(p) for p in same_length])))
-    return total
+def phrase_hits(clean: Column, phrases: Sequence[str], few: int = 100) -> Column:
+    """How many phrases of a fixed list (lower-case, cleaned) occur in a cleaned text as whole words.
+
+    A few phrases are searched one by one. Of a long list the phrases of equal word count are intersected
+    with all word runs of that length, so the work does not grow with the list.
+    """
+    distinct = list(dict.fromkeys(phrases))
+    if len(distinct) <= few:
+        padded = F.concat(F.lit(" "), F.lower(clean), F.lit(" "))
+        hits = [F.contains(padded, F.lit(f" {phrase} ")).cast("int") for phrase in distinct]
+    else:
+        by_length: dict[int, list[str]] = {}
+        for phrase in distinct:
+            by_length.setdefault(len(phrase.split(" ")), []).append(phrase)
+        hits = [F.size(matched(grams(tokens(clean), n), F.array(*[F.lit(p) for p in same])))
+                for n, same in sorted(by_length.items())]
+    return sum(hits[1:], hits[0]) if hits else F.lit(0)
 
 
 def run_starts(sorted_words: Column) -> Column:

@@ -28,10 +28,10 @@ def term_frequency(documents: DataFrame, key: str, text: str, top: int | None =
 
     All of it happens inside the row, so there is no shuffle, whatever the number of words.
     """
-    words = documents.select(key, F.array_sort(ev.tokens(clean_text(F.col(text)))).alias("words"))
+    words = documents.select(key, F.sort_array(ev.tokens(clean_text(F.col(text)))).alias("words"))
     starts = words.select(key, "words", ev.run_starts(F.col("words")).alias("starts"))
     runs = starts.select(key, ev.term_runs(F.col("words"), F.col("starts")).alias("runs"))
-    ranked = F.array_sort(F.transform("runs", lambda r: F.struct((-r["n"]).alias("minus"), r["term"].alias("term"))))
+    ranked = F.sort_array(F.transform("runs", lambda r: F.struct((-r["n"]).alias("minus"), r["term"].alias("term"))))
     if top is not None:
         ranked = F.slice(ranked, 1, top)
     return (runs.select(key, F.explode(ranked).alias("r"))

@@ -13,9 +13,9 @@ from tallyfolio.functions.text import NO_SCORE, clean_text, parse_score, score_i
 from tallyfolio.operators.inference import ModelFactory, requests, require_all, run_stage
 from tallyfolio.operators.jobs import attach_jobs
 from tallyfolio.operators.merge import final_record, last_write_wins
-from tallyfolio.operators.results import accepted, mark_rejects, new_results
+from tallyfolio.operators.results import accepted, mark_rejects, new_results, rejected
 from tallyfolio.sources.decoders import Decoder
-from tallyfolio.sources.intake import OK, read_documents
+from tallyfolio.sources.intake import OK, decode_files, identify_files, storable
 from tallyfolio.sources.raw_files import put_raw
 from tallyfolio.sources.results_table import ResultsTable
 from tallyfolio.workspace import lookup_join, materialize, spread_small
@@ -86,24 +86,32 @@ def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: Resu
 
     ``files`` is ``(request_id, source_seq, name, content)``, ``jobs`` is ``(request_id, jd_text)``. Returns
     ``(request_id, unique_id, name, content, file_path, key_feature, score)`` of the last file of each
-    name; the earlier ones stay in the results table without a score. Documents are decoded once and
-    written; everything after that reads the written columns it needs.
+    name; the earlier ones stay in the results table without a score. What cannot be read or inserted goes
+    to the quarantine of the load with a reason. Documents are decoded once and written; everything after
+    that reads the written columns it needs. Running a load again replaces it.
     """
     tables = tables or {}
     features = materialize(job_features(jobs, models, tables.get("job")), "features")
-    documents = materialize(read_documents(files, decoders), "documents").filter(F.col("status") == OK)
+    identified = identify_files(files)
     if raw_path is not None:
-        put_raw(documents.select("file_path", F.col("raw").alias("content")), raw_path, raw_digits)
-    fresh = new_results(documents, "source_seq", "member")
-    results.insert(load_id, accepted(mark_rejects(fresh, ["source_seq", "member"])))
-    text = documents.select("request_id", "source_seq", "member", "unique_id", "name", "content", "file_path")
-    latest = last_write_wins(text, ["request_id", "name"], ["source_seq", "member", "unique_id"])
+        put_raw(storable(identified), raw_path, load_id, raw_digits)
+    decoded = materialize(decode_files(identified, decoders), "documents")
+    documents = decoded.filter(F.col("status") == OK).drop("status", "error")
+
+    marked = mark_rejects(new_results(documents, "source_seq", "member"), ["source_seq", "member"])
+    results.insert(load_id, accepted(marked))
+    unread = decoded.filter(F.col("status") != OK).select("unique_id", "name", F.col("status").alias("reason"), "error")
+    refused = rejected(marked).select("unique_id", F.col("resume_name").alias("name"), "reason",
+                                      F.lit(None).cast("string").alias("error"))
+    results.quarantine(load_id, unread.unionByName(refused))
+
+    latest = last_write_wins(documents, ["request_id", "name"], ["source_seq", "member", "unique_id"])
     outcome = materialize(two_stages(latest, features, models, tables), "outcome")
     results.update(load_id, outcome.select(
         "unique_id",
         clean_text(F.coalesce("key_aspects", F.lit(""))).alias("resume_key_aspect"),
         score_int(F.coalesce(parse_score(F.col("score_reply")), F.lit(NO_SCORE))).alias("score")))
     # Exactly the latest documents have an outcome, so this join also picks them.
-    answered = lookup_join(text, outcome, ["unique_id"], "inner")
+    answered = lookup_join(documents, outcome, ["unique_id"], "inner")
     return answered.select("request_id", "unique_id", *final_record(
         F.col("name"), F.col("content"), F.col("file_path"), F.col("key_aspects"), F.col("score_reply")))

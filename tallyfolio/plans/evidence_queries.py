@@ -88,7 +88,7 @@ def evidence_keywords(spark, sf_dir):
     f"CAST(contains(' ' || lower(clean) || ' ', ' {p} ') AS INTEGER)" for p in PHRASES)
     + f" AS phrases FROM ({_sql_words()})")
 def evidence_phrases(spark, sf_dir):
-    return _words(spark, sf_dir).select("doc_id", ev.phrase_hits(F.col("words"), PHRASES).alias("phrases"))
+    return _words(spark, sf_dir).select("doc_id", ev.phrase_hits(F.col("clean"), PHRASES).alias("phrases"))
 
 
 @query("evidence_term_freq", f"""SELECT doc_id, term, CAST(n AS INTEGER) AS n FROM

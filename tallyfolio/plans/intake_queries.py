@@ -27,7 +27,8 @@ from tallyfolio.workspace import new_folder
 def src_files(spark, sf_dir):
     """The table files themselves as a folder of named files: no file missing, no content read."""
     listing = list_folders(spark, [sf_dir])
-    return read_folder(spark, sf_dir, listing).select("name", "route", "length", "status")
+    return read_folder(spark, sf_dir, listing).select(
+        "name", "is_archive", "length", "status")
 
 
 def _packed(spark, sf_dir, pack, name: str):

@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyfolio.functions.naming import stored_key
+from tallyfolio.functions.naming import make_id, stored_key
 from tallyfolio.operators import results
 from tallyfolio.plans import sql
 from tallyfolio.plans.registry import query
 from tallyfolio.plans.samples import documents, resumes, table
-from tallyfolio.sources.raw_files import get_raw, get_raw_many, put_raw
+from tallyfolio.sources.raw_files import get_data_url, get_raw, get_raw_many, put_raw
 from tallyfolio.sources.results_table import ResultsTable
 from tallyfolio.workspace import new_folder
 
@@ -54,7 +54,6 @@ _SQL_CANDIDATES = f"""SELECT doc_id, {sql.make_id("source", "doc_id // 3")} AS u
     WHEN first.doc_id IS NULL THEN 'duplicate_key' END AS reason
   FROM c LEFT JOIN first ON c.unique_id = first.unique_id AND c.doc_id = first.doc_id""")
 def results_reject(spark, sf_dir):
-    from tallyfolio.functions.naming import make_id
     rows = table(spark, sf_dir, "documents").select(
         "doc_id", make_id(F.col("source"), F.floor(F.col("doc_id") / 3)).alias("unique_id"),
         F.concat("source", F.repeat(F.lit("n"), (F.col("n_chars") % 120).cast("int"))).alias("resume_name"))
@@ -93,7 +92,7 @@ _SQL_RAW = f"SELECT doc_id, {sql.RESUME_ID} || '_' || {sql.RESUME_NAME} AS file_
 @query("raw_put", f"SELECT file_path, substr(file_path, 1, {_RAW_DIGITS}) AS shard, text FROM ({_SQL_RAW})")
 def raw_put(spark, sf_dir):
     path = new_folder(spark, "raw")
-    put_raw(_raw(spark, sf_dir), path, _RAW_DIGITS)
+    put_raw(_raw(spark, sf_dir), path, "load1", _RAW_DIGITS)
     return (spark.read.schema("file_path string, content binary, shard string").parquet(path)
             .select("file_path", "shard", F.col("content").cast("string").alias("text")))
 
@@ -103,17 +102,28 @@ def raw_get(spark, sf_dir):
     """One file by its exact key, from the table of all raw files."""
     path = new_folder(spark, "raw")
     files = _raw(spark, sf_dir)
-    put_raw(files, path, _RAW_DIGITS)
+    put_raw(files, path, "load1", _RAW_DIGITS)
     key = files.agg(F.max_by("file_path", "source_seq").alias("key")).first().key
     return get_raw(spark, path, key, _RAW_DIGITS).select("file_path", F.col("content").cast("string").alias("text"))
 
 
+@query("raw_get_url", """SELECT 'data:application/pdf;base64,' || base64(encode(text)) AS pdf_url FROM documents
+  WHERE doc_id = (SELECT min(doc_id) FROM documents)""")
+def raw_get_url(spark, sf_dir):
+    """The download: one stored file as a data URL."""
+    path = new_folder(spark, "raw")
+    files = _raw(spark, sf_dir)
+    put_raw(files, path, "load1", _RAW_DIGITS)
+    key = files.agg(F.min_by("file_path", "source_seq").alias("key")).first().key
+    return get_data_url(spark, path, key, _RAW_DIGITS)
+
+
 @query("raw_get_many", f"""SELECT r.file_path, r.text FROM ({_SQL_RAW}) r
   JOIN labels l ON l.doc_id = r.doc_id AND l.quality = 1""")
 def raw_get_many(spark, sf_dir):
     path = new_folder(spark, "raw")
     files = _raw(spark, sf_dir)
-    put_raw(files, path, _RAW_DIGITS)
+    put_raw(files, path, "load1", _RAW_DIGITS)
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("source_seq"))
     keys = files.select("source_seq", "file_path").join(good, "source_seq").select("file_path")
     return get_raw_many(spark, path, keys, _RAW_DIGITS).select(

@@ -28,12 +28,12 @@ def _members(data: bytes) -> Iterator[tuple[int, str, bytes | None, str | None]]
                 yield number, info.filename, None, f"{type(failure).__name__}: {failure}"
 
 
-def expand_archives(archives: DataFrame, keep: list[str], partitions: int | None = None) -> DataFrame:
+def expand_archives(archives: DataFrame, keep: list[str], spread: bool = True) -> DataFrame:
     """One row per member of each archive: ``keep`` columns, archive, member, name, content, error.
 
     An archive that cannot be opened gives one row with an error; a bad member does not affect the others.
-    Members leave the task in chunks of bounded size. Give ``partitions`` to spread the members of a few
-    large archives over the cluster.
+    Members leave the task in chunks of bounded size and, unless ``spread`` is off, are dealt out to all tasks:
+    one archive may hold a large part of all files.
     """
     source = archives.select(*keep, "name", "content")
     kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
@@ -58,6 +58,4 @@ def expand_archives(archives: DataFrame, keep: list[str], partitions: int | None
                 yield pd.DataFrame(rows, columns=columns).astype({"member": "Int32"})
 
     members = source.mapInPandas(expand, schema)
-    if partitions is not None:
-        members = members.repartition(partitions, "archive", "member")
-    return members
+    return members.repartition("archive", "member") if spread else members

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyfolio.functions.naming import ARCHIVE_FORMAT, FORMATS, UNSUPPORTED, route_format
 
 UNREADABLE_NAME = "unreadable_name"
+VANISHED = "vanished"
 
 _LISTING = "name string, length long, source_seq long"
 
@@ -66,32 +67,36 @@ def list_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
-    """Files of a folder: ``(source_seq, name, route, length, content, status)``.
+    """Files of a folder: ``(source_seq, name, is_archive, length, content, status)``.
 
-    ``source_seq`` is the modification time in microseconds: upload order. Contents of unsupported formats
-    are never read. A file scan leaves out empty files and names that start with ``_`` or ``.``; with a
+    ``source_seq`` is the modification time in microseconds: upload order. Readable formats, archives and the
+    rest are three scans by name pattern, so each content is read at most once and those of unsupported
+    formats never. A file scan leaves out empty files and names that start with ``_`` or ``.``; with a
     ``listing`` they come back, the empty ones with empty content and the hidden ones with a status. Only
     names are joined for that; contents are never shuffled.
     """
-    readable = _scan(spark, folder, _glob([*FORMATS, ARCHIVE_FORMAT]))
-    everything = _scan(spark, folder, None)
-    name = _file_name(F.col("path"))
+    name = _file_name(F.col("path")).alias("name")
     seq = F.unix_micros("modificationTime").alias("source_seq")
-    route = route_format(name).alias("route")
-    with_content = readable.select(seq, name.alias("name"), route, "length", "content",
-                                   F.lit(None).cast("string").alias("status"))
-    others = (everything.select(seq, name.alias("name"), route, "length",
-                                F.lit(None).cast("binary").alias("content"),
+    no_status = F.lit(None).cast("string").alias("status")
+    no_content = F.lit(None).cast("binary").alias("content")
+
+    def readable(extensions: list[str], is_archive: bool) -> DataFrame:
+        return _scan(spark, folder, _glob(extensions)).select(
+            seq, name, F.lit(is_archive).alias("is_archive"), "length", "content", no_status)
+
+    everything = _scan(spark, folder, None)
+    others = (everything.select(seq, name, F.lit(False).alias("is_archive"), "length", no_content,
                                 F.lit(UNSUPPORTED).alias("status"))
-              .filter(F.col("route") == UNSUPPORTED))
-    files = with_content.unionByName(others)
+              .filter(route_format(F.col("name")) == UNSUPPORTED))
+    files = readable(FORMATS, False).unionByName(readable([ARCHIVE_FORMAT], True)).unionByName(others)
     if listing is None:
         return files
-    hidden = listing.join(everything.select(name.alias("name")), "name", "left_anti")
-    is_hidden_name = F.substring("name", 1, 1).isin("_", ".")
+    hidden = listing.join(everything.select(name), "name", "left_anti")
+    is_empty = F.col("length") == 0
     extra = hidden.select(
-        "source_seq", "name", route_format(F.col("name")).alias("route"), "length",
-        F.when(F.col("length") == 0, F.lit(b"")).alias("content"),
-        F.when(F.col("length") == 0, F.lit(None))
-        .when(is_hidden_name, F.lit(UNREADABLE_NAME)).otherwise(F.lit("vanished")).alias("status"))
+        "source_seq", "name", (route_format(F.col("name")) == ARCHIVE_FORMAT).alias("is_archive"), "length",
+        F.when(is_empty, F.lit(b"")).alias("content"),
+        F.when(is_empty, F.lit(None))
+        .when(F.substring("name", 1, 1).isin("_", "."), F.lit(UNREADABLE_NAME)).otherwise(F.lit(VANISHED))
+        .alias("status"))
     return files.unionByName(extra)

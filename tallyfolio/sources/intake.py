@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.functions.naming import (ARCHIVE_FORMAT, UNSUPPORTED, make_id, route_format,
+from tallyfolio.functions.naming import (ARCHIVE_FORMAT, FORMATS, UNSUPPORTED, make_id, route_format,
                                          route_format_archive, stored_key)
 from tallyfolio.functions.text import clean_text
 from tallyfolio.sources.archives import expand_archives
@@ -21,38 +21,51 @@ NO_DECODER = "no_decoder"
 LOOSE = -1
 
 
-def route_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Loose files and archive members in one frame, with ``route`` and, where known, ``error``.
+def identify_files(files: DataFrame) -> DataFrame:
+    """Loose files and archive members in one frame, each with route, id and stored key.
 
-    Needs ``(request_id, source_seq, name, content)``; ``status`` is taken over if it is there.
+    Needs ``(request_id, source_seq, name, content)``; ``status``, ``media_type`` and ``is_archive`` are used
+    if they are there.
     """
     if "status" not in files.columns:
         files = files.withColumn("status", F.lit(None).cast("string"))
-    routed = files.withColumn("route", route_format(F.col("name")))
+    media_type = F.col("media_type") if "media_type" in files.columns else None
+    routed = files.withColumn("route", route_format(F.col("name"), media_type))
+    if "is_archive" not in files.columns:
+        routed = routed.withColumn("is_archive", F.col("route") == ARCHIVE_FORMAT)
     none = F.lit(None)
-    loose = routed.filter(F.col("route") != ARCHIVE_FORMAT).select(
+    loose = routed.filter(~F.col("is_archive")).select(
         "request_id", "source_seq", none.cast("string").alias("archive"), F.lit(LOOSE).alias("member"),
         "name", "content", none.cast("string").alias("error"), "route", "status")
-    archives = routed.filter(F.col("route") == ARCHIVE_FORMAT)
-    opened = expand_archives(archives.filter(F.col("status").isNull()), ["request_id", "source_seq"], partitions)
+    archives = routed.filter("is_archive")
+    opened = expand_archives(archives.filter(F.col("status").isNull()), ["request_id", "source_seq"])
     # An archive that could not be opened has no member name; it is reported under its own.
     members = opened.select(
         "request_id", "source_seq", "archive", "member", F.coalesce("name", "archive").alias("name"), "content",
         "error", F.when(F.col("member").isNull(), ARCHIVE_FORMAT)
         .otherwise(route_format_archive(F.col("name"))).alias("route"), none.cast("string").alias("status"))
-    return loose.unionByName(members)
+    hidden = archives.filter(F.col("status").isNotNull()).select(
+        "request_id", "source_seq", none.cast("string").alias("archive"), F.lit(LOOSE).alias("member"),
+        "name", "content", none.cast("string").alias("error"), "route", "status")
+    unique_id = make_id(*[F.col(c) for c in ("request_id", "archive", "member", "name", "source_seq")])
+    return (loose.unionByName(members).unionByName(hidden)
+            .withColumn("unique_id", unique_id)
+            .withColumn("file_path", stored_key(F.col("unique_id"), F.col("name"))))
+
 
+def storable(identified: DataFrame) -> DataFrame:
+    """``(file_path, content)`` of the files that belong in the raw-file table: all of a supported format."""
+    kept = F.col("status").isNull() & F.col("content").isNotNull() & F.col("route").isin(FORMATS)
+    return identified.filter(kept).select("file_path", "content")
 
-def read_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = None,
-                   partitions: int | None = None) -> DataFrame:
-    """Every file with its id, key, cleaned ``content`` and a ``status``; no file is lost.
+
+def decode_files(identified: DataFrame, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
+    """Every file with its cleaned ``content`` and a ``status``; no file is lost.
 
     A file that cannot be read has NULL content and an error: the error text is not taken for the content.
-    ``raw`` holds the bytes for the raw-file table.
     """
     table = default_decoders() if decoders is None else dict(decoders)
-    routed = route_files(files, partitions)
-    decoded = routed.withColumn("decoded", decode_with(F.col("route"), F.col("content"), table))
+    decoded = identified.withColumn("decoded", decode_with(F.col("route"), F.col("content"), table))
     is_text = F.col("route") == "txt"
     text = F.when(is_text, decode_text(F.col("content"))).otherwise(F.col("decoded.text"))
     error = F.coalesce(F.col("error"), F.col("decoded.error"),
@@ -62,10 +75,10 @@ def read_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = No
               .when(error.isNotNull(), F.lit(UNREADABLE))
               .when(~F.col("route").isin("txt", *table), F.lit(NO_DECODER))
               .otherwise(F.lit(OK)))
-    unique_id = make_id(*[F.col(c) for c in ("request_id", "archive", "member", "name", "source_seq")])
-    return (decoded
-            .withColumn("unique_id", unique_id)
-            .select("request_id", "source_seq", "archive", "member", "unique_id", "name", "route",
-                    stored_key(F.col("unique_id"), F.col("name")).alias("file_path"),
-                    F.col("content").alias("raw"), clean_text(text).alias("content"),
-                    status.alias("status"), error.alias("error")))
+    return decoded.select("request_id", "source_seq", "archive", "member", "unique_id", "name", "route", "file_path",
+                          clean_text(text).alias("content"), status.alias("status"), error.alias("error"))
+
+
+def read_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
+    """Identify and decode."""
+    return decode_files(identify_files(files), decoders)

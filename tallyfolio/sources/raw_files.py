@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfolio.functions.naming import data_url
 from tallyfolio.schemas import RAW_FILES
-from tallyfolio.workspace import fits_broadcast
+from tallyfolio.workspace import lookup_join
 
 
 def shard_of(file_path: Column, digits: int) -> Column:
@@ -15,37 +17,43 @@ def shard_of(file_path: Column, digits: int) -> Column:
     return F.substring(file_path, 1, digits)
 
 
-def put_raw(files: DataFrame, path: str, digits: int = 2, partitions: int | None = None) -> None:
-    """Append ``(file_path, content)`` to the raw-file table.
+def put_raw(files: DataFrame, path: str, load_id: str, digits: int = 2, partitions: int | None = None) -> None:
+    """Store ``(file_path, content)`` rows; putting a load again replaces what it had put.
 
-    Rows go to ``16 ** digits`` folders by key prefix and are sorted by key in each file; with the bloom
+    Rows go to ``16 ** digits`` shard folders by key prefix and are sorted by key in each file; with the bloom
     filter of the key column a get reads one folder and, in it, few row groups.
     """
+    shards = 16 ** digits
+    count = partitions or shards
     rows = files.select("file_path", "content").withColumn("shard", shard_of(F.col("file_path"), digits))
-    count = partitions or 16 ** digits
-    (rows.repartition(count, "shard", F.pmod(F.xxhash64("file_path"), F.lit(max(1, count // 16 ** digits))))
+    rows = rows.withColumn("load_id", F.lit(load_id))
+    (rows.repartition(count, "shard", F.pmod(F.xxhash64("file_path"), F.lit(max(1, count // shards))))
      .sortWithinPartitions("shard", "file_path")
-     .write.mode("append").partitionBy("shard")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "load_id")
      .option("parquet.bloom.filter.enabled#file_path", "true")
      .parquet(path))
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    # The shard is declared as text: inferred, a folder name of digits only would become a number.
-    schema = T.StructType([*RAW_FILES.fields, T.StructField("shard", T.StringType())])
-    return spark.read.schema(schema).parquet(path)
+def get_raw(spark: SparkSession, path: str, key: str, digits: int = 2) -> DataFrame:
+    """The file stored under a key; no row if there is none. Only the shard folder of the key is looked at."""
+    try:
+        shard = spark.read.schema(RAW_FILES).parquet(f"{path}/shard={key[:digits]}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RAW_FILES)
+    return shard.filter(F.col("file_path") == key).select("file_path", "content")
 
 
-def get_raw(spark: SparkSession, path: str, key: str, digits: int = 2) -> DataFrame:
-    """The file stored under a key; no row if there is none."""
-    return (read_raw(spark, path)
-            .filter((F.col("shard") == key[:digits]) & (F.col("file_path") == key))
-            .select("file_path", "content"))
+def get_data_url(spark: SparkSession, path: str, key: str, digits: int = 2) -> DataFrame:
+    """The file stored under a key as ``pdf_url``."""
+    return get_raw(spark, path, key, digits).select(data_url(F.col("content")).alias("pdf_url"))
 
 
 def get_raw_many(spark: SparkSession, path: str, keys: DataFrame, digits: int = 2) -> DataFrame:
     """The files of a frame of keys ``(file_path)``; only the shards of the keys are read when they are few."""
     wanted = keys.select("file_path").distinct().withColumn("shard", shard_of(F.col("file_path"), digits))
-    if fits_broadcast(wanted):
-        wanted = F.broadcast(wanted)
-    return read_raw(spark, path).join(wanted, ["shard", "file_path"], "inner").select("file_path", "content")
+    # The shard is declared as text: inferred, a folder name of digits only would become a number.
+    schema = T.StructType([*RAW_FILES.fields, T.StructField("shard", T.StringType())])
+    stored = spark.read.schema(schema).parquet(path)
+    return lookup_join(stored, wanted, ["shard", "file_path"], "inner").select("file_path", "content")

@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from tallyfolio.operators.results import RESULT_COLUMNS, apply_updates
 from tallyfolio.schemas import RESULTS
 
+QUARANTINE_COLUMNS = ["unique_id", "name", "reason", "error"]
+
 _LOAD_ID = re.compile(r"[A-Za-z0-9_-]+")
 
 
+def _checked(load_id: str) -> str:
+    if not _LOAD_ID.fullmatch(load_id):
+        raise ValueError(f"not a load id: {load_id!r}")
+    return load_id
+
+
 class ResultsTable:
     """Parquet table with the fixed results schema, partitioned by load.
 
@@ -31,9 +39,7 @@ class ResultsTable:
                   f"PARTITIONED BY (load_id) LOCATION '{self.location}/table'")
 
     def _publish(self, load_id: str, rows: DataFrame) -> None:
-        if not _LOAD_ID.fullmatch(load_id):
-            raise ValueError(f"not a load id: {load_id!r}")
-        folder = f"{self.location}/loads/{load_id}/{uuid.uuid4().hex}"
+        folder = f"{self.location}/loads/{_checked(load_id)}/{uuid.uuid4().hex}"
         rows.select(*RESULT_COLUMNS).write.parquet(folder)
         partition = f"PARTITION (load_id='{load_id}')"
         self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS {partition} LOCATION '{folder}'")
@@ -45,6 +51,16 @@ class ResultsTable:
     def update(self, load_id: str, updates: DataFrame) -> None:
         self._publish(load_id, apply_updates(self.load(load_id), updates))
 
+    def quarantine(self, load_id: str, rows: DataFrame) -> None:
+        """Keep what the load left out: ``(unique_id, name, reason, error)``."""
+        rows.select(*QUARANTINE_COLUMNS).write.mode("overwrite").parquet(self._quarantine_folder(load_id))
+
+    def quarantined(self, load_id: str) -> DataFrame:
+        return self.spark.read.parquet(self._quarantine_folder(load_id))
+
+    def _quarantine_folder(self, load_id: str) -> str:
+        return f"{self.location}/quarantine/{_checked(load_id)}"
+
     def load(self, load_id: str) -> DataFrame:
         return self.read().filter(F.col("load_id") == load_id).select(*RESULT_COLUMNS)
 

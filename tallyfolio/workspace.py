@@ -44,13 +44,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """True when ``df`` is known to hold at most ``max_rows`` rows and ``max_bytes`` bytes.
+    """True when ``df`` is counted to hold at most ``max_rows`` rows and ``max_bytes`` bytes.
 
-    The probe reads row widths only, and each task stops after ``max_rows + 1`` rows.
+    The rows are counted first (from file footers where ``df`` is a written table); their bytes are added up
+    only if there are few. Write an expensive ``df`` down before probing it.
     """
-    width = F.octet_length(F.to_json(F.struct("*"))).alias("width")
-    seen = df.select(width).limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum("width").alias("b")).first()
-    return seen.n <= max_rows and (seen.b or 0) <= max_bytes
+    if df.count() > max_rows:
+        return False
+    width = F.octet_length(F.to_json(F.struct("*")))
+    return (df.agg(F.sum(width).alias("b")).first().b or 0) <= max_bytes
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -50,6 +50,20 @@ def test_without_a_listing_hidden_files_are_missing(spark, folder):
     assert names == set(FILES) - {"_u.txt", ".h.txt", "empty.txt"}
 
 
+def test_each_branch_scans_its_own_files(spark, folder):
+    """The archive branch must not read loose files and the other way round."""
+    files = read_folder(spark, folder)
+    for wanted, patterns in ((True, 1), (False, 2)):
+        plan = files.filter(F.col("is_archive") == wanted)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == patterns
+
+
+def test_media_type_makes_an_archive(spark):
+    rows = spark.createDataFrame([(1, 1, "noext", zip_bytes([("a.txt", b"in")]), "application/zip")],
+                                 "request_id int, source_seq long, name string, content binary, media_type string")
+    assert [(r.archive, r.name, r.content) for r in read_documents(rows).collect()] == [("noext", "a.txt", "in")]
+
+
 def test_contents_of_unsupported_files_are_not_read(spark, folder):
     rows = {row.name: row.content for row in read_folder(spark, folder).collect()}
     assert rows["e.xyz"] is None and rows["noext"] is None and rows["a.TXT"] == FILES["a.TXT"]
@@ -102,7 +116,7 @@ def test_table_text_and_breaks_in_docx():
 def test_archive_members_keep_their_order_and_duplicates(spark):
     data = zip_bytes([(f"{n}.txt", str(n).encode()) for n in range(300)])
     rows = spark.createDataFrame([(1, "z.zip", data)], "k int, name string, content binary")
-    members = expand_archives(rows, ["k"], partitions=4)
+    members = expand_archives(rows, ["k"])
     got = [(r.member, r.name, r.content) for r in members.sort("member").collect()]
     assert got == [(n, f"{n}.txt", str(n).encode()) for n in range(300)]
 

@@ -172,6 +172,11 @@ def test_whole_batch(spark, tmp_path):
         ("s.txt", "FAILSCORE", "Skills FAILSCORE", 0)])
     unscored = sorted(r.resume_content for r in results.load("l1").collect() if r.score is None)
     assert unscored == ["first version", "second version"]
+    left_out = sorted((r.name[:7], r.reason) for r in results.quarantined("l1").collect())
+    assert left_out == [("bad.txt", "unreadable"), ("e.xyz", "unsupported"), ("n.xyz", "unsupported"),
+                        ("nnnnnnn", "name_too_long")]
+    again = score_batch(files, jobs, stub_models(), results, "l1", raw_path=raw, raw_digits=1)
+    assert sorted(again.collect()) == sorted(answer) and results.read().count() == len(table) + len(unscored)
     path = next(r.file_path for r in answer if r.name == "d.docx")
     assert bytes(get_raw(spark, raw, path, 1).first().content) == UPLOADS[3][3]
 

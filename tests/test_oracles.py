@@ -40,7 +40,7 @@ def test_all_but_the_file_listing_have_an_oracle():
 def test_listing_covers_every_table_file(spark, sf_dir):
     rows = QUERIES["src_files"](spark, sf_dir).collect()
     assert sorted(row.name for row in rows) == sorted(f"{table}.parquet" for table in TABLES)
-    assert {(row.route, row.status) for row in rows} == {("unsupported", "unsupported")}
+    assert {(row.is_archive, row.status) for row in rows} == {(False, "unsupported")}
 
 
 def test_entry_has_rows_and_a_stable_schema(spark):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import uuid
 
 import pytest
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from tallyfolio.functions.naming import make_id, stored_key
 from tallyfolio.schemas import RESULTS
-from tallyfolio.sources.raw_files import get_raw, get_raw_many, put_raw
-from tallyfolio.sources.results_table import ResultsTable
+from tallyfolio.sources.raw_files import get_data_url, get_raw, get_raw_many, put_raw
+from tallyfolio.sources.results_table import ResultsTable, append_jdbc
 
 
 @pytest.fixture
@@ -75,7 +76,7 @@ def raw(spark, tmp_path_factory):
     files = spark.range(500).select(
         stored_key(make_id(F.col("id")), F.concat(F.lit("f"), "id", F.lit(".pdf"))).alias("file_path"),
         F.concat(F.lit("content "), "id").cast("binary").alias("content"))
-    put_raw(files, path, digits=1)
+    put_raw(files, path, "l1", digits=1)
     return path, {r.file_path: r.content for r in files.collect()}
 
 
@@ -91,10 +92,11 @@ def test_raw_get_reads_one_shard_with_a_pushed_filter(spark, raw):
     path, files = raw
     key = next(k for k in files if k[0].isdigit())
     got = get_raw(spark, path, key, digits=1)
-    formatted = got._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(file_path), EqualTo(file_path," in formatted
-    assert "PartitionFilters: [isnotnull(shard" in formatted
+    assert "PushedFilters: [IsNotNull(file_path), EqualTo(file_path," in got._jdf.queryExecution().toString()
+    assert all(f"/shard={key[0]}/" in file for file in got.inputFiles())
     assert got.count() == 1
+    url = get_data_url(spark, path, key, digits=1).first().pdf_url
+    assert base64.b64decode(url.removeprefix("data:application/pdf;base64,")) == files[key]
 
 
 def test_many_raw_files(spark, raw):
@@ -105,8 +107,32 @@ def test_many_raw_files(spark, raw):
     assert got == {k: files[k] for k in wanted}
 
 
-def test_puts_append(spark, tmp_path):
+def test_puts_add_up_and_repeat_safely(spark, tmp_path):
     path = str(tmp_path / "raw")
-    for number in range(2):
-        put_raw(spark.createDataFrame([(f"{number}f_x", b"c")], "file_path string, content binary"), path, digits=1)
-    assert get_raw(spark, path, "0f_x", 1).count() == get_raw(spark, path, "1f_x", 1).count() == 1
+    for load in ("l1", "l2", "l2"):
+        rows = [(f"{shard}f_{load}", load.encode()) for shard in "0a"]
+        put_raw(spark.createDataFrame(rows, "file_path string, content binary"), path, load, digits=1)
+    assert [get_raw(spark, path, f"{shard}f_{load}", 1).count() for shard in "0a" for load in ("l1", "l2")] == [1] * 4
+    assert spark.read.parquet(path).count() == 4
+
+
+class Recorder:
+    """Stands in for a frame and its writer: records the calls, reaches no database."""
+
+    def __init__(self):
+        self.calls, self.write = [], self
+
+    def __getattr__(self, name):
+        def call(*args, **kwargs):
+            self.calls.append((name, args, kwargs))
+            return self
+        return call
+
+
+def test_jdbc_append_settings():
+    recorder = Recorder()
+    append_jdbc(recorder, "jdbc:postgresql://host/db", "resume_table", user="u", batchsize="5000")
+    assert recorder.calls == [
+        ("select", tuple(f.name for f in RESULTS), {}), ("format", ("jdbc",), {}),
+        ("options", (), {"url": "jdbc:postgresql://host/db", "dbtable": "resume_table", "user": "u", "batchsize": "5000"}),
+        ("mode", ("append",), {}), ("save", (), {})]
