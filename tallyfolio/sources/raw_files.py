@@ -9,10 +9,7 @@ from pyspark.sql import types as T
 
 from tallyfolio.functions.naming import data_url
 from tallyfolio.schemas import RAW_FILES
-from tallyfolio.workspace import estimated_bytes, lookup_join
-
-TASK_BYTES = 512 << 20
-MAX_TASKS_PER_SHARD = 1024
+from tallyfolio.workspace import lookup_join
 
 
 def shard_of(file_path: Column, digits: int) -> Column:
@@ -20,19 +17,16 @@ def shard_of(file_path: Column, digits: int) -> Column:
     return F.substring(file_path, 1, digits)
 
 
-def put_raw(files: DataFrame, path: str, load_id: str, digits: int = 2, partitions: int | None = None) -> None:
+def put_raw(files: DataFrame, path: str, load_id: str, digits: int = 2) -> None:
     """Store ``(file_path, content)`` rows; putting a load again replaces what it had put.
 
     Rows go to ``16 ** digits`` shard folders by key prefix and are sorted by key in each file; with the bloom
-    filter of the key column a get reads one folder and, in it, few row groups. Large inputs are written by
-    several tasks per shard.
+    filter of the key column a get reads one folder and, in it, few row groups. Adaptive execution splits and
+    joins the write tasks by the bytes they really hold.
     """
-    shards = 16 ** digits
-    per_shard = partitions // shards if partitions else estimated_bytes(files) // (shards * TASK_BYTES) + 1
-    per_shard = max(1, min(per_shard, MAX_TASKS_PER_SHARD))
     rows = files.select("file_path", "content").withColumn("shard", shard_of(F.col("file_path"), digits))
-    rows = rows.withColumn("load_id", F.lit(load_id))
-    (rows.repartition(shards * per_shard, "shard", F.pmod(F.xxhash64("file_path"), F.lit(per_shard)))
+    (rows.withColumn("load_id", F.lit(load_id))
+     .hint("rebalance", "shard")
      .sortWithinPartitions("shard", "file_path")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "load_id")
      .option("parquet.bloom.filter.enabled#file_path", "true")

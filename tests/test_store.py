@@ -116,6 +116,21 @@ def test_puts_add_up_and_repeat_safely(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_large_shards_are_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    files = spark.range(0, 64, 1, 8).select(F.concat(F.lit("0"), F.md5(F.col("id").cast("string"))).alias("file_path"),
+                                            F.expr("cast(array_join(transform(sequence(1, 8000), x -> "
+                                                   "md5(cast(id * 8000 + x as string))), '') as binary)").alias("content"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2MB")
+    try:
+        put_raw(files, path, "l1", digits=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 64 and len(stored.inputFiles()) > 3
+
+
 class Recorder:
     """Stands in for a frame and its writer: records the calls, reaches no database."""
 
