@@ -76,10 +76,14 @@ def run_starts(sorted_words: Column) -> Column:
 
 
 def term_runs(sorted_words: Column, starts: Column) -> Column:
-    """``array<struct<n, term>>``: equal words are neighbours, so the distance of run starts is the count."""
+    """``array<struct<minus, term>>``: equal words are neighbours, so the distance of run starts is the count.
+
+    The count is negative, so that the natural order of the structs is ``(count desc, term)``.
+    """
     ends = F.concat(F.slice(starts, 2, F.size(sorted_words)), F.array(F.size(sorted_words) + 1))
-    return F.filter(F.zip_with(starts, ends, lambda start, end: F.struct(
-        (end - start).alias("n"), F.get(sorted_words, start - 1).alias("term"))), lambda r: r["n"].isNotNull())
+    runs = F.zip_with(starts, ends, lambda start, end: F.struct(
+        (start - end).alias("minus"), F.get(sorted_words, start - 1).alias("term")))
+    return F.when(F.size(sorted_words) > 0, runs)
 
 
 def years_of_experience(clean: Column) -> Column:

@@ -46,9 +46,12 @@ def clean_text(text: Column) -> Column:
     """Tags, then addresses, then special characters, then white space.
 
     The last two steps are one pass here: a run of characters outside ``[a-zA-Z0-9]`` becomes a
-    single blank. NULL stays NULL.
+    single blank. Texts without ``>`` or ``://`` skip the first two (blanks for tags join nothing to a new
+    ``://``). NULL stays NULL.
     """
-    return F.trim(F.regexp_replace(strip_urls(strip_tags(text)), NOT_KEPT_RUN, " "))
+    untagged = F.when(F.contains(text, F.lit(">")), strip_tags(text)).otherwise(text)
+    plain = F.when(F.contains(text, F.lit("://")), strip_urls(untagged)).otherwise(untagged)
+    return F.trim(F.regexp_replace(plain, NOT_KEPT_RUN, " "))
 
 
 def _first_number(reply: Column, number: str) -> Column:

@@ -30,12 +30,9 @@ def term_frequency(documents: DataFrame, key: str, text: str, top: int | None =
     """
     words = documents.select(key, F.sort_array(ev.tokens(clean_text(F.col(text)))).alias("words"))
     starts = words.select(key, "words", ev.run_starts(F.col("words")).alias("starts"))
-    runs = starts.select(key, ev.term_runs(F.col("words"), F.col("starts")).alias("runs"))
-    ranked = F.sort_array(F.transform("runs", lambda r: F.struct((-r["n"]).alias("minus"), r["term"].alias("term"))))
-    if top is not None:
-        ranked = F.slice(ranked, 1, top)
-    return (runs.select(key, F.explode(ranked).alias("r"))
-            .select(key, F.col("r.term").alias("term"), (-F.col("r.minus")).alias("n")))
+    runs = starts.select(key, F.sort_array(ev.term_runs(F.col("words"), F.col("starts"))).alias("runs"))
+    kept = F.col("runs") if top is None else F.slice("runs", 1, top)
+    return runs.select(key, F.inline(kept)).select(key, "term", (-F.col("minus")).alias("n"))
 
 
 def outcome_counts(documents: DataFrame, key: str, action_words: Sequence[str]) -> DataFrame:
