@@ -20,7 +20,7 @@ from tallyfolio.sources.archives import expand_archives as expand
 from tallyfolio.sources.decoders import decode_docx, decode_text, decode_with
 from tallyfolio.sources.files import list_folders, read_folder
 from tallyfolio.sources.intake import read_documents
-from tallyfolio.workspace import new_folder
+from tallyfolio.workspace import materialize, new_folder
 
 
 @query("src_files")
@@ -108,7 +108,8 @@ _SQL_LAST = """row_number() OVER (PARTITION BY request_id, name, status = 'ok'
     count(*) FILTER (WHERE status = 'ok' AND NOT is_last) AS overwritten
   FROM (SELECT *, {_SQL_LAST} AS is_last FROM ({_SQL_READ})) GROUP BY route, status""")
 def ingest_report(spark, sf_dir):
-    return report_of(read_documents(uploads(spark, sf_dir), {"docx": decode_docx}))
+    read = read_documents(uploads(spark, sf_dir), {"docx": decode_docx}).drop("content")
+    return report_of(materialize(read, "read"))
 
 
 _SQL_FULL = f"""WITH documents_read AS ({_SQL_READ}),

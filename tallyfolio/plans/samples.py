@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.naming import make_id
-from tallyfolio.workspace import spread_small
+from tallyfolio.workspace import materialize, spread_small
 
 DEGREES = ["no degree", "a Bachelor degree", "a Master degree", "a Doctorate"]
 EXTENSIONS = ["pdf", "txt", "docx", "doc", "ZIP", "tar.GZ", "TXT", "rtf"]
@@ -99,7 +99,7 @@ def upload_of(number: int, stem: str, text: str) -> tuple[str, bytes]:
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(request_id, source_seq, name, content)``: every document as an uploaded file."""
+    """``(request_id, source_seq, name, content)``: every document as an uploaded file, packed once and stored."""
     docs = with_request(spark, sf_dir, documents(spark, sf_dir)).select(
         "request_id", F.col("doc_id").alias("source_seq"),
         F.concat(F.lit("cv"), F.col("n_chars") % 97).alias("stem"), "text")
@@ -111,4 +111,5 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "request_id": batch["request_id"], "source_seq": batch["source_seq"],
                 "name": [name for name, _ in files], "content": [content for _, content in files]})
 
-    return docs.mapInPandas(pack, "request_id long, source_seq long, name string, content binary")
+    packed = docs.mapInPandas(pack, "request_id long, source_seq long, name string, content binary")
+    return materialize(packed, "uploads")

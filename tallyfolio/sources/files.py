@@ -15,7 +15,7 @@ from tallyfolio.functions.naming import ARCHIVE_FORMAT, FORMATS, UNSUPPORTED, ro
 UNREADABLE_NAME = "unreadable_name"
 VANISHED = "vanished"
 
-_LISTING = "name string, length long, source_seq long"
+_LISTING = "path string, name string, length long, source_seq long"
 
 
 def _any_case(extension: str) -> str:
@@ -29,7 +29,7 @@ def _glob(extensions: list[str]) -> str:
 
 
 def _scan(spark: SparkSession, folder: str, glob: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(folder)
@@ -39,24 +39,37 @@ def _file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _folder_path(folder: str) -> str:
+    """Path part of a folder, as it begins the paths of its files."""
+    parts = urlsplit(folder)
+    return (parts.path if parts.scheme else os.path.abspath(folder)).rstrip("/")
+
+
+def _path_inside(path: Column, folder: str) -> Column:
+    """Path of a scanned file below the folder, without scheme and host."""
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return F.substr(plain, F.lit(len(_folder_path(folder)) + 2))
+
+
 def list_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """``(name, length, source_seq)`` of all files, also of those a Spark file scan hides.
+    """``(path, name, length, source_seq)`` of all files, also of those a Spark file scan hides.
 
-    Each folder is listed in a task of its own, with the file system library of Arrow; nothing is
-    gathered on the driver. A listing that exists already (an upload log, a store inventory) can be used
-    instead of this.
+    ``path`` is relative to the folder. Each folder is listed in a task of its own, with the file system
+    library of Arrow; nothing is gathered on the driver. A listing that exists already (an upload log, a store
+    inventory) can be used instead of this.
     """
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         for batch in batches:
             for folder in batch["folder"]:
                 if urlsplit(folder).scheme in ("", "file"):
-                    local = urlsplit(folder).path if folder.startswith("file:") else folder
-                    system, path = fs.LocalFileSystem(), os.path.abspath(local)
+                    system, base = fs.LocalFileSystem(), _folder_path(folder)
                 else:
-                    system, path = fs.FileSystem.from_uri(folder)
-                files = [f for f in system.get_file_info(fs.FileSelector(path)) if f.is_file]
+                    system, base = fs.FileSystem.from_uri(folder)
+                found = system.get_file_info(fs.FileSelector(base, recursive=True))
+                files = [f for f in found if f.is_file]
                 yield pd.DataFrame({
+                    "path": [f.path[len(base.rstrip("/")) + 1:] for f in files],
                     "name": [f.base_name for f in files],
                     "length": [f.size for f in files],
                     "source_seq": [f.mtime_ns // 1000 for f in files],
@@ -72,8 +85,8 @@ def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = No
     ``source_seq`` is the modification time in microseconds: upload order. Readable formats, archives and the
     rest are three scans by name pattern, so each content is read at most once and those of unsupported
     formats never. A file scan leaves out empty files and names that start with ``_`` or ``.``; with a
-    ``listing`` they come back, the empty ones with empty content and the hidden ones with a status. Only
-    names are joined for that; contents are never shuffled.
+    ``listing`` of the same folder they come back, the empty ones with empty content and the hidden ones with
+    a status. Only paths are joined for that; contents are never shuffled.
     """
     name = _file_name(F.col("path")).alias("name")
     seq = F.unix_micros("modificationTime").alias("source_seq")
@@ -91,7 +104,8 @@ def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = No
     files = readable(FORMATS, False).unionByName(readable([ARCHIVE_FORMAT], True)).unionByName(others)
     if listing is None:
         return files
-    hidden = listing.join(everything.select(name), "name", "left_anti")
+    seen = everything.select(_path_inside(F.col("path"), folder).alias("path"))
+    hidden = listing.join(seen, "path", "left_anti")
     is_empty = F.col("length") == 0
     extra = hidden.select(
         "source_seq", "name", (route_format(F.col("name")) == ARCHIVE_FORMAT).alias("is_archive"), "length",

@@ -45,6 +45,16 @@ def test_no_file_is_lost(spark, folder):
     assert hidden["_u.txt"][0] == hidden[".h.txt"][0] == "unreadable_name"
 
 
+def test_files_in_subfolders(spark, tmp_path):
+    for place, content in (("x.txt", b"top"), ("a/x.txt", b""), ("a/b/x.txt", b"deep"), ("a/_SUCCESS", b"")):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_bytes(content)
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        files = read_folder(spark, folder, list_folders(spark, [folder]))
+        assert sorted((r.name, bytes(r.content)) for r in files.collect()) == [
+            ("_SUCCESS", b""), ("x.txt", b""), ("x.txt", b"deep"), ("x.txt", b"top")]
+
+
 def test_without_a_listing_hidden_files_are_missing(spark, folder):
     names = {row.name for row in read_folder(spark, folder).select("name").collect()}
     assert names == set(FILES) - {"_u.txt", ".h.txt", "empty.txt"}
