@@ -13,7 +13,7 @@ from tallyfolio.plans.registry import query
 from tallyfolio.plans.samples import documents, resumes, table
 from tallyfolio.sources.raw_files import get_data_url, get_raw, get_raw_many, put_raw
 from tallyfolio.sources.results_table import ResultsTable
-from tallyfolio.workspace import new_folder
+from tallyfolio.workspace import materialize, new_folder
 
 _RAW_DIGITS = 1
 
@@ -76,7 +76,7 @@ def results_update(spark, sf_dir):
         "unique_id",
         F.when(F.col("toxic") == 0, F.concat(F.lit("aspect "), "source_seq")).alias("resume_key_aspect"),
         F.col("quality").cast("int").alias("score"))
-    store.update("load1", updates)
+    store.update("load1", materialize(updates, "updates"))
     return store.load("load1")
 
 
