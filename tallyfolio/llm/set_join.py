@@ -11,7 +11,7 @@ bands; a pair meets in the band of its smaller set. A band hashes the universe o
 
 :func:`allocate` picks the plan of each band from the number of sets in it: signatures per set against the number of
 other sets that would meet it by chance. A set's signatures are dealt out by their hash; sets that share one are
-candidates, and every link is verified on the whole sets.
+candidates; sketches screen them, and every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -74,6 +74,19 @@ def set_keys(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[0], keys[1]
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many shingles fall into each of a power of two of buckets, one or two of them in the mean."""
+    buckets = 1 << max(3, (len(hashes) // 2).bit_length())
+    return np.minimum(np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def may_share(one: np.ndarray, two: np.ndarray) -> int:
+    """No two sets of these sketches share more shingles than this."""
+    least = min(len(one), len(two))
+    one, two = (x.astype(np.int64).reshape(-1, least).sum(axis=0) for x in (one, two))
+    return int(np.minimum(one, two).sum())
+
+
 def differ(x: int, y: int, percent: int) -> int:
     """Most shingles in which linked sets of these sizes differ."""
     return (x + y) * (100 - percent) // (100 + percent)
@@ -160,7 +173,10 @@ def _sets(size: int) -> Callable:
         for batch in small_batches(batches, "text"):
             sizes, hashes = shingle_sets(batch["text"], size)
             one, two = set_keys(sizes, hashes)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sizes), np.int32)), "id": batch["id"], "n": sizes, "key": one, "key2": two})
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array(np.zeros(len(sizes), np.int32)), "id": batch["id"], "n": sizes, "key": one, "key2": two,
+                "sketch": pa.array([sketch(hashes[e - n:e]) for e, n in zip(ends, sizes)], pa.binary())})
             unlike = np.unique(one, return_index=True)[1]
             chosen = np.zeros(len(sizes), bool)
             chosen[unlike] = True
@@ -168,7 +184,7 @@ def _sets(size: int) -> Callable:
             at, times = runs(value)
             often = times >= 4
             many = int(often.sum())
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(many, np.int32)), "id": value[at[often]].view(np.int64), "n": times[often], "key": np.zeros(many, np.int64), "key2": np.zeros(many, np.int64)})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(many, np.int32)), "id": value[at[often]].view(np.int64), "n": times[often], "key": np.zeros(many, np.int64), "key2": np.zeros(many, np.int64), "sketch": pa.nulls(many, pa.binary())})
     return run
 
 
@@ -231,34 +247,55 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"sig": sig[i:i + 100_000], "key": key[i:i + 100_000]})
 
 
-def _verify(size: int, percent: int) -> Callable:
-    """Links among (a, b, text of b), where the row of a itself comes before those of its partners."""
+def _compare(fits: Callable, prepare: Callable) -> Callable:
+    """The pairs (a, b) that fit, where the row of a itself comes before those of its partners."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own = None, np.zeros(0, np.uint64)
-        for batch in small_batches(batches, "text"):
-            sizes, hashes = shingle_sets(batch["text"], size)
-            ends = np.cumsum(sizes)
-            links = []
-            for i, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist())):
-                mine = hashes[ends[i] - sizes[i]:ends[i]]
-                if a == b:
-                    lead, own = a, mine
-                elif a == lead:
-                    both = np.sort(np.concatenate([own, mine]))
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if 100 * shared >= percent * (len(own) + len(mine) - shared):
+        lead, own = None, None
+        for batch in batches:
+            for part, values in prepare(batch):
+                links = []
+                for a, b, mine in zip(part["a"].to_pylist(), part["b"].to_pylist(), values):
+                    if a == b:
+                        lead, own = a, mine
+                    elif a != lead:
+                        raise ValueError("a pair came without its first set")
+                    elif fits(own, mine):
                         links.append((a, b))
-                else:
-                    raise ValueError("a pair came without its first text")
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets reach the threshold.
+def _screen(percent: int) -> Callable:
+    def fits(one: tuple, two: tuple) -> bool:
+        if one[1].max() == 255 or two[1].max() == 255:
+            return True
+        shared = may_share(one[1], two[1])
+        return 100 * shared >= percent * (one[0] + two[0] - shared)
+
+    def prepare(batch: pa.RecordBatch) -> Iterator[tuple]:
+        yield batch, [(n, np.frombuffer(x.as_buffer(), np.uint8)) for n, x in zip(batch["n"].to_pylist(), batch["value"])]
+    return _compare(fits, prepare)
 
-    The text of a is sent once to each task that compares its partners; a with very many partners gets several
-    tasks. The narrow rows that say who needs which text are broadcast if a count shows that they are few.
+
+def _verify(size: int, percent: int) -> Callable:
+    def fits(one: np.ndarray, two: np.ndarray) -> bool:
+        both = np.sort(np.concatenate([one, two]))
+        shared = int((both[1:] == both[:-1]).sum())
+        return 100 * shared >= percent * (len(both) - shared)
+
+    def prepare(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for part in small_batches([batch], "value"):
+            sizes, hashes = shingle_sets(part["value"], size)
+            ends = np.cumsum(sizes)
+            yield part, [hashes[e - n:e] for e, n in zip(ends, sizes)]
+    return _compare(fits, prepare)
+
+
+def _checked(pairs: DataFrame, values: DataFrame, columns: list[str], check: Callable, a_task: int) -> DataFrame:
+    """The pairs (a, b) of ids whose values pass ``check``.
+
+    The value of a is sent once to each task that compares its partners; a with very many partners gets several
+    tasks. The narrow rows that say who needs which value are broadcast if a count shows that they are few.
     """
     split = pairs.groupBy("a").agg(F.ceil(F.count("*") / 4096).cast("int").alias("salts"))
     salted = pairs.join(split, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
@@ -267,10 +304,19 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     rows = need.count()
     side = F.broadcast(need) if rows <= NEED_ROWS else need
     spark = pairs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000 + 1)
-    return (texts.join(side, "id").select("a", F.col("id").alias("b"), "salt", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // a_task + 1)
+    return (values.join(side, "id").select("a", F.col("id").alias("b"), "salt", *columns)
             .repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
-            .select("a", "b", "text").mapInArrow(_verify(size, percent), "a bigint, b bigint"))
+            .select("a", "b", *columns).mapInArrow(check, "a bigint, b bigint"))
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets reach the threshold, written down.
+
+    Sketches bound from above what two sets can share; the texts of the pairs that are left are compared exactly.
+    """
+    near = materialize(_checked(pairs, sketches, ["n", "value"], _screen(percent), 100_000), "near")
+    return materialize(_checked(near, texts.withColumnRenamed("text", "value"), ["value"], _verify(size, percent), 10_000), "links")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
@@ -288,8 +334,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(texts.mapInArrow(_sets(size), "kind int, id bigint, n bigint, key bigint, key2 bigint"), "sets")
-    sets = found.where("kind = 0").drop("kind")
+    found = materialize(texts.mapInArrow(_sets(size), "kind int, id bigint, n bigint, key bigint, key2 bigint, sketch binary"), "sets")
+    sets = found.where("kind = 0").select("id", "n", "key", "key2")
+    sketches = found.where("kind = 0").select("id", "n", F.col("sketch").alias("value"))
     reps = materialize(sets.where("n > 0").groupBy("key", "key2", "n").agg(F.min("id").alias("rid")), "reps")
     totals = reps.agg(F.max("n"), F.sum("n")).first()
     most, shingles = int(totals[0] or 0), int(totals[1] or 0)
@@ -308,7 +355,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .join(reps.select("key", "rid"), "key").select("sig", "rid"), "met")
     first = met.groupBy("sig").agg(F.min("rid").alias("a"))
     pairs = materialize(met.join(first, "sig").where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
-    links = materialize(verified(pairs, texts, size, percent), "links")
+    links = verified(pairs, sketches, texts, size, percent)
     known = components(links)
     state = materialize(met.join(known, met.rid == known.id, "left")
                         .select("sig", "rid", F.coalesce("component", "rid").alias("class")), "state")
@@ -319,7 +366,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = (rest.join(still, "sig").where((F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("rid"))))
             .select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
             .join(pairs, ["a", "b"], "left_anti"))
-    links = materialize(links.unionAll(verified(materialize(more, "pairs"), texts, size, percent)), "links")
+    links = links.unionAll(verified(materialize(more, "pairs"), sketches, texts, size, percent))
     known = components(links)
     joined = sets.join(reps, ["key", "key2", "n"], "left").join(known.withColumnRenamed("id", "rid"), "rid", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rid", "id").alias("component_id"))
