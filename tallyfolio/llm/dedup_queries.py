@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyfolio.llm.embedding_dedup import near_embeddings
 from tallyfolio.llm.registry import query, table
 from tallyfolio.llm.set_join import jaccard_classes
 
@@ -11,3 +12,8 @@ from tallyfolio.llm.set_join import jaccard_classes
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_embedding_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
