@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyfolio.llm.embedding_dedup import near_embeddings
+from tallyfolio.llm.line_dedup import drop_repeated_lines
 from tallyfolio.llm.registry import query, table
 from tallyfolio.llm.set_join import jaccard_classes
 
@@ -17,3 +19,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_embedding_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    kept = drop_repeated_lines(docs.withColumn("n_lines", n_lines))
+    return kept.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("lines_removed").cast("bigint").alias("lines_removed"), F.md5("text").alias("kept_md5"))

@@ -4,14 +4,14 @@ Sets of x and y shingles that reach the threshold differ in at most ``H(x, y)``
 bands; a pair meets in the band of its smaller set. A band hashes the universe of shingles into ``m`` segments:
 
 * *exact* plan: ``m = H + 1 + spare`` segments, so at least ``1 + spare`` of them hold the same shingles in both sets.
-  Segments without a rare shingle say little and are skipped where at most ``spare`` of a set's segments are so;
-  a set with more of them also indexes those, under a mark of its own, because then only another such set can need them.
 * *deletion* plan: ``(H + 1) / 2`` segments, of which one differs in one shingle at most, indexed with every
   one-deletion variant.
 
 :func:`allocate` picks the plan of each band from the number of sets in it: signatures per set against the number of
-other sets that would meet it by chance. A set's signatures are dealt out by their hash; sets that share one are
-candidates; sketches screen them, and every link is verified on the whole sets.
+other sets that would meet it by chance. A set's signatures are dealt out by their hash. Segments that are empty, or whose
+signature many sets share (a passage that is often quoted), are skipped where a set has no more of them than
+``spare``: with any partner it then shares another signature as well. Only sets with more of them are compared there.
+Sets that share a signature are candidates; sketches screen them, and every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from tallyfolio.llm.words import mix, runs, small_batches, words
 from tallyfolio.workspace import materialize
 
 WORDS, PERCENT = 5, 80
-FREQUENT_SHINGLES = 500_000     # most shingles that can be called frequent: 4 MB to broadcast
-SIGNATURES_A_TASK = 2_500_000
+CROWD = 16                      # a signature of more sets is skipped where it can be
+SIGNATURES_A_TASK = 1_500_000
 NEED_ROWS = 300_000             # of narrow rows that may be broadcast, counted before
-LOW = np.uint64(0xFFFFFFFF)
+LOW = np.uint64(0xFFFFFFFF)     # bands are numbered in a byte: sizes up to 1.25 ** 250
 
 
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,9 @@ def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, in
         return None
     size = (low + high) / 2
     plans = []
-    for spare in range(0, 4 + h // 4):
+    for spare in range(1, 6 + h // 3):
+        if spare < (h + 1) // 7:
+            continue
         m = h + 1 + spare
         blank = m * math.exp(-size / m)
         over = 1 - sum(math.exp(-blank) * blank ** k / math.factorial(k) for k in range(min(spare, 100) + 1))
@@ -118,25 +120,20 @@ def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, in
     return min(plans)[1:]
 
 
-def signatures(sizes: np.ndarray, hashes: np.ndarray, edges: list[int], plans: list, frequent: np.ndarray,
-               percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) for the sets of one batch."""
+def signatures(sizes: np.ndarray, hashes: np.ndarray, edges: list[int], plans: list,
+               percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, signature, band, segments the set can still skip there) for the sets of one batch."""
     band = np.searchsorted(edges, sizes, side="right") - 1
-    common = np.zeros(len(hashes), bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        common = frequent[at] == hashes
     owner = np.repeat(np.arange(len(sizes)), sizes)
     spread = mix(hashes ^ np.uint64(0x9E6C63D0876A9A47))
     low, high = (spread & LOW).astype(np.float64), (spread >> np.uint64(32)).astype(np.float64)
+    largest = np.array([e - 1 for e in edges[1:]] + [0])
+    table = np.array([p or (0, 0, 0) for p in plans] + [(0, 0, 0)], np.int64)
     found = []
     for back in (0, 1):                       # its own band, and the one below if a partner there can be near enough
         use = band - back
-        largest = np.array([e - 1 for e in edges[1:]] + [0])
         ok = (sizes > 0) & (use >= 0) & ((back == 0) | (sizes * percent <= 100 * largest[use]))
-        plan = np.array([(plans[b] or (0, 0, 0)) if b < len(plans) else (0, 0, 0) for b in use[ok]]).reshape(-1, 3)
-        m, spare, deletion = (np.zeros(len(sizes), np.int64) for _ in range(3))
-        m[ok], spare[ok], deletion[ok] = plan.T
+        m, spare, deletion = np.where(ok[:, None], table[np.minimum(use, len(plans))], 0).T
         base = np.cumsum(m) - m
         total = int(m.sum())
         if not total:
@@ -145,7 +142,7 @@ def signatures(sizes: np.ndarray, hashes: np.ndarray, edges: list[int], plans: l
         who = owner[mine]
         segment = base[who] + (((hashes[mine] >> np.uint64(32)) * m[who].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         a, b = np.bincount(segment, low[mine], total), np.bincount(segment, high[mine], total)
-        rare = np.bincount(segment, ~common[mine], total) > 0
+        full = np.bincount(segment, minlength=total) > 0
         holder = np.repeat(np.arange(len(sizes)), m)
         number = np.arange(total) - base[holder]
         tag = mix((use[holder] * 1_000_003 + number).astype(np.uint64) + np.uint64(77))
@@ -153,67 +150,57 @@ def signatures(sizes: np.ndarray, hashes: np.ndarray, edges: list[int], plans: l
         def hashed(x, y, t):
             return mix(x.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + y.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + t)
 
-        exact = deletion[holder] == 0
-        keep = ~exact | rare
+        slack = np.where(deletion == 1, -1, spare - np.bincount(holder, ~full, len(sizes)))
+        keep = full | (slack[holder] < 0)
         found.append((holder[keep], hashed(a[keep], b[keep], tag[keep])))
-        poor = np.bincount(holder, exact & ~rare, len(sizes)) > spare
-        weak = exact & ~rare & poor[holder]
-        found.append((holder[weak], hashed(a[weak], b[weak], ~tag[weak])))
         gone = deletion[who] == 1
         s = segment[gone]
         found.append((who[gone], hashed(a[s] - low[mine][gone], b[s] - high[mine][gone], tag[s])))
+        found[-2:] = [(w, x, use[w], slack[w]) for w, x in found[-2:]]
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _sets(size: int) -> Callable:
-    """Set rows (kind 0: id, n, keys), and shingles that are in many sets of a batch (kind 1: hash in id, count in n)."""
+    """Id, size, keys and sketch of every set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sizes, hashes = shingle_sets(batch["text"], size)
             one, two = set_keys(sizes, hashes)
             ends = np.cumsum(sizes)
             yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(np.zeros(len(sizes), np.int32)), "id": batch["id"], "n": sizes, "key": one, "key2": two,
-                "sketch": pa.array([sketch(hashes[e - n:e]) for e, n in zip(ends, sizes)], pa.binary())})
-            unlike = np.unique(one, return_index=True)[1]
-            chosen = np.zeros(len(sizes), bool)
-            chosen[unlike] = True
-            value = np.sort(hashes[np.repeat(chosen, sizes)])
-            at, times = runs(value)
-            often = times >= 4
-            many = int(often.sum())
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(many, np.int32)), "id": value[at[often]].view(np.int64), "n": times[often], "key": np.zeros(many, np.int64), "key2": np.zeros(many, np.int64), "sketch": pa.nulls(many, pa.binary())})
+                "id": batch["id"], "n": sizes, "key": one, "key2": two,
+                "value": pa.array([sketch(hashes[e - n:e]) for e, n in zip(ends, sizes)], pa.binary())})
     return run
 
 
-def _deal(size: int, percent: int, edges: list[int], plans: list, frequent, parts: int) -> Callable:
-    """Signatures and the keys of their sets, by part."""
+def _deal(size: int, percent: int, edges: list[int], plans: list, parts: int) -> Callable:
+    """Signatures with the keys, bands and slack of their sets, by part."""
+    kinds = (("sigs", np.uint64), ("keys", np.int64), ("bands", np.uint8), ("slack", np.int8))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def out():
-            sig, key = (np.concatenate(x) for x in zip(*held))
+            columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            part = (sig % np.uint64(parts)).astype(np.int64)
+            part = (columns[0] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             at, n = runs(part[order])
             cut = [order[a:a + b] for a, b in zip(at, n)]
-            return pa.RecordBatch.from_pydict({
-                "part": part[order[at]], "sigs": pa.array([sig[c].tobytes() for c in cut], pa.binary()),
-                "keys": pa.array([key[c].tobytes() for c in cut], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": part[order[at]]} | {
+                name: pa.array([column[c].tobytes() for c in cut], pa.binary()) for (name, _), column in zip(kinds, columns)})
 
         for batch in small_batches(batches, "text"):
             sizes, hashes = shingle_sets(batch["text"], size)
             key, _ = set_keys(sizes, hashes)
             first = np.zeros(len(key), bool)
             first[np.unique(key, return_index=True)[1]] = True      # a copy adds nothing
-            mine = np.repeat(first, sizes)
-            who, sig = signatures(np.where(first, sizes, 0), hashes[mine], edges, plans, frequent.value, percent)
+            who, sig, band, slack = signatures(np.where(first, sizes, 0), hashes[np.repeat(first, sizes)], edges, plans, percent)
             if len(sig):
-                held.append((sig, key[who]))
-            if sum(len(s) for s, _ in held) > 2_000_000:
+                held.append((sig, key[who], band.astype(np.uint8), np.clip(slack, -1, 127).astype(np.int8)))
+            if sum(len(x[0]) for x in held) > 1_000_000:
                 yield out()
         if held:
             yield out()
@@ -221,30 +208,28 @@ def _deal(size: int, percent: int, edges: list[int], plans: list, frequent, part
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, key) for every signature that two or more sets of this part share."""
-    sigs, keys = [], []
+    """Every signature that two or more sets of this part share, with the number of its sets."""
+    columns: list[list] = [[], [], [], []]
     for batch in batches:
-        sigs += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["sigs"]]
-        keys += [np.frombuffer(x.as_buffer(), np.int64) for x in batch["keys"]]
-    if not sigs:
+        for held, name, kind in zip(columns, ("sigs", "keys", "bands", "slack"), (np.uint64, np.int64, np.uint8, np.int8)):
+            held += [np.frombuffer(x.as_buffer(), kind) for x in batch[name]]
+    if not columns[0]:
         return
-    sig, key = np.concatenate(sigs), np.concatenate(keys)
-    sigs.clear()
-    keys.clear()
+    sig, key, band, slack = (np.concatenate(x) for x in columns)
+    columns.clear()
     order = np.argsort(sig)
-    sig = sig[order]
-    at, n = runs(sig)
-    many = np.repeat(n > 1, n)
-    sig, key = sig[many], key[order[many]]
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))
-    sig, key = sig[new], key[new]
-    at, n = runs(sig)
-    many = np.repeat(n > 1, n)
-    sig, key = sig[many].view(np.int64), key[many]
-    for i in range(0, len(sig), 100_000):
-        yield pa.RecordBatch.from_pydict({"sig": sig[i:i + 100_000], "key": key[i:i + 100_000]})
+    at, n = runs(sig[order])
+    order = order[np.repeat(n > 1, n)]
+    order = order[np.lexsort((key[order], sig[order]))]
+    new = np.append(True, (np.diff(sig[order].view(np.int64)) != 0) | (np.diff(key[order]) != 0))[:len(order)]
+    order = order[new]
+    at, n = runs(sig[order])
+    sets = np.repeat(n, n)
+    order, sets = order[sets > 1], sets[sets > 1]
+    for i in range(0, len(order), 100_000):
+        o = order[i:i + 100_000]
+        yield pa.RecordBatch.from_pydict({"sig": sig[o].view(np.int64), "key": key[o], "band": band[o].astype(np.int32),
+                                          "slack": slack[o].astype(np.int32), "sets": sets[i:i + 100_000]})
 
 
 def _compare(fits: Callable, prepare: Callable) -> Callable:
@@ -334,25 +319,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = materialize(texts.mapInArrow(_sets(size), "kind int, id bigint, n bigint, key bigint, key2 bigint, sketch binary"), "sets")
-    sets = found.where("kind = 0").select("id", "n", "key", "key2")
-    sketches = found.where("kind = 0").select("id", "n", F.col("sketch").alias("value"))
+    found = materialize(texts.mapInArrow(_sets(size), "id bigint, n bigint, key bigint, key2 bigint, value binary"), "sets")
+    sets, sketches = found.select("id", "n", "key", "key2"), found.select("id", "n", "value")
     reps = materialize(sets.where("n > 0").groupBy("key", "key2", "n").agg(F.min("id").alias("rid")), "reps")
     totals = reps.agg(F.max("n"), F.sum("n")).first()
-    most, shingles = int(totals[0] or 0), int(totals[1] or 0)
-    edges = band_edges(most, percent)
+    edges = band_edges(int(totals[0] or 0), percent)
     where = F.expr(f"array({','.join(map(str, edges))})")
     band = F.size(F.filter(where, lambda e: e <= F.col("n"))) - 1
     counts = {r.band: r["count"] for r in reps.groupBy(band.alias("band")).count().collect()}     # a row for each band
     plans = [allocate(a, b - 1, counts.get(i, 0) + counts.get(i + 1, 0), percent) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    least = max(32, shingles // FREQUENT_SHINGLES)
-    often = (found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-             .select("id").toPandas()["id"].to_numpy(np.int64).view(np.uint64))     # at most shingles / least of them
-    frequent = spark.sparkContext.broadcast(np.sort(often))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * 0.6) // SIGNATURES_A_TASK + 1)
-    met = materialize(texts.mapInArrow(_deal(size, percent, edges, plans, frequent, 8 * tasks), "part bigint, sigs binary, keys binary")
-                      .repartition(tasks, "part").mapInArrow(_meet, "sig bigint, key bigint")
-                      .join(reps.select("key", "rid"), "key").select("sig", "rid"), "met")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((totals[1] or 0) * 0.6) // SIGNATURES_A_TASK + 1)
+    dealt = texts.mapInArrow(_deal(size, percent, edges, plans, 8 * tasks), "part bigint, sigs binary, keys binary, bands binary, slack binary")
+    shared = materialize(dealt.repartition(tasks, "part").mapInArrow(_meet, "sig bigint, key bigint, band int, slack int, sets bigint"), "shared")
+    crowded = shared.where(F.col("sets") > CROWD)
+    bound = crowded.groupBy("key", "band", "slack").count().where("count > slack").select("key", "band")
+    use = shared.where(F.col("sets") <= CROWD).unionAll(crowded.join(bound, ["key", "band"], "left_semi").select(*shared.columns))
+    met = materialize(use.join(reps.select("key", "rid"), "key").select("sig", "rid"), "met")
     first = met.groupBy("sig").agg(F.min("rid").alias("a"))
     pairs = materialize(met.join(first, "sig").where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
     links = verified(pairs, sketches, texts, size, percent)

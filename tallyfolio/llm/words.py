@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 CHUNK = 1 << 20          # bytes hashed at a time
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,26 +52,32 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of the words of one stretch; ``breaks`` marks bytes before which a text begins."""
+def _chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, bytes and hash of the words of one stretch; ``breaks`` marks bytes before which a text begins."""
     inside = ~SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1] | breaks[1:]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return starts, np.zeros(0, np.uint64)
+        return starts, starts, np.zeros(0, np.uint64)
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
     codes = CODES[data[starts[0]:]] * powers(int(lengths.max()))[place]
-    return starts, mix(np.add.reduceat(codes, starts - starts[0]))
+    sizes = np.add.reduceat(inside[starts[0]:].astype(np.int64), starts - starts[0])
+    return starts, sizes, mix(np.add.reduceat(codes, starts - starts[0]))
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, hash) of every word, in order."""
-    data, offsets = utf8(texts)
+    row, _, _, hashes = places(*utf8(texts))
+    return row, hashes
+
+
+def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, first byte, bytes, hash) of every word, in order."""
     breaks = np.zeros(len(data) + 1, bool)
     breaks[offsets[:-1]] = True
-    starts, hashes, at = [], [], 0
+    starts, sizes, hashes, at = [], [], [], 0
     while at < len(data):
         end = min(len(data), at + CHUNK)
         while end < len(data):      # to the next space or text, so that no word is cut
@@ -78,17 +86,18 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 end += int(near[0])
                 break
             end = min(len(data), end + CHUNK)
-        s, h = _chunk(data[at:end], breaks[at:end])
+        s, n, h = _chunk(data[at:end], breaks[at:end])
         starts.append(s + at)
+        sizes.append(n)
         hashes.append(h)
         at = end
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     where = np.concatenate(starts)
-    return np.searchsorted(offsets, where, side="right") - 1, np.concatenate(hashes)
+    return np.searchsorted(offsets, where, side="right") - 1, where, np.concatenate(sizes), np.concatenate(hashes)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
@@ -100,6 +109,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 <<
             yield batch.slice(a, b - a)
 
 
+def with_column(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of ``df`` and one more column."""
+    return StructType([*df.schema.fields]).add(name, kind)
+
+
 def runs(sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values."""
     if not len(sorted_ids):
