@@ -31,7 +31,7 @@ def banded_distance(long: Column, short: Column, most: int) -> Column:
     Bit ``k`` of the band in column ``j`` stands for row ``j - most + k``. ``vp`` and ``vn`` say where the distance
     rises and falls from one row to the next; the distance grows by one in each column whose diagonal bit is 0.
     """
-    one, width = F.lit(1).cast("bigint"), 2 * most + 1
+    width = 2 * most + 1
     full = F.lit((1 << width) - 1).cast("bigint")
     a, b = F.split(short, ""), F.split(long, "")
     gap = F.length(long) - F.length(short)
@@ -53,7 +53,7 @@ def banded_distance(long: Column, short: Column, most: int) -> Column:
             d, hp, hn = row["d"], row["hp"], row["hn"]
             down = F.shiftright(d, 1)
             return F.struct(hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
-                            (s["far"] + 1 - F.shiftrightunsigned(d, most - gap).bitwiseAND(one)).alias("far"))
+                            (s["far"] + 1 - F.bit_get(d, F.greatest(F.lit(0), most - gap))).alias("far"))
 
         def crossed(x: Column) -> Column:
             d = (x.bitwiseAND(vp) + vp).bitwiseAND(full).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
@@ -133,9 +133,7 @@ def verified_links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     both = both.select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("long"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("short"))
     allowed, gap = edits(F.length("short")), F.length("long") - F.length("short")
     near = both.where(gap <= allowed)
-    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return (near.repartition(parts, "a", "b")
-            .where(F.when(allowed == 2, banded_distance(F.col("long"), F.col("short"), 2)).otherwise(banded_distance(F.col("long"), F.col("short"), 1)) <= allowed)
+    return (near.where(F.when(allowed == 2, banded_distance(F.col("long"), F.col("short"), 2)).otherwise(banded_distance(F.col("long"), F.col("short"), 1)) <= allowed)
             .select("a", "b"))
 
 

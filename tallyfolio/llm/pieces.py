@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallyfolio.llm.words import STEP, mix, powers, small_batches, utf8, with_column
@@ -213,7 +214,7 @@ class Encoder:
 
     def ids(self, texts: pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        data, offsets = utf8(texts)
+        data, offsets = utf8(pc.replace_substring(texts, chr(SPACE), " "))      # the model takes them for the same
         starts, lead = self.cut(data, offsets)
         raw = data.tobytes()
         ends = np.append(starts[1:], len(data))
