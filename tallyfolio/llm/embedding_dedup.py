@@ -139,14 +139,14 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """vec_id, n_links, component_id, kept of every row with an id; ids are unique bigints.
 
     Vectors that are null or empty, zero, or hold null or non-finite numbers link with nothing; vectors of different widths
-    neither. Equal vectors are compared once and count as links of each other. No rows give no rows.
+    neither. Equal vectors are compared once and count as links of each other, as do rows that repeat an id. No rows give no rows.
     """
     spark = vectors.sparkSession
     raw = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec"))
     rows = materialize(raw.mapInArrow(_bytes(id_col, vec_col), "id bigint, vec binary").withColumn("key", F.sha2("vec", 256)), "vectors")
     reps = rows.where("vec IS NOT NULL").groupBy("key").agg(F.min("id").alias("rid"), F.count("*").alias("copies"))
     reps = materialize(reps, "reps")
-    one = materialize(rows.join(reps, (rows.id == reps.rid) & (rows.key == reps.key)).select("id", "vec", "copies"), "distinct")
+    one = materialize(rows.join(reps, (rows.id == reps.rid) & (rows.key == reps.key)).select("id", "vec", "copies").dropDuplicates(["id"]), "distinct")
     count = one.count()
     passes = passes_for(count, cosine, window, recall)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * passes // 200_000 + 1)

@@ -26,8 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     order = F.xxhash64(id_col)
     chosen = [usable.where(F.col("label") == k).orderBy(order).limit(most) for k in (0, 1)]
     narrow = chosen[0].unionAll(chosen[1]).select(F.col(id_col).alias("_id"), "label", F.pmod(order, F.lit(4)).cast("int").alias("part"))
-    return (docs.join(F.broadcast(narrow), docs[id_col] == F.col("_id"))        # at most 2 * most narrow rows
-            .select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "label", "part"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(narrow), F.col("_doc") == F.col("_id")).select("text", "label", "part")     # at most 2 * most narrow rows
 
 
 def share_of(labels: DataFrame, label: str) -> float:

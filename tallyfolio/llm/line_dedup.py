@@ -3,8 +3,9 @@
 Equal lines meet by hash. Near lines are found by a segment-partition join: a line of length ``l`` is cut into ``t + 1``
 segments, of which one is whole in any line within ``t`` edits. Every segment is indexed under its length, number and text;
 longer lines probe, for each length down to ``t`` less, just those substrings that a segment could have moved to. Lines that
-share one are verified by the banded bit-parallel edit distance: the band of ``2 t + 1`` diagonals is the bits of
-one integer, and one step of additions and shifts takes it across a sign of the longer line.
+share one, and whose counts of common letters do not already rule it out, are verified by the banded bit-parallel edit
+distance: the band of ``2 t + 1`` diagonals is the bits of one integer, and one step of additions and shifts takes it
+across a sign of the longer line.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from tallyfolio.llm.components import components
 from tallyfolio.workspace import fits_broadcast, materialize
 
+LETTERS = "etaoinshrdlucmgb"    # counted to rule pairs out; the answer does not depend on the choice
 EXACT_CHARS, NEAR_CHARS, WIDE_CHARS = 10, 24, 48
 COMMON = 10_000         # a line with more than one in so many of all occurrences is called common
+GONE_ID, GONE = "__id_with_repeated_lines__", "__repeated_lines__"     # joined to the columns of documents
 FEW_ROWS, FEW_BYTES = 400_000, 48 << 20
 
 
@@ -33,7 +36,6 @@ def banded_distance(long: Column, short: Column, most: int) -> Column:
     """
     width = 2 * most + 1
     full = F.lit((1 << width) - 1).cast("bigint")
-    a, b = F.split(short, ""), F.split(long, "")
     gap = F.length(long) - F.length(short)
 
     def let(value: Column, use) -> Column:
@@ -42,27 +44,33 @@ def banded_distance(long: Column, short: Column, most: int) -> Column:
     def inverse(x: Column) -> Column:
         return x.bitwiseXOR(full)
 
-    def step(s: Column, j: Column) -> Column:
-        x = F.lit(0).cast("bigint")
-        for k in range(width):
-            same = F.coalesce(F.get(a, j - most + k - 1) == F.element_at(b, j), F.lit(False))
-            x = x + F.when(same, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        vp, vn = s["vp"], s["vn"]
+    def across(signs: Column) -> Column:
+        a, b = signs["a"], signs["b"]
 
-        def moved(row: Column) -> Column:
-            d, hp, hn = row["d"], row["hp"], row["hn"]
-            down = F.shiftright(d, 1)
-            return F.struct(hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
-                            (s["far"] + 1 - F.bit_get(d, F.greatest(F.lit(0), most - gap))).alias("far"))
+        def step(s: Column, j: Column) -> Column:
+            x = F.lit(0).cast("bigint")
+            for k in range(width):
+                same = F.coalesce(F.get(a, j - most + k - 1) == F.element_at(b, j), F.lit(False))
+                x = x + F.when(same, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            vp, vn = s["vp"], s["vn"]
 
-        def crossed(x: Column) -> Column:
-            d = (x.bitwiseAND(vp) + vp).bitwiseAND(full).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
-            return let(d, lambda d: let(F.struct(d.alias("d"), vn.bitwiseOR(inverse(d.bitwiseOR(vp))).alias("hp"), d.bitwiseAND(vp).alias("hn")), moved))
+            def moved(row: Column) -> Column:
+                d, hp, hn = row["d"], row["hp"], row["hn"]
+                down = F.shiftright(d, 1)
+                return F.struct(hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
+                                (s["far"] + 1 - F.bit_get(d, F.greatest(F.lit(0), most - gap))).alias("far"))
 
-        return let(x, crossed)
+            def crossed(x: Column) -> Column:
+                d = (x.bitwiseAND(vp) + vp).bitwiseAND(full).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
+                return let(d, lambda d: let(F.struct(d.alias("d"), vn.bitwiseOR(inverse(d.bitwiseOR(vp))).alias("hp"), d.bitwiseAND(vp).alias("hn")), moved))
 
-    start = F.struct(F.lit(((1 << most + 1) - 1) << most).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(0).cast("bigint").alias("far"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(long)), start, step)["far"]
+            return let(x, crossed)
+
+        start = F.struct(F.lit(((1 << most + 1) - 1) << most).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(0).cast("bigint").alias("far"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, step)["far"]
+
+    # bound once: an expression inside a lambda is evaluated in every step
+    return let(F.struct(F.split(short, "").alias("a"), F.split(long, "").alias("b")), across)
 
 
 def segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
@@ -73,24 +81,28 @@ def segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
     return base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short) + 1, size
 
 
-def indexed(line: Column, length: Column, t: int) -> list[Column]:
-    keys = []
-    for i in range(1, t + 2):
-        at, size = segment(length, i, t)
-        keys.append(F.xxhash64(length, F.lit(i), F.substr(line, at, size)))
-    return keys
+def part_key(wide: Column, length: Column, i: int, at: Column, size: Column) -> Column:
+    """Hash of the length of an indexed line, the number of a segment and its signs (of four bytes each)."""
+    return F.xxhash64(length, F.lit(i), F.substr(wide, at * 4 - 3, size * 4))
+
+
+def indexed(wide: Column, length: Column, t: int) -> list[Column]:
+    return [part_key(wide, length, i, *segment(length, i, t)) for i in range(1, t + 2)]
 
 
-def probes(line: Column, length: Column, t: int) -> list[Column]:
-    """Keys of the substrings under which a line of at most this length and within ``t`` edits may be indexed."""
+def probes(wide: Column, length: Column, t: int, sure: bool = False) -> list[Column]:
+    """Keys of the substrings under which a line of at most this length and within ``t`` edits may be indexed.
+
+    A line of the shorter length has its own number of edits; ``sure`` says that it is ``t`` for all of them.
+    """
     keys = []
     for less in range(t + 1):
         other = length - less
         for i in range(1, t + 2):
             at, size = segment(other, i, t)
             for move in range(max(1 - i, less - (t + 1 - i)), min(i - 1, less + t + 1 - i) + 1):
-                # a line of the shorter length has its own number of edits
-                keys.append(F.when(edits(other) == t, F.xxhash64(other, F.lit(i), F.substr(line, at + move, size))))
+                key = part_key(wide, other, i, at + move, size)
+                keys.append(key if sure else F.when(edits(other) == t, key))
     return keys
 
 
@@ -98,7 +110,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, place, line): the trimmed lines of every text."""
     cut = F.split(F.col(text_col).cast("string"), "\n")
     return (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.posexplode(cut).alias("place", "line"))
-            .withColumn("line", F.trim(F.translate("line", "\t\r", "  "))))
+            .withColumn("line", F.btrim("line", F.lit(" \t\r"))))
 
 
 def near_links(lines: DataFrame, common: DataFrame) -> DataFrame:
@@ -110,31 +122,47 @@ def near_links(lines: DataFrame, common: DataFrame) -> DataFrame:
     long_ = lines.withColumn("length", F.length("line")).where(F.col("length") >= NEAR_CHARS)
     one_each = (long_.withColumn("key", F.xxhash64("line")).join(F.broadcast(common), "key", "left")
                 .where(F.coalesce(F.col("owner") == F.col("id"), F.lit(True))).select("key", "line", "length"))
-    line, length = F.col("line"), F.col("length")
-    by_edits = F.when(edits(length) == 2, F.array(*indexed(line, length, 2))).otherwise(F.array(*indexed(line, length, 1)))
-    asked = F.array_compact(F.when(length >= WIDE_CHARS + 2, F.array(*probes(line, length, 2)))
-                            .when(length >= WIDE_CHARS, F.array(*probes(line, length, 1), *probes(line, length, 2)))
-                            .otherwise(F.array(*probes(line, length, 1))))
+    one_each = one_each.select("key", F.encode("line", "UTF-32").alias("wide"), "length")      # signs of equal width
+    wide, length = F.col("wide"), F.col("length")
+    by_edits = F.when(edits(length) == 2, F.array(*indexed(wide, length, 2))).otherwise(F.array(*indexed(wide, length, 1)))
+    asked = (F.when(length >= WIDE_CHARS + 2, F.array(*probes(wide, length, 2, True)))
+             .when((length < WIDE_CHARS) & (length > NEAR_CHARS), F.array(*probes(wide, length, 1, True)))
+             .otherwise(F.array_compact(F.array(*probes(wide, length, 1), *probes(wide, length, 2)))))
     index = one_each.select("key", F.explode(by_edits).alias("part"))
     probe = one_each.select(F.col("key").alias("other"), F.explode(asked).alias("part"))
     return (index.join(probe.hint("merge"), "part").where(F.col("key") != F.col("other"))
             .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
 
 
+def letter_counts(line: Column) -> list[Column]:
+    return [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(f"n_{c}") for c in LETTERS]
+
+
 def verified_links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The links that hold: distance at most what the shorter line allows."""
+    """The links that hold: distance at most what the shorter line allows.
+
+    An edit changes the counts of letters by two together at most, so pairs whose counts are further apart go first.
+    """
     ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
     ends = materialize(ends, "ends")
     side = F.broadcast(ends) if fits_broadcast(ends, FEW_ROWS, FEW_BYTES) else ends
-    texts = materialize(lines.withColumn("key", F.xxhash64("line")).join(side, "key", "left_semi").select("key", "line").distinct(), "texts")
-    both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
+    texts = lines.withColumn("key", F.xxhash64("line")).join(side, "key", "left_semi").select("key", "line").distinct()
+    texts = materialize(texts.select("key", "line", F.length("line").alias("length"), *letter_counts(F.col("line"))), "texts")
+    counts = ["length", *(f"n_{c}" for c in LETTERS)]
+    one = texts.select(F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in counts])
+    two = texts.select(F.col("key").alias("b"), *[F.col(c).alias(f"b_{c}") for c in counts])
+    apart = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts[1:]), F.lit(0))
+    allowed = edits(F.least("a_length", "b_length"))
+    gap = F.abs(F.col("a_length") - F.col("b_length"))
+    near = pairs.join(one, "a").join(two, "b").where((gap <= allowed) & (apart <= 2 * allowed)).select("a", "b")
+    near = materialize(near.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b"), "near")
+    both = (near.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b"))
     longer = F.length("x") >= F.length("y")
     both = both.select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("long"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("short"))
-    allowed, gap = edits(F.length("short")), F.length("long") - F.length("short")
-    near = both.where(gap <= allowed)
-    return (near.where(F.when(allowed == 2, banded_distance(F.col("long"), F.col("short"), 2)).otherwise(banded_distance(F.col("long"), F.col("short"), 1)) <= allowed)
-            .select("a", "b"))
+    allowed = edits(F.length("short"))
+    distance = F.when(allowed == 2, banded_distance(F.col("long"), F.col("short"), 2)).otherwise(banded_distance(F.col("long"), F.col("short"), 1))
+    return both.where(distance <= allowed).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,10 +200,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that repeat an id each loses the lines repeated under that id. No rows give no rows. The places to remove are broadcast
     if a count shows that they are few, else joined by id.
     """
-    places = materialize(line_classes(docs, id_col, text_col).groupBy("id").agg(F.array_sort(F.collect_set("place")).alias("gone_")), "gone")
+    places = materialize(line_classes(docs, id_col, text_col).groupBy("id").agg(F.array_sort(F.collect_set("place")).alias(GONE)), "gone")
     side = F.broadcast(places) if fits_broadcast(places, FEW_ROWS, FEW_BYTES) else places
     rest = docs.drop("lines_removed")
-    joined = rest.join(side.withColumnRenamed("id", "id_"), rest[id_col].cast("bigint") == F.col("id_"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("gone_", i)), "\n")
-    return joined.select(*[F.when(F.col("gone_").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in rest.columns],
-                         F.coalesce(F.size("gone_"), F.lit(0)).alias("lines_removed"))
+    joined = rest.join(side.withColumnRenamed("id", GONE_ID), rest[id_col].cast("bigint") == F.col(GONE_ID), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(GONE, i)), "\n")
+    return joined.select(*[F.when(F.col(GONE).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in rest.columns],
+                         F.coalesce(F.size(GONE), F.lit(0)).alias("lines_removed"))

@@ -8,9 +8,9 @@ bands; a pair meets in the band of its smaller set. A band hashes the universe o
   one-deletion variant.
 
 :func:`allocate` picks the plan of each band from the number of sets in it: signatures per set against the number of
-other sets that would meet it by chance. A set's signatures are dealt out by their hash. Segments that are empty, or whose
-signature many sets share (a passage that is often quoted), are skipped where a set has no more of them than
-``spare``: with any partner it then shares another signature as well. Only sets with more of them are compared there.
+other sets that would meet it by chance. A set's signatures are dealt out by their hash. A pair shares more than ``spare``
+segments, so each set leaves out as many as that: its empty ones, then those whose signatures most sets share (a passage
+that is often quoted). In one order for all sets, the rarest signature that a pair shares is left out by neither.
 Sets that share a signature are candidates; sketches screen them, and every link is verified on the whole sets.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfolio.llm.components import components
@@ -29,7 +29,7 @@ from tallyfolio.llm.words import mix, runs, small_batches, words
 from tallyfolio.workspace import materialize
 
 WORDS, PERCENT = 5, 80
-CROWD = 16                      # a signature of more sets is skipped where it can be
+BLOCK = 1024                    # sets of one signature that are compared at a time
 SIGNATURES_A_TASK = 1_500_000
 NEED_ROWS = 300_000             # of narrow rows that may be broadcast, counted before
 LOW = np.uint64(0xFFFFFFFF)     # bands are numbered in a byte: sizes up to 1.25 ** 250
@@ -108,7 +108,7 @@ def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, in
     size = (low + high) / 2
     plans = []
     for spare in range(1, 6 + h // 3):
-        if spare < (h + 1) // 7:
+        if spare < (h + 1) // 5:
             continue
         m = h + 1 + spare
         blank = m * math.exp(-size / m)
@@ -262,6 +262,59 @@ def _screen(percent: int) -> Callable:
     return _compare(fits, prepare)
 
 
+def _shared_at_most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of bucket counts: no two of their sets share more shingles than this."""
+    if len(a) * len(b) * a.shape[1] <= 1 << 21:
+        return np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
+    out = np.zeros((len(a), len(b)), np.int32)
+    for k in range(a.shape[1]):
+        out += np.minimum(a[:, k, None], b[None, :, k])
+    return out
+
+
+def _cells(percent: int) -> Callable:
+    """Pairs of different classes in each cell (sig, i, j) that may be linked; rows are sorted by cell."""
+    def compare(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        ids, group, block, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
+        main = np.array([r[3] for r in rows], bool)
+        raw = [np.frombuffer(r[5], np.uint8) for r in rows]
+        least = min(map(len, raw))
+        counts = np.stack([x.astype(np.uint16).reshape(-1, least).sum(axis=0, dtype=np.uint16) for x in raw])
+        sure = np.array([x.max() == 255 for x in raw])
+        one = np.flatnonzero(~main)                  # pairs inside the largest class need no look
+        shared = _shared_at_most(counts[one], counts)
+        fits = 100 * shared >= percent * (n[one, None] + n[None, :] - shared)
+        fits |= sure[one, None] | sure[None, :]
+        fits &= group[one, None] != group[None, :]
+        if (block != block[0]).any():
+            fits &= block[one, None] != block[None, :]
+        a, b = np.nonzero(fits)
+        return np.minimum(ids[one[a]], ids[b]), np.maximum(ids[one[a]], ids[b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, found = None, [], []
+
+        def out() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate([np.stack(f) for f in found], axis=1), axis=1)
+            found.clear()
+            return pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
+
+        for batch in batches:
+            for sig, i, j, *row in zip(*[batch[c].to_pylist() for c in ("sig", "i", "j", "rid", "class", "block", "main", "n", "value")]):
+                if (sig, i, j) != last:
+                    if held:
+                        found.append(compare(held))
+                    if sum(len(f[0]) for f in found) > 100_000 or len(found) > 20_000:
+                        yield out()
+                    last, held = (sig, i, j), []
+                held.append(row)
+        if held:
+            found.append(compare(held))
+        if found:
+            yield out()
+    return run
+
+
 def _verify(size: int, percent: int) -> Callable:
     def fits(one: np.ndarray, two: np.ndarray) -> bool:
         both = np.sort(np.concatenate([one, two]))
@@ -314,8 +367,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one set from the start. In a first round every set of a signature is compared with the
     smallest one only; this already ties most groups of near copies together. The second round compares, in signatures
-    that still hold several classes, the sets outside the largest class with all sets of other classes, so that no link
-    between classes is missed while a group of thousands is never expanded into pairs.
+    that still hold several classes, the sets outside the largest class with all sets of other classes: by sketch, in blocks
+    inside a task, so that only pairs that may be linked become rows. No link between classes is missed.
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -331,9 +384,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((totals[1] or 0) * 0.6) // SIGNATURES_A_TASK + 1)
     dealt = texts.mapInArrow(_deal(size, percent, edges, plans, 8 * tasks), "part bigint, sigs binary, keys binary, bands binary, slack binary")
     shared = materialize(dealt.repartition(tasks, "part").mapInArrow(_meet, "sig bigint, key bigint, band int, slack int, sets bigint"), "shared")
-    crowded = shared.where(F.col("sets") > CROWD)
-    bound = crowded.groupBy("key", "band", "slack").count().where("count > slack").select("key", "band")
-    use = shared.where(F.col("sets") <= CROWD).unionAll(crowded.join(bound, ["key", "band"], "left_semi").select(*shared.columns))
+    rank = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.desc("sets"), "sig"))      # at most one row for each segment
+    use = shared.withColumn("rank", rank).where("rank > slack")
     met = materialize(use.join(reps.select("key", "rid"), "key").select("sig", "rid"), "met")
     first = met.groupBy("sig").agg(F.min("rid").alias("a"))
     pairs = materialize(met.join(first, "sig").where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "pairs")
@@ -342,12 +394,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = materialize(met.join(known, met.rid == known.id, "left")
                         .select("sig", "rid", F.coalesce("component", "rid").alias("class")), "state")
     sizes = state.groupBy("sig", "class").count()
-    open_ = sizes.groupBy("sig").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("count", "class")).alias("main")).where("classes > 1").select("sig", "main")
-    still = state.join(open_, "sig")
-    rest = still.where(F.col("class") != F.col("main")).select("sig", F.col("rid").alias("x"), F.col("class").alias("x_class"))
-    more = (rest.join(still, "sig").where((F.col("class") != F.col("x_class")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("rid"))))
-            .select(F.least("x", "rid").alias("a"), F.greatest("x", "rid").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
+    open_ = sizes.groupBy("sig").agg(F.count("*").alias("classes"), F.ceil(F.sum("count") / BLOCK).cast("int").alias("blocks"),
+                                     F.max_by("class", F.struct("count", "class")).alias("largest")).where("classes > 1")
+    block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    still = (state.join(open_, "sig").select("sig", "rid", "class", (F.col("class") == F.col("largest")).alias("main"), block.alias("block"),
+                                             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+    still = still.join(sketches.withColumnRenamed("id", "rid"), "rid").select(
+        "sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rid", "class", F.col("block").cast("bigint").alias("block"), "main", "n", "value")
+    more = (still.repartition(tasks, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_cells(percent), "a bigint, b bigint")
+            .distinct().join(pairs, ["a", "b"], "left_anti"))
     links = links.unionAll(verified(materialize(more, "pairs"), sketches, texts, size, percent))
     known = components(links)
     joined = sets.join(reps, ["key", "key2", "n"], "left").join(known.withColumnRenamed("id", "rid"), "rid", "left")

@@ -1,0 +1,227 @@
+"""Packing, fingerprints, SentencePiece and the language model against brute force and the libraries."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+import tokenizers
+
+from pyspark.sql import functions as F
+from tallyfolio.llm import fingerprints as lz
+from tallyfolio.llm import packing, pieces, pitman_yor
+from tallyfolio.llm.token_queries import op4, op6, op9, op10, packed
+
+ODD = ["", " ", "\n", "  two  spaces ", "naïve café 日本語 😀", "<|endoftext|> it's", "a" * 3000, "x\ty\r\nz", "the " * 5000, "\u3000\u00a0wide"]
+LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
+def documents(spark, sf_dir):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return lambda text: np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+
+
+def check_pieces(rows, ids, crc):
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+        assert crc(r) == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+    assert set(by_doc) == set(ids)
+    for name, found in by_doc.items():
+        places = sorted((r.start, r.start + r.length) for r in found)
+        assert places[0][0] == 0 and places[-1][1] == len(ids[name]) and all(a[1] == b[0] for a, b in zip(places, places[1:]))
+    for found in by_sequence.values():
+        places = sorted((r.offset, r.offset + r.length) for r in found)
+        assert places[0][0] == 0 and all(a[1] == b[0] for a, b in zip(places, places[1:]))
+        assert places[-1][1] <= 2048 and (places[-1][1] & (places[-1][1] - 1)) == 0       # no padding
+
+
+def test_packed_pieces_give_back_the_ids_of_the_library(spark, library):
+    texts = dict(enumerate([*ODD, None]))
+    df = spark.createDataFrame([(i, t, "b") for i, t in texts.items()], "doc_id bigint, text string, ids string").repartition(3)
+    check_pieces(packed(df).collect(), {i: library(t or "") for i, t in texts.items()}, lambda r: zlib.crc32(r.ids))
+
+
+def test_packing_query(spark, sf_dir, library):
+    check_pieces(op6(spark, sf_dir).collect(), {i: library(t) for i, t in documents(spark, sf_dir).items()}, lambda r: r.ids_crc32)
+
+
+def test_packing_of_no_and_of_repeated_rows(spark):
+    assert packed(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    rows = packed(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "None"] and sum(r.length for r in rows) == 9
+
+
+def test_costs_are_balanced_and_everything_is_full():
+    chance = random.Random(1)
+    sizes = np.array([int(chance.paretovariate(1.1) * 60) for _ in range(3000)])
+    found = packing.assign(sizes, 2048)
+    used, cost = collections.Counter(), collections.Counter()
+    for doc, start, size, sequence, offset in found:
+        used[sequence] += size
+        cost[sequence] += size + size * size / 1024
+    assert sum(used.values()) == sizes.sum() and sum(n != 2048 for n in used.values()) <= 11
+    shared = [cost[s] for s in used if used[s] == 2048 and cost[s] < 2048 + 2048 * 2048 / 1024]
+    assert np.std(shared) < 0.6 * np.mean(shared)
+
+
+def test_fingerprint_query_against_single_texts(spark, sf_dir):
+    texts = documents(spark, sf_dir)
+    check_fingerprints(op4(spark, sf_dir).collect(), texts)
+
+
+def check_fingerprints(rows, texts):
+    order = sorted(texts)
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts)
+    for i, after in zip(order, order[1:] + order[:1]):
+        quarter = len(texts[i]) // 4
+        edited = texts[i][:len(texts[i]) - quarter] + texts[after][:quarter]
+        own, changed, other = lz.fingerprint(texts[i]), lz.fingerprint(edited), lz.fingerprint(texts[after])
+        assert tuple(got[i]) == (i, len(texts[i]), hashlib.sha256(edited.encode()).hexdigest(), own, changed, lz.likeness(own, changed), lz.likeness(own, other))
+
+
+def test_fingerprints_of_odd_texts(spark):
+    texts = {i * 7 - 20: t for i, t in enumerate(ODD)}
+    df = spark.createDataFrame([(i, t or None, 5) for i, t in texts.items()], "doc_id bigint, text string, range int").repartition(4)
+    check_fingerprints(lz.fingerprints(df).collect(), texts)
+    check_fingerprints(lz.fingerprints(df.where("doc_id = 8")).collect(), {8: texts[8]})
+    assert lz.fingerprints(df.limit(0)).count() == 0
+    again = lz.fingerprints(spark.createDataFrame([(None, "b"), (1, "same"), (1, "same"), (2, None)], "doc_id bigint, text string")).collect()
+    assert [r.doc_id for r in sorted(again, key=lambda r: (r.doc_id or 0))] == [None, 1, 1, 2]
+
+
+def test_likeness_follows_what_is_shared():
+    chance = random.Random(2)
+    text = " ".join("".join(chance.choices("abcdefghij", k=5)) for _ in range(800))
+    other = " ".join("".join(chance.choices("klmnopqrst", k=5)) for _ in range(800))
+    own = lz.fingerprint(text)
+    near = [lz.likeness(own, lz.fingerprint(text[:len(text) * k // 4] + other[len(text) * k // 4:])) for k in (4, 3, 2, 0)]
+    assert near[0] == 1 and near == sorted(near, reverse=True) and near[-1] < 0.1
+    assert lz.likeness(lz.fingerprint(""), lz.fingerprint("")) == 1 and lz.likeness(lz.fingerprint(""), own) == 0
+
+
+@pytest.fixture(scope="module")
+def model():
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_ids_and_texts_equal_the_library(model):
+    chance = random.Random(4)
+    signs = list("abc é\n\t ▁  <>0x0A😀ßtheing日本語ﬁ①\u3000\u200bİ")
+    texts = [*ODD, *("".join(chance.choices(signs, k=chance.randint(0, 80))) for _ in range(1500)), "日本" * 100]
+    known = pieces.load(public_tokenizers.path("piece_bpe_32k.model"), "merges")
+    wanted = [np.array(x, "<u4").tobytes() for x in model.encode(texts, num_threads=1)]
+    assert pieces.Encoder(known, most=500).ids(pa.array(texts)) == wanted
+    assert [pieces.decode_ids(known, x) for x in wanted] == [model.decode(np.frombuffer(x, "<u4").tolist()) for x in wanted]
+
+
+def test_sentencepiece_query(spark, sf_dir, model):
+    texts = documents(spark, sf_dir)
+    for r in op10(spark, sf_dir).collect():
+        ids = model.encode(texts[r.doc_id])
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert r.round_trip and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_encoding_keeps_columns_and_nulls(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (2, "a b", "y")], "doc_id bigint, text string, ids string")
+    out = pieces.decode_column(pieces.encode_column(df, path), path)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    assert sorted((r.doc_id, r.decoded) for r in out.collect()) == [(1, ""), (2, ""), (2, "a b")]
+    assert pieces.encode_column(df.limit(0), path).count() == 0
+
+
+def test_viterbi_finds_the_best_segmentation():
+    chance = random.Random(6)
+    vocabulary = sorted({"".join(chance.choices("abc", k=chance.randint(1, 4))) for _ in range(40)} | {"a", "b"} - {"c"})
+    scores = [-chance.random() * 5 - 1 for _ in vocabulary]
+    known = pieces.Pieces(["<unk>", *vocabulary], [0.0, *scores], "unigram", {}, 0)
+    worst = min(s for v, s in zip(vocabulary, scores)) - pieces.UNKNOWN_COST
+
+    def best(text):
+        value = [0.0] + [-math.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(end):
+                piece = text[start:end]
+                score = scores[vocabulary.index(piece)] if piece in vocabulary else worst if end - start == 1 else -math.inf
+                value[end] = max(value[end], value[start] + score)
+        return value[-1]
+
+    texts = ["".join(chance.choices("abcd", k=chance.randint(1, 12))) for _ in range(300)]
+    for text, ids in zip(texts, known.unit_ids(texts)):
+        assert math.isclose(sum([0.0, *scores][i] if i else worst for i in ids), best(text))
+        assert all(i == 0 or known.by_text[vocabulary[i - 1]] == i for i in ids)
+
+
+def tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), "</s>"]
+
+
+def test_language_model_query(spark, sf_dir):
+    found = {i: tokens(t) for i, t in documents(spark, sf_dir).items()}
+    learned = {i for i in found if zlib.crc32(str(i).encode()) % 7 != 2}
+    counts = collections.Counter(w for i in learned for w in found[i])
+    total, known = sum(counts.values()), len(counts)
+    rows = op9(spark, sf_dir).collect()
+    assert len(rows) == len(found)
+    for r in rows:
+        base = sum(math.log10((counts[w] + 1) / (total + known + 1)) for w in found[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in learned, len(found[r.doc_id]), sum(counts[w] > 0 for w in found[r.doc_id]), total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_language_model_is_the_same_however_it_is_dealt_out(spark, monkeypatch):
+    chance = random.Random(8)
+    rows = [(i, " ".join(chance.choices("the a cat dog runs sleeps here there".split(), k=30)), i % 4 > 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean")
+    one = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(df, F.col("learn"), parts=1).collect()}
+    many = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(df.repartition(5), F.col("learn"), parts=13).collect()}
+    monkeypatch.setattr(pitman_yor, "frequent_contexts", lambda texts, parts: np.zeros(0, np.uint64))
+    cold = {r.doc_id: r.score for r in pitman_yor.pitman_yor_scores(df, F.col("learn"), parts=4).collect()}
+    assert all(math.isclose(one[i], cold[i], rel_tol=1e-9) for i in one)
+    assert all(math.isclose(one[i], many[i], rel_tol=0.02) for i in one)
+
+
+def test_chances_after_a_context_add_up():
+    """Predictive chances of all words of a restaurant and of the unknown one, by the parts of the model."""
+    count = np.array([5, 1, 2, 0, 0], np.int64)
+    base = np.array([0.2, 0.1, 0.3, 0.15, 0.25])
+    owner, seed = np.zeros(5, np.int64), np.arange(5, dtype=np.uint64)
+    for tables, strength in pitman_yor.gibbs(count, owner, np.array([8]), base, 0.7, seed, 6, lambda t: t):
+        assert (tables[:3] >= 1).all() and (tables <= count).all()
+        whole = (count - 0.7 * tables + strength[0] * base) / (pitman_yor.STRENGTH + 8)
+        assert math.isclose(whole.sum(), 1.0)
+
+
+def test_tables_grow_with_customers_and_base():
+    seed = np.arange(4000, dtype=np.uint64)
+    few, many = (pitman_yor.seat(np.full(4000, n, np.int64), np.full(4000, 10.0), np.full(4000, p), 0.5, seed, 0)[0].mean() for n, p in ((10, 0.01), (1000, 0.05)))
+    assert 1 < few < many < 200
+
+
+def test_language_model_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert pitman_yor.pitman_yor_scores(empty, F.lit(True)).count() == 0
+    rows = spark.createDataFrame([(1, "a b"), (2, None), (2, ""), (None, "c")], "doc_id bigint, text string")
+    got = sorted(map(tuple, pitman_yor.pitman_yor_scores(rows, F.lit(None).cast("boolean")).collect()))
+    assert got == [(1, 3, 0, 0, 0.0, 0.0), (2, 2, 0, 0, 0.0, 0.0)]
