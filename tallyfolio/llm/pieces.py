@@ -191,7 +191,7 @@ def load(path: str, kind: str) -> Pieces:
 class Encoder:
     """Ids of texts; units met before are kept, up to ``most`` of them."""
 
-    def __init__(self, pieces: Pieces, most: int = 300_000) -> None:
+    def __init__(self, pieces: Pieces, most: int = 100_000) -> None:
         self.pieces, self.most, self.known = pieces, most, {}
 
     @staticmethod
@@ -251,6 +251,22 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", kind: str
     return rest.mapInArrow(run, with_column(rest, ids_col, "binary"))
 
 
+def round_trip_column(docs: DataFrame, path: str, text_col: str = "text", kind: str = "merges", ids_col: str = "ids",
+                      decoded_col: str = "decoded") -> DataFrame:
+    """As ``encode_column`` and then ``decode_column``, in one Python worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(path, kind)
+        encoder = Encoder(pieces)
+        for batch in small_batches(batches, text_col, 1 << 20):
+            ids = encoder.ids(batch[text_col])
+            texts = [decode_ids(pieces, x) for x in ids]
+            yield batch.append_column(ids_col, pa.array(ids, pa.binary())).append_column(decoded_col, pa.array(texts, pa.string()))
+
+    rest = docs.drop(ids_col, decoded_col)
+    schema = with_column(rest, ids_col, "binary").add(decoded_col, "string")
+    return rest.mapInArrow(run, schema)
+
+
 def decode_column(docs: DataFrame, path: str, ids_col: str = "ids", kind: str = "merges", text_col: str = "decoded") -> DataFrame:
     """``docs`` with ``text_col``, the text of the ids; null stays null. A column that is already called so is replaced."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

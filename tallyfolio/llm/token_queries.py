@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfolio.llm.fingerprints import fingerprints
 from tallyfolio.llm.packing import pack_documents
-from tallyfolio.llm.pieces import decode_column, encode_column
+from tallyfolio.llm.pieces import round_trip_column
 from tallyfolio.llm.pitman_yor import pitman_yor_scores
 from tallyfolio.llm.registry import query, table
 
@@ -35,7 +35,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode_column(encode_column(docs, path), path)
+    coded = round_trip_column(docs, path)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
                         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
