@@ -59,14 +59,19 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
+    @staticmethod
+    def prefixes(codes: np.ndarray) -> np.ndarray:
+        """Hashes of the beginnings of each row, of length 0 to all."""
+        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        hashed = code_hash(codes)
+        for i in range(codes.shape[1]):
+            out[:, i + 1] = out[:, i] * STEP + hashed[:, i]
+        return out
+
     def viterbi(self, codes: np.ndarray) -> np.ndarray:
         """Lengths of the pieces that end at each place of the best segmentation of each row; 0 elsewhere."""
         n, length = codes.shape
-        power = powers(length + 1)
-        prefix = np.zeros((n, length + 1), np.uint64)
-        hashed = code_hash(codes)
-        for i in range(length):
-            prefix[:, i + 1] = prefix[:, i] * STEP + hashed[:, i]
+        power, prefix = powers(length + 1), self.prefixes(codes)
         best, back = np.full((n, length + 1), -np.inf), np.zeros((n, length + 1), np.int64)
         best[:, 0] = 0
         for end in range(1, length + 1):
@@ -146,34 +151,39 @@ class Pieces:
             offer(a)
         return [n for n in size if n]
 
-    def unit_ids(self, units: list[str]) -> list[list[int]]:
-        """Ids of every unit."""
+    def spelled(self, unit: str, sizes: list[int]) -> bytes:
+        """Ids of a unit cut into pieces of these lengths; what is no piece becomes its bytes, or the unknown id."""
+        ids, at = [], 0
+        for n in sizes:
+            known = self.by_text.get(unit[at:at + n])
+            raw = [] if known is not None else self.byte_ids[list(unit[at:at + n].encode())]
+            ids.extend([known] if known is not None else raw.tolist() if (raw >= 0).all() else [self.unknown])
+            at += n
+        return np.array(ids, "<u4").tobytes()
+
+    def unit_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of every unit, little-endian unsigned 32-bit."""
         lengths = np.array([len(u) for u in units])
-        found: list = [None] * len(units)
-        for length in np.unique(lengths):
+        out: list = [b""] * len(units)
+        for length in np.unique(lengths[lengths > 0]):
             where = np.flatnonzero(lengths == length)
             if self.kind == "merges" and length > LONG:
                 for i in where:
-                    found[i] = self.merge_long(units[i])
+                    out[i] = self.spelled(units[i], self.merge_long(units[i]))
                 continue
             for a in range(0, len(where), 1 + (1 << 20) // int(length)):
-                some = where[a:a + 1 + (1 << 20) // int(length)]
-                codes = np.frombuffer("".join(units[i] for i in some).encode("utf-32-le"), "<u4").reshape(len(some), -1)
+                some = where[a:a + 1 + (1 << 20) // int(length)].tolist()
+                codes = np.frombuffer("".join([units[i] for i in some]).encode("utf-32-le"), "<u4").reshape(len(some), -1)
                 ends = self.viterbi(codes) if self.kind == "unigram" else self.merges(codes)
-                for i, row in zip(some, ends):
-                    found[i] = row[row > 0].tolist()
-        out = []
-        for unit, sizes in zip(units, found):
-            ids, at = [], 0
-            for n in sizes:
-                known = self.by_text.get(unit[at:at + n])
-                if known is not None:
-                    ids.append(known)
-                else:
-                    raw = self.byte_ids[list(unit[at:at + n].encode())]
-                    ids.extend(raw.tolist() if (raw >= 0).all() else [self.unknown])
-                at += n
-            out.append(ids)
+                row, end = np.nonzero(ends)
+                size = ends[row, end]
+                prefix, power = self.prefixes(codes), powers(length + 1)
+                at = self.find(prefix[row, end + 1] - prefix[row, end + 1 - size] * power[size])
+                flat = self.ids[at].astype("<u4").tobytes()
+                places = (np.cumsum(np.bincount(row, minlength=len(some))) * 4).tolist()
+                odd = set(row[at < 0].tolist())
+                for k, (i, b, e) in enumerate(zip(some, [0, *places], places)):
+                    out[i] = flat[b:e] if k not in odd else self.spelled(units[i], ends[k][ends[k] > 0].tolist())
         return out
 
 
@@ -191,7 +201,7 @@ def load(path: str, kind: str) -> Pieces:
 class Encoder:
     """Ids of texts; units met before are kept, up to ``most`` of them."""
 
-    def __init__(self, pieces: Pieces, most: int = 100_000) -> None:
+    def __init__(self, pieces: Pieces, most: int = 300_000) -> None:
         self.pieces, self.most, self.known = pieces, most, {}
 
     @staticmethod
@@ -224,7 +234,7 @@ class Encoder:
             self.known.clear()
             new = list(set(units))
         forms = [u.decode().replace(" ", chr(SPACE)) for u in new]
-        self.known.update((u, np.array(ids, "<u4").tobytes()) for u, ids in zip(new, self.pieces.unit_ids(forms)))
+        self.known.update(zip(new, self.pieces.unit_ids(forms)))
         parts = [self.known[u] for u in units]
         edges = np.searchsorted(starts, offsets)
         return [b"".join(parts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
