@@ -1,13 +1,14 @@
 """Facts counted from cleaned text, one row at a time: no join, no explode, no shuffle.
 
-All functions take cleaned text (or its tokens). Dictionaries must go through the same cleaning; the
-helpers below do that for Python lists. A per-row ``array`` column works as dictionary as well, which is
-how the terms of a document's own job description are matched.
+All functions take cleaned text, its words, or its phrases (all runs of up to so many words). Dictionaries go
+through the same cleaning as the text, so "problem-solving" or "Led" match as they are written. A per-row
+``array`` column works as dictionary as well, which is how the terms of a document's own job are matched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,16 +21,20 @@ def tokens(clean: Column) -> Column:
     return F.array_remove(F.split(F.lower(clean), " "), "")
 
 
-def terms_of(text: Column, min_chars: int = 1) -> Column:
-    """Distinct words of a raw text, as a dictionary column."""
-    return F.filter(F.array_distinct(tokens(clean_text(text))), lambda word: F.length(word) >= min_chars)
+def clean_term(term: Column) -> Column:
+    """A dictionary term as it can occur in cleaned text; empty if nothing of it can."""
+    return F.lower(clean_text(term))
 
 
 def term_array(terms: Iterable[str]) -> Column:
-    """Dictionary literal, cleaned like the text it is matched with and without repeats."""
-    cleaned = F.transform(F.array(*[F.lit(term) for term in terms]),
-                          lambda term: F.lower(clean_text(term)))
-    return F.array_distinct(cleaned)
+    """Dictionary literal, cleaned like the text it is matched with, without repeats and empty terms."""
+    literal = F.array(*[F.lit(term) for term in terms]).cast("array<string>")
+    return F.array_remove(F.array_distinct(F.transform(literal, clean_term)), "")
+
+
+def longest(terms: Iterable[str]) -> int:
+    """Most words that a term of the list can have after cleaning, at least 1."""
+    return max([1, *(len(re.findall("[a-zA-Z0-9]+", term)) for term in terms)])
 
 
 def grams(words: Column, n: int) -> Column:
@@ -41,28 +46,19 @@ def grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def matched(words: Column, terms: Column) -> Column:
-    """Terms of the dictionary that occur among the words (each once)."""
-    return F.array_intersect(words, terms)
+def phrases(words: Column, most: int) -> Column:
+    """All runs of 1 to ``most`` words."""
+    return words if most == 1 else F.concat(*[grams(words, n) for n in range(1, most + 1)])
 
 
-def phrase_hits(clean: Column, phrases: Sequence[str], few: int = 100) -> Column:
-    """How many phrases of a fixed list (lower-case, cleaned) occur in a cleaned text as whole words.
+def matched(found: Column, terms: Column) -> Column:
+    """Terms of the dictionary that occur among the words or phrases (each once)."""
+    return F.array_intersect(terms, found)
 
-    A few phrases are searched one by one. Of a long list the phrases of equal word count are intersected
-    with all word runs of that length, so the work does not grow with the list.
-    """
-    distinct = list(dict.fromkeys(phrases))
-    if len(distinct) <= few:
-        padded = F.concat(F.lit(" "), F.lower(clean), F.lit(" "))
-        hits = [F.contains(padded, F.lit(f" {phrase} ")).cast("int") for phrase in distinct]
-    else:
-        by_length: dict[int, list[str]] = {}
-        for phrase in distinct:
-            by_length.setdefault(len(phrase.split(" ")), []).append(phrase)
-        hits = [F.size(matched(grams(tokens(clean), n), F.array(*[F.lit(p) for p in same])))
-                for n, same in sorted(by_length.items())]
-    return sum(hits[1:], hits[0]) if hits else F.lit(0)
+
+def phrase_hits(clean: Column, wanted: Sequence[str]) -> Column:
+    """How many different phrases of a fixed list occur in a cleaned text as whole words."""
+    return F.size(matched(phrases(tokens(clean), longest(wanted)), term_array(wanted)))
 
 
 def run_starts(sorted_words: Column) -> Column:
@@ -96,12 +92,16 @@ def number_count(clean: Column) -> Column:
     return F.regexp_count(clean, F.lit("[0-9]+"))
 
 
-def highest_rank(words: Column, ranks: Mapping[str, int]) -> Column:
-    """Highest rank of the dictionary terms among the words, 0 if there is none."""
-    found = F.lit(0)
-    for term, rank in sorted(ranks.items(), key=lambda item: item[1]):
-        found = F.when(F.array_contains(words, term), F.lit(rank)).otherwise(found)
-    return found
+def highest_rank(found: Column, ranked: Column) -> Column:
+    """Highest rank of the terms ``array<struct<term, rank>>`` among the words or phrases, 0 if there is none."""
+    hits = F.filter(ranked, lambda t: F.array_contains(found, t["term"]))
+    return F.coalesce(F.array_max(F.transform(hits, lambda t: t["rank"])), F.lit(0))
+
+
+def ranked_terms(ranks: dict[str, int]) -> Column:
+    """Dictionary literal of terms with ranks, cleaned."""
+    pairs = F.array(*[F.struct(clean_term(F.lit(term)).alias("term"), F.lit(rank).alias("rank")) for term, rank in ranks.items()])
+    return F.filter(pairs, lambda t: t["term"] != "")
 
 
 def share_level(found: Column, wanted: Column, floors: Sequence[float]) -> Column:
@@ -112,6 +112,11 @@ def share_level(found: Column, wanted: Column, floors: Sequence[float]) -> Colum
     return F.when(wanted > 0, level).otherwise(F.lit(len(floors) + 1))
 
 
+def years_level(years: Column, wanted: Column) -> Column:
+    """1 for at least the wanted years, 2 for at least half of them, else 3; NULL counts as none stated."""
+    return F.when(years >= wanted, 1).when(years * 2 >= wanted, 2).otherwise(3)
+
+
 def floor_level(value: Column, floors: Sequence[int]) -> Column:
     """Level by absolute floors, best first; NULL counts as below all floors."""
     level = F.lit(len(floors) + 1)

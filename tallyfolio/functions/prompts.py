@@ -11,8 +11,7 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyfolio.operators.rubric import POINTS, UNSCORABLE, section_max
-from tallyfolio.schemas import CHAT_REPLY
+from tallyfolio.schemas import CHAT_REPLY, POINTS, UNSCORABLE, section_max
 
 # Sections and points of the outline, as asked of the model in all three prompts.
 OUTLINE = {
@@ -38,19 +37,16 @@ MODEL = "gpt-4o-mini"
 TEMPERATURE = 0.1
 MAX_TOKENS = None
 
-# What each level of a criterion means, best first.
+# What each level of a criterion means, best first: in the shares and floors that this package counts by itself.
 LEVELS = {
-    "1.1": ["every important keyword of the job is there", "most are there, some critical ones are not",
-            "few or no key terms"],
-    "1.2": ["earlier roles match the job closely", "they overlap in part", "they have little to do with it"],
-    "1.3": ["duties stated with action words and measured outcomes", "duties stated without either",
-            "duties vague or generic"],
-    "2.1": ["at least the years asked for", "a little under, but in the field", "too few or in another field"],
-    "2.2": ["all skills asked for, shown by examples or certificates", "most skills, not shown by examples",
-            "some skills", "hardly any"],
-    "2.3": ["soft skills shown by examples", "soft skills named without examples", "hardly mentioned"],
-    "3.1": ["what is asked for or more", "the basic requirement only", "less than what is asked for"],
-    "3.2": ["certificates that fit the job directly", "certificates that fit in part", "none that fit"],
+    "1.1": ["half of the job's skill terms or more occur", "a quarter or more", "less than a quarter"],
+    "1.2": ["half of the role titles listed for the job or more occur", "an eighth or more", "less than an eighth, or none are listed"],
+    "1.3": ["both action words and numbers occur", "only one of the two", "neither"],
+    "2.1": ["the stated years reach those of the job", "they reach half of them", "less, or no years are stated"],
+    "2.2": ["half of the terms marked critical or more occur", "a quarter or more", "an eighth or more", "less than an eighth"],
+    "2.3": ["three soft skills of the list or more occur", "one or two", "none"],
+    "3.1": ["a degree of rank 2 or above", "a degree of rank 1", "no degree of the list"],
+    "3.2": ["half of the certifications listed for the job or more occur", "an eighth or more", "less than an eighth, or none are listed"],
 }
 
 

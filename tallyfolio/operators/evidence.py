@@ -1,8 +1,8 @@
-"""Evidence of documents against the terms of their job, and its way to rubric levels."""
+"""Evidence of documents against the dictionary of their job, and its way to rubric levels."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,17 +10,60 @@ from pyspark.sql import functions as F
 from tallyfolio.functions import evidence as ev
 from tallyfolio.functions.text import clean_text
 from tallyfolio.operators.rubric import criteria, points_of
+from tallyfolio.workspace import materialize
 
+# Kinds of dictionary terms, and the columns they become.
+KINDS = {"skill": "skills", "soft_skill": "soft_skills", "role": "roles", "certification": "certifications", "action": "actions"}
+DEGREE = "degree"
+NO_YEARS = 1    # what a job asks for that states no years
 
-def job_terms(jobs: DataFrame, min_chars: int = 4, critical_chars: int = 8) -> DataFrame:
-    """``(request_id, terms, critical_terms)``: words of each job text; long words count as critical."""
-    terms = jobs.select("request_id", ev.terms_of(F.col("jd_text"), min_chars).alias("terms"))
-    return terms.withColumn("critical_terms", F.filter("terms", lambda t: F.length(t) >= critical_chars))
 
+def cleaned_dictionary(dictionary: DataFrame) -> DataFrame:
+    """``(request_id, kind, term, critical, rank)`` with terms as they occur in cleaned text; empty terms are dropped."""
+    return (dictionary.select("request_id", "kind", ev.clean_term(F.col("term")).alias("term"),
+                              F.coalesce("critical", F.lit(False)).alias("critical"), F.coalesce("rank", F.lit(1)).alias("rank"))
+            .filter("term <> ''").distinct())
 
-def with_words(documents: DataFrame, text: str) -> DataFrame:
-    """Add ``clean`` and ``words``, the inputs of the evidence functions, evaluated once per row."""
-    return documents.withColumn("clean", clean_text(F.col(text))).withColumn("words", ev.tokens(F.col("clean")))
+
+def longest_term(cleaned: DataFrame) -> int:
+    """Most words of a term, at least 1: how long the phrases of a document have to be."""
+    return cleaned.agg(F.max(F.size(F.split("term", " "))).alias("n")).first().n or 1
+
+
+def job_dictionary(jobs: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """``request_id``, a term array for each kind, ``critical_skills``, ``degrees`` and ``wanted_years`` of each job.
+
+    Terms without a request count for every job. Nothing is cut: short terms such as "C" or "R" are terms, and which
+    skills are critical is said by the dictionary.
+    """
+    wanted = jobs.select("request_id", ev.years_of_experience(clean_text(F.col("jd_text"))).alias("wanted_years"))
+    arrays = [F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(column) for kind, column in KINDS.items()]
+    critical = F.collect_set(F.when((F.col("kind") == "skill") & F.col("critical"), F.col("term"))).alias("critical_skills")
+    degrees = F.collect_set(F.when(F.col("kind") == DEGREE, F.struct("term", "rank"))).alias("degrees")
+    by_job = cleaned.filter("request_id IS NOT NULL").groupBy("request_id").agg(*arrays, critical, degrees)
+    shared = cleaned.filter("request_id IS NULL").agg(*arrays, critical, degrees)       # one row
+    columns = {c: "array<string>" for c in (*KINDS.values(), "critical_skills")} | {"degrees": "array<struct<term:string,rank:int>>"}
+
+    def with_shared(column: str, kind: str):
+        own = F.coalesce(column, F.array().cast(kind))
+        return F.sort_array(F.array_union(own, F.coalesce(shared.select(column).scalar(), F.array().cast(kind)))).alias(column)
+
+    return materialize(wanted.join(by_job, "request_id", "left").select(
+        "request_id", F.coalesce("wanted_years", F.lit(NO_YEARS)).alias("wanted_years"),
+        *[with_shared(column, kind) for column, kind in columns.items()]), "job_terms")
+
+
+def with_words(documents: DataFrame, text: str, most: int = 1) -> DataFrame:
+    """Add ``clean``, ``words`` and ``phrases`` (runs of up to ``most`` words), evaluated once per row."""
+    worded = documents.withColumn("clean", clean_text(F.col(text))).withColumn("words", ev.tokens(F.col("clean")))
+    return worded.withColumn("phrases", ev.phrases(F.col("words"), most))
+
+
+def keyword_counts(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Per kind how many terms of the job occur and how many there are; needs ``with_words`` and the job's columns."""
+    columns = [*KINDS.values(), "critical_skills"]
+    return documents.select(*keep, *[F.size(ev.matched(F.col("phrases"), F.col(c))).alias(f"{c}_found") for c in columns],
+                            *[F.size(c).alias(f"{c}_wanted") for c in columns])
 
 
 def term_frequency(documents: DataFrame, key: str, text: str, top: int | None = None) -> DataFrame:
@@ -37,38 +80,39 @@ def term_frequency(documents: DataFrame, key: str, text: str, top: int | None =
 
 def outcome_counts(documents: DataFrame, key: str, action_words: Sequence[str]) -> DataFrame:
     """Action words and numbers in each document (from ``with_words``), and whether both are there."""
-    hits = F.size(ev.matched(F.col("words"), F.array(*[F.lit(w) for w in action_words])))
-    counted = documents.select(key, hits.alias("action_words"), ev.number_count(F.col("clean")).alias("numbers"))
+    found = ev.matched(ev.phrases(F.col("words"), ev.longest(action_words)), ev.term_array(action_words))
+    counted = documents.select(key, F.size(found).alias("action_words"), ev.number_count(F.col("clean")).alias("numbers"))
     return counted.withColumn("measurable", (F.col("action_words") > 0) & (F.col("numbers") > 0))
 
 
-def rubric_levels(documents: DataFrame, keep: Sequence[str], action_words: Sequence[str],
-                  soft_skills: Sequence[str], degrees: Mapping[str, int], wanted_years: int = 10) -> DataFrame:
-    """Level of each criterion from counted evidence; needs ``with_words`` and the job's term columns.
+def rubric_levels(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Level of each criterion from counted evidence; needs ``with_words`` and the columns of ``job_dictionary``.
 
-    The floors are parameters of this package. One pass over the rows.
+    The shares and floors are parameters of this package. One pass over the rows.
     """
+    def hits(column: str):
+        return F.size(ev.matched(F.col("phrases"), F.col(column)))
+
     counted = documents.select(
-        *keep,
-        F.size(ev.matched(F.col("words"), F.col("terms"))).alias("_terms"), F.size("terms").alias("_wanted"),
-        F.size(ev.matched(F.col("words"), F.col("critical_terms"))).alias("_critical"),
-        F.size("critical_terms").alias("_wanted_critical"),
-        F.size(ev.matched(F.col("words"), F.array(*[F.lit(w) for w in action_words]))).alias("_actions"),
-        F.size(ev.matched(F.col("words"), F.array(*[F.lit(w) for w in soft_skills]))).alias("_soft"),
-        ev.number_count(F.col("clean")).alias("_numbers"),
-        ev.years_of_experience(F.col("clean")).alias("_years"),
-        ev.highest_rank(F.col("words"), degrees).alias("_degree"))
+        *keep, *[hits(c).alias(f"_{c}") for c in (*KINDS.values(), "critical_skills")],
+        *[F.size(c).alias(f"_{c}_wanted") for c in ("skills", "roles", "certifications", "critical_skills")],
+        ev.number_count(F.col("clean")).alias("_numbers"), ev.years_of_experience(F.col("clean")).alias("_years"), "wanted_years",
+        ev.highest_rank(F.col("phrases"), F.col("degrees")).alias("_degree"))
     clarity = (F.when((F.col("_actions") > 0) & (F.col("_numbers") > 0), 1)
                .when((F.col("_actions") > 0) | (F.col("_numbers") > 0), 2).otherwise(3))
+
+    def share(column: str, floors: list[float]):
+        return ev.share_level(F.col(f"_{column}"), F.col(f"_{column}_wanted"), floors)
+
     levels = {
-        "1.1": ev.share_level(F.col("_terms"), F.col("_wanted"), [0.5, 0.25]),
-        "1.2": ev.share_level(F.col("_terms"), F.col("_wanted"), [0.375, 0.125]),
+        "1.1": share("skills", [0.5, 0.25]),
+        "1.2": share("roles", [0.5, 0.125]),
         "1.3": clarity,
-        "2.1": ev.floor_level(F.col("_years"), [wanted_years, wanted_years // 2]),
-        "2.2": ev.share_level(F.col("_critical"), F.col("_wanted_critical"), [0.5, 0.25, 0.125]),
-        "2.3": ev.floor_level(F.col("_soft"), [3, 1]),
+        "2.1": ev.years_level(F.col("_years"), F.col("wanted_years")),
+        "2.2": share("critical_skills", [0.5, 0.25, 0.125]),
+        "2.3": ev.floor_level(F.col("_soft_skills"), [3, 1]),
         "3.1": ev.floor_level(F.col("_degree"), [2, 1]),
-        "3.2": F.lit(3),
+        "3.2": share("certifications", [0.5, 0.125]),
     }
     return counted.select(*keep, *[level.cast("int").alias(f"level_{c}") for c, level in levels.items()])
 

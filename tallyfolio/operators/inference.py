@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyfolio.functions.prompts import chat_reply, chat_request, request_body
 from tallyfolio.schemas import STAGE_REPLIES
-from tallyfolio.workspace import new_folder
+from tallyfolio.workspace import lookup_join, materialize, new_folder
 
 ModelCall = Callable[[Sequence[str]], Sequence["str | None"]]
 ModelFactory = Callable[[], ModelCall]
@@ -96,25 +96,39 @@ def call_model(calls: DataFrame, model: ModelFactory, batch_size: int = 1,
     return narrow.mapInPandas(ask, STAGE_REPLIES)
 
 
+COMMITS = 8
+
+
 def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, batch_size: int = 1,
-              parallelism: int | None = None) -> DataFrame:
-    """Run the calls, store the replies, and return ``(unique_id, reply, error)``.
+              parallelism: int | None = None, commits: int = COMMITS) -> DataFrame:
+    """Run the calls, store the replies, and return ``(unique_id, reply, error)``, one row per call.
 
     The stage table is written before anything reads the replies: neither a lost executor nor a second use
-    of the result calls the model again. With a ``table`` path of the caller, only the calls that it does
-    not hold yet are made, so a re-run of a batch asks for the rest.
+    of the result calls the model again. With a ``table`` path of the caller, only calls that it holds no reply
+    for are made: a call that failed before is asked again. Such a table is filled in ``commits`` ranges of
+    the call key, so a run that dies keeps the ranges it has finished.
     """
     spark = calls.sparkSession
-    path = table or new_folder(spark, "stage")
-    open_calls = calls
-    if table is not None and _exists(spark, table):
-        done = spark.read.schema(STAGE_REPLIES).parquet(table)
-        open_calls = calls.join(done.select("call_key"), "call_key", "left_anti")
-    call_model(open_calls, model, batch_size, parallelism).write.mode("append").parquet(path)
-    replies = spark.read.schema(STAGE_REPLIES).parquet(path)
-    if table is not None:
-        replies = replies.join(calls.select("call_key"), "call_key", "left_semi")
-    return replies.select("unique_id", chat_reply(F.col("body")).alias("reply"), "error")
+    if table is None:
+        path = new_folder(spark, "stage")
+        call_model(calls, model, batch_size, parallelism).write.parquet(path)
+        replies = spark.read.schema(STAGE_REPLIES).parquet(path)
+        return replies.select("unique_id", chat_reply(F.col("body")).alias("reply"), "error")
+    asked = materialize(calls.select("unique_id", "call_key"), "asked")
+    left = asked
+    if _exists(spark, table):
+        done = spark.read.schema(STAGE_REPLIES).parquet(table).filter(F.col("body").isNotNull())
+        left = materialize(asked.join(done.select("call_key"), "call_key", "left_anti"), "left")
+    open_calls = materialize(lookup_join(calls, left.select("call_key").distinct(), ["call_key"], "left_semi"), "calls")
+    for number in range(commits):
+        some = open_calls.filter(F.pmod(F.xxhash64("call_key"), F.lit(commits)) == number)
+        call_model(some, model, batch_size, parallelism).write.mode("append").parquet(table)
+    held = spark.read.schema(STAGE_REPLIES).parquet(table)
+    # Of a call that was asked several times a reply comes before an error.
+    best = (lookup_join(held, asked.select("call_key").distinct(), ["call_key"], "left_semi").groupBy("call_key")
+            .agg(F.max(F.struct(F.col("body").isNotNull().alias("answered"), "body", "error")).alias("best")))
+    return asked.join(best, "call_key", "left").select(
+        "unique_id", chat_reply(F.col("best.body")).alias("reply"), F.col("best.error").alias("error"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

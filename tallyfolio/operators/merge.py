@@ -33,11 +33,11 @@ def mark_picked(df: DataFrame, keys: list[str], order: list[str], pick=F.max, el
     on = [*keys, "_order"]
     if estimated_bytes(df) >= wide_bytes:
         picked = materialize(picked, "picked")
-        others = materialize(narrow.join(picked.hint("shuffle_hash"), on, "left_anti").distinct(), "others")
+        others = materialize(narrow.join(picked, on, "left_anti").distinct(), "others")
         if fits_broadcast(others):
             marked = rows.join(F.broadcast(others.withColumn("_other", F.lit(True))), on, "left")
             return marked.withColumn(column, allowed & F.col("_other").isNull()).drop("_order", "_other")
-    marked = rows.join(picked.withColumn("_hit", F.lit(True)).hint("shuffle_hash"), on, "left")
+    marked = rows.join(picked.withColumn("_hit", F.lit(True)), on, "left")
     return marked.withColumn(column, allowed & F.col("_hit").isNotNull()).drop("_order", "_hit")
 
 

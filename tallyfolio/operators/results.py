@@ -33,6 +33,13 @@ def mark_rejects(rows: DataFrame, order: list[str], key: str = "unique_id",
     return marked.withColumn("reason", reason).drop("_first")
 
 
+def reject_known(marked: DataFrame, known: DataFrame, key: str = "unique_id") -> DataFrame:
+    """Mark also the rows whose key is in ``known`` (unique there): the key holds for the whole table, not for one load."""
+    joined = lookup_join(marked, known.select(key, F.lit(True).alias("_known")), [key])
+    reason = F.coalesce("reason", F.when(F.col("_known"), F.lit(DUPLICATE_KEY)))
+    return joined.withColumn("reason", reason).drop("_known")
+
+
 def accepted(marked: DataFrame) -> DataFrame:
     return marked.filter(F.col("reason").isNull()).drop("reason")
 

@@ -7,16 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfolio.schemas import RUBRIC
-
-# Section -> criterion -> points by level (level 1 is best).
-POINTS = {
-    "1": {"1.1": [6, 3, 1], "1.2": [5, 3, 1], "1.3": [5, 3, 1]},
-    "2": {"2.1": [15, 10, 5], "2.2": [39, 25, 15, 5], "2.3": [9, 7, 3]},
-    "3": {"3.1": [16, 10, 5], "3.2": [5, 3, 1]},
-}
-UNSCORABLE = 0
-
+from tallyfolio.schemas import POINTS, RUBRIC, UNSCORABLE, section_max  # noqa: F401
 
 def rubric_rows() -> list[tuple[str, str, int, int]]:
     return [(section, criterion, level, points)
@@ -39,10 +30,6 @@ def points_of(levels: Mapping[str, Column]) -> Column:
     return total
 
 
-def section_max(section: str) -> int:
-    return sum(ladder[0] for ladder in POINTS[section].values())
-
-
 def rubric_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rubric_rows(), RUBRIC)
 
@@ -60,8 +47,11 @@ def rubric_total(ids: DataFrame, ratings: DataFrame, key: str = "unique_id") ->
     return ids.join(totals, key, "left").select(key, total)
 
 
-def rubric_sections(ratings: DataFrame, key: str = "unique_id") -> DataFrame:
-    """One row per id with the subtotal of each section; the explicit pivot values avoid a scan."""
+def rubric_sections(ids: DataFrame, ratings: DataFrame, key: str = "unique_id") -> DataFrame:
+    """One row per id of ``ids`` with the subtotal of each section, 0 if it has no ratings there.
+
+    The explicit pivot values avoid a scan.
+    """
     sums = _points(ratings).groupBy(key).pivot("section", list(POINTS)).agg(F.sum("points"))
-    return sums.select(key, *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).cast("int").alias(f"section_{s}")
-                              for s in POINTS])
+    return ids.join(sums, key, "left").select(
+        key, *[F.coalesce(F.col(f"`{s}`"), F.lit(UNSCORABLE)).cast("int").alias(f"section_{s}") for s in POINTS])

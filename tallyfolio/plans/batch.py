@@ -13,7 +13,7 @@ from tallyfolio.functions.text import NO_SCORE, clean_text, parse_score, score_i
 from tallyfolio.operators.inference import ModelFactory, requests, require_all, run_stage
 from tallyfolio.operators.jobs import attach_jobs
 from tallyfolio.operators.merge import final_record, last_write_wins
-from tallyfolio.operators.results import accepted, mark_rejects, new_results, rejected
+from tallyfolio.operators.results import accepted, mark_rejects, new_results, reject_known, rejected
 from tallyfolio.sources.decoders import Decoder
 from tallyfolio.sources.intake import OK, decode_files, identify_files, storable
 from tallyfolio.sources.raw_files import put_raw
@@ -94,11 +94,14 @@ def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: Resu
     features = materialize(job_features(jobs, models, tables.get("job")), "features")
     identified = identify_files(files)
     if raw_path is not None:
+        # Files are read and archives expanded once, not for the raw files and again for the documents.
+        identified = materialize(identified, "members")
         put_raw(storable(identified), raw_path, load_id, raw_digits)
     decoded = materialize(decode_files(identified, decoders), "documents")
     documents = decoded.filter(F.col("status") == OK).drop("status", "error")
 
     marked = mark_rejects(new_results(documents, "source_seq", "member"), ["source_seq", "member"])
+    marked = reject_known(marked, results.ids_elsewhere(load_id))
     results.insert(load_id, accepted(marked))
     unread = decoded.filter(F.col("status") != OK).select("unique_id", "name", F.col("status").alias("reason"), "error")
     refused = rejected(marked).select("unique_id", F.col("resume_name").alias("name"), "reason",

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyfolio.functions import prompts
 from tallyfolio.functions.text import clean_text
-from tallyfolio.operators.inference import requests, run_stage
+from tallyfolio.operators.inference import requests, run_stage, text_model
 from tallyfolio.operators.jobs import attach_jobs
 from tallyfolio.operators.merge import final_record
 from tallyfolio.plans import batch, sql
 from tallyfolio.plans.registry import query
 from tallyfolio.plans.samples import documents, jobs, resumes, table
-from tallyfolio.plans.stubs import stub_models
+from tallyfolio.plans.stubs import always_answer_resume, stub_models
 from tallyfolio.workspace import lookup_join, materialize, new_folder
 
 _SQL_JD_PROMPT = sql.render(prompts.JOB_PROMPT, job_description_text="text")
@@ -88,23 +88,24 @@ def sql_score(aspects: str, features: str) -> str:
     return sql.answer_score(sql.render(prompts.SCORE_PROMPT, resume_text=aspects, job_description=features))
 
 
-@query("stage_score", f"""SELECT {sql.RESUME_ID} AS unique_id, {sql_score("substr(d.text, 1, 500)", "b.text")} AS reply
+@query("stage_score", f"""SELECT {sql.RESUME_ID} AS unique_id, {sql_score("d.text", "b.text")} AS reply
   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % {sql.N_JOBS}""")
 def stage_score(spark, sf_dir):
     aspects = resumes(spark, sf_dir).select(
-        "unique_id", "request_id", F.substring("content", 1, 500).alias("key_aspects"))
+        "unique_id", "request_id", F.col("content").alias("key_aspects"))
     features = jobs(spark, sf_dir).withColumnRenamed("jd_text", "job_features")
     return batch.score_replies(aspects, features, stub_models()).select("unique_id", "reply")
 
 
-@query("stage_reuse", f"""SELECT {sql.RESUME_ID} AS unique_id, {_sql_aspects("text")} AS reply FROM documents""")
+@query("stage_reuse", f"""SELECT {sql.RESUME_ID} AS unique_id,
+    {sql.always_answer_resume(sql.render(prompts.RESUME_PROMPT, resume_text="text"))} AS reply FROM documents""")
 def stage_reuse(spark, sf_dir):
-    """A stage table that already holds a part of the calls: the second run asks for the rest only."""
+    """A stage table that holds a part of the calls, some of them failed: the second run asks for the rest only."""
     rows = resumes(spark, sf_dir)
     prompt = prompts.RESUME_PROMPT.render(resume_text=F.col("content"))
-    models, stage = stub_models(), new_folder(spark, "stage")
-    run_stage(requests(rows.filter(F.length("content") > 1000), prompt), models.resume, stage)
-    return run_stage(requests(rows, prompt), models.resume, stage).select("unique_id", "reply")
+    stage = new_folder(spark, "stage")
+    run_stage(requests(rows.filter(F.length("content") > 1000), prompt), stub_models().resume, stage)
+    return run_stage(requests(rows, prompt), text_model(always_answer_resume), stage).select("unique_id", "reply")
 
 
 _SQL_TWO_STAGES = f"""WITH features AS ({_SQL_FEATURES}),

@@ -13,7 +13,7 @@ from tallyfolio.plans import sql
 from tallyfolio.plans.batch import score_batch
 from tallyfolio.plans.inference_queries import _SQL_FEATURES, _sql_aspects, sql_score
 from tallyfolio.plans.registry import query
-from tallyfolio.plans.samples import documents, docx_bytes, jobs, uploads, zip_bytes
+from tallyfolio.plans.samples import documents, docx_bytes, jobs, stored_files, uploads, zip_bytes
 from tallyfolio.plans.store_queries import new_results_table
 from tallyfolio.plans.stubs import stub_models
 from tallyfolio.sources.archives import expand_archives as expand
@@ -23,12 +23,21 @@ from tallyfolio.sources.intake import read_documents
 from tallyfolio.workspace import materialize, new_folder
 
 
-@query("src_files")
+_SQL_PREFIX = "list_extract(['', '_', '.', '', ''], CAST(doc_id % 5 AS INTEGER) + 1)"
+
+
+@query("src_files", f"""SELECT 'd' || (doc_id % 16) || CASE WHEN doc_id % 3 = 0 THEN '/sub/' ELSE '/' END || name AS path, name,
+    CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 7 <> 5 THEN text END AS text,
+    CASE WHEN doc_id % 7 = 5 THEN 'unsupported' END AS status
+  FROM (SELECT *, {_SQL_PREFIX} || 'cv' || (doc_id // 16) || CASE WHEN doc_id % 7 = 5 AND doc_id % 11 <> 0 THEN '.xyz' ELSE '.txt' END AS name
+        FROM documents) WHERE NOT (doc_id % 11 = 0 AND doc_id % 7 = 5)
+  UNION ALL SELECT 'd' || (doc_id % 16) || CASE WHEN doc_id % 3 = 0 THEN '/sub/' ELSE '/' END || {_SQL_PREFIX} || 'cv' || (doc_id // 16) || '.txt',
+    {_SQL_PREFIX} || 'cv' || (doc_id // 16) || '.txt', '', NULL FROM documents WHERE doc_id % 11 = 0 AND doc_id % 7 = 5""")
 def src_files(spark, sf_dir):
-    """The table files themselves as a folder of named files: no file missing, no content read."""
-    listing = list_folders(spark, [sf_dir])
-    return read_folder(spark, sf_dir, listing).select(
-        "name", "is_archive", "length", "status")
+    """Every document as a file in a tree of folders, listed and read back: hidden names, empty files, equal names in folders."""
+    folder = stored_files(spark, sf_dir)
+    files = read_folder(spark, folder, list_folders(spark, [folder]))
+    return files.select("path", "name", F.col("content").cast("string").alias("text"), "status")
 
 
 def _packed(spark, sf_dir, pack, name: str):

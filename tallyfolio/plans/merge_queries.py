@@ -62,12 +62,12 @@ def lookup_default(spark, sf_dir):
 
 
 @query("final_record", f"""SELECT source || '.txt' AS name, text AS content, 'k' || doc_id AS file_path,
-    {sql.clean("CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 300) END")} AS key_feature,
+    {sql.clean("CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END")} AS key_feature,
     CASE WHEN doc_id % 7 = 0 THEN '0' ELSE {sql.parse_score("'Score: ' || (n_chars % 110)")} END AS score
   FROM documents""")
 def final_record(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    aspects = F.when(F.col("doc_id") % 9 != 0, F.substring("text", 1, 300))
+    aspects = F.when(F.col("doc_id") % 9 != 0, F.col("text"))
     reply = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("Score: "), F.col("n_chars") % 110))
     return docs.select(*merge.final_record(F.concat("source", F.lit(".txt")), F.col("text"),
                                            F.concat(F.lit("k"), "doc_id"), aspects, reply))

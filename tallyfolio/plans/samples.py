@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.naming import make_id
-from tallyfolio.workspace import materialize, spread_small
+from tallyfolio.sources.files import file_system
+from tallyfolio.workspace import materialize, new_folder, spread_small
 
 DEGREES = ["no degree", "a Bachelor degree", "a Master degree", "a Doctorate"]
 EXTENSIONS = ["pdf", "txt", "docx", "doc", "ZIP", "tar.GZ", "TXT", "rtf"]
@@ -113,3 +114,26 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = docs.mapInPandas(pack, "request_id long, source_seq long, name string, content binary")
     return materialize(packed, "uploads")
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> str:
+    """A tree in the shared folder with a file for every document; returns its root.
+
+    Some names begin with ``_`` or ``.``, some files are empty, one in seven has no supported format.
+    """
+    folder = new_folder(spark, "files")
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = file_system(folder)
+        for batch in batches:
+            for number, text in zip(batch["doc_id"], batch["text"]):
+                empty = number % 11 == 0
+                place = f"{base}/d{number % 16}" + ("/sub" if number % 3 == 0 else "")
+                system.create_dir(place, recursive=True)
+                name = ("", "_", ".", "", "")[number % 5] + f"cv{number // 16}" + (".xyz" if number % 7 == 5 and not empty else ".txt")
+                with system.open_output_stream(f"{place}/{name}") as file:
+                    file.write(b"" if empty else text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    documents(spark, sf_dir).select("doc_id", "text").mapInPandas(store, "n long").agg(F.sum("n")).first()
+    return folder

@@ -13,6 +13,9 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Fixed values, as in functions/text.py: the patterns of tags, URLs, special signs and scores.
+
+
 def strip_tags(x: str) -> str:
     return f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
 
@@ -50,12 +53,15 @@ def render(prompt: Prompt, **inputs: str) -> str:
 
 
 def answer_job(prompt: str) -> str:
-    return f"('Needs <b>' || substr({prompt}, 21, 120) || '</b>')"
+    return f"('Needs <b>' || {prompt} || '</b>')"
+
+
+def always_answer_resume(prompt: str) -> str:
+    return f"('Skills: <i>' || {prompt} || '</i> (' || length({prompt}) || ')')"
 
 
 def answer_resume(prompt: str) -> str:
-    return (f"CASE WHEN length({prompt}) % 7 = 3 THEN NULL ELSE 'Skills: <i>' || substr({prompt}, 9, 200) "
-            f"|| '</i> (' || length({prompt}) || ')' END")
+    return f"CASE WHEN length({prompt}) % 7 = 3 THEN NULL ELSE {always_answer_resume(prompt)} END"
 
 
 def answer_score(prompt: str) -> str:

@@ -80,6 +80,27 @@ def results_update(spark, sf_dir):
     return store.load("load1")
 
 
+_SQL_TWO_LOADS = f"""SELECT doc_id, {sql.RESUME_ID} AS unique_id, CASE WHEN doc_id % 3 = 0 THEN 'load1' ELSE 'load2' END AS load_id
+  FROM documents"""
+
+
+@query("update_all_loads", f"""SELECT r.unique_id, r.load_id, CASE WHEN l.doc_id IS NOT NULL THEN 'aspect ' || l.doc_id END AS resume_key_aspect,
+    CASE WHEN l.doc_id IS NOT NULL THEN CAST(l.quality AS INTEGER) END AS score
+  FROM ({_SQL_TWO_LOADS}) r LEFT JOIN labels l ON l.doc_id = r.doc_id""")
+def update_all_loads(spark, sf_dir):
+    """The key holds for the whole table: what one load holds the next cannot insert, and an update finds all loads."""
+    rows = resumes(spark, sf_dir)
+    store = new_results_table(spark)
+    store.insert("load1", results.new_results(rows.filter("source_seq % 3 = 0")))
+    marked = results.mark_rejects(results.new_results(rows, "source_seq"), ["source_seq"])
+    store.insert("load2", results.accepted(results.reject_known(marked, store.ids_elsewhere("load2"))))
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "source_seq")
+    updates = rows.select("source_seq", "unique_id").join(labels, "source_seq").select(
+        "unique_id", F.concat(F.lit("aspect "), "source_seq").alias("resume_key_aspect"), F.col("quality").cast("int").alias("score"))
+    store.update(None, materialize(updates, "updates"))
+    return store.read().select("unique_id", "load_id", "resume_key_aspect", "score")
+
+
 def _raw(spark, sf_dir):
     rows = resumes(spark, sf_dir)
     return rows.select("source_seq", stored_key(F.col("unique_id"), F.col("name")).alias("file_path"),
@@ -93,7 +114,7 @@ _SQL_RAW = f"SELECT doc_id, {sql.RESUME_ID} || '_' || {sql.RESUME_NAME} AS file_
 def raw_put(spark, sf_dir):
     path = new_folder(spark, "raw")
     put_raw(_raw(spark, sf_dir), path, "load1", _RAW_DIGITS)
-    return (spark.read.schema("file_path string, content binary, shard string").parquet(path)
+    return (spark.read.schema("file_path string, content binary, load_id string, shard string").parquet(path)
             .select("file_path", "shard", F.col("content").cast("string").alias("text")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 FILES = T.StructType([
@@ -49,3 +51,25 @@ STAGE_REPLIES = T.StructType([
 ])
 
 MAX_NAME_CHARS = 100
+
+_LOAD_ID = re.compile(r"[A-Za-z0-9_-]+")
+
+
+def checked_load(load_id: str) -> str:
+    """The load id, if it can be a folder name."""
+    if not _LOAD_ID.fullmatch(load_id):
+        raise ValueError(f"not a load id: {load_id!r}")
+    return load_id
+
+
+# Section -> criterion -> points by level (level 1 is best).
+POINTS = {
+    "1": {"1.1": [6, 3, 1], "1.2": [5, 3, 1], "1.3": [5, 3, 1]},
+    "2": {"2.1": [15, 10, 5], "2.2": [39, 25, 15, 5], "2.3": [9, 7, 3]},
+    "3": {"3.1": [16, 10, 5], "3.2": [5, 3, 1]},
+}
+UNSCORABLE = 0
+
+
+def section_max(section: str) -> int:
+    return sum(ladder[0] for ladder in POINTS[section].values())

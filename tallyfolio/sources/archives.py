@@ -32,8 +32,9 @@ def expand_archives(archives: DataFrame, keep: list[str], spread: bool = True) -
     """One row per member of each archive: ``keep`` columns, archive, member, name, content, error.
 
     An archive that cannot be opened gives one row with an error; a bad member does not affect the others.
-    Members leave the task in chunks of bounded size and, unless ``spread`` is off, are dealt out to all tasks:
-    one archive may hold a large part of all files.
+    Members leave the task in chunks of bounded size and, unless ``spread`` is off, are dealt out to all tasks by
+    all that tells them apart: one archive may hold a large part of all files, and many requests may upload
+    archives of one name.
     """
     source = archives.select(*keep, "name", "content")
     kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
@@ -58,4 +59,4 @@ def expand_archives(archives: DataFrame, keep: list[str], spread: bool = True) -
                 yield pd.DataFrame(rows, columns=columns).astype({"member": "Int32"})
 
     members = source.mapInPandas(expand, schema)
-    return members.repartition("archive", "member") if spread else members
+    return members.repartition(*keep, "archive", "member") if spread else members

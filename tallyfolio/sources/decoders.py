@@ -47,21 +47,9 @@ def decode_docx(data: bytes) -> str:
     return "\n".join(lines)
 
 
-def decode_pdf(data: bytes) -> str:
-    """Page texts joined without a separator; needs the optional ``pypdf`` package on the executors."""
-    from pypdf import PdfReader
-    return "".join(page.extract_text() for page in PdfReader(io.BytesIO(data)).pages)
-
-
 def default_decoders() -> dict[str, Decoder]:
-    """Decoders that need nothing but what is installed; add your own for ``doc`` or other formats."""
-    decoders: dict[str, Decoder] = {"docx": decode_docx}
-    try:
-        import pypdf  # noqa: F401
-        decoders["pdf"] = decode_pdf
-    except ImportError:
-        pass
-    return decoders
+    """Decoders of this package, the same wherever it runs; add your own for ``pdf``, ``doc`` or other formats."""
+    return {"docx": decode_docx}
 
 
 def decode_text(content: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Folders of uploaded files as rows of the ``files`` schema."""
+"""Folders of uploaded files as rows of the ``files`` schema: a listing made in tasks, contents read from the listing."""
 
 from __future__ import annotations
 
@@ -10,107 +10,117 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfolio.functions.naming import ARCHIVE_FORMAT, FORMATS, UNSUPPORTED, route_format
+from tallyfolio.functions.naming import ARCHIVE_FORMAT, UNSUPPORTED, route_format
+from tallyfolio.workspace import materialize
 
-UNREADABLE_NAME = "unreadable_name"
+TOO_LARGE = "too_large"
 VANISHED = "vanished"
+# A binary value of Spark cannot be larger.
+MAX_LENGTH = 2**31 - 16
 
-_LISTING = "path string, name string, length long, source_seq long"
+LISTING = "folder string, path string, name string, length long, source_seq long"
+_FOUND = LISTING + ", is_folder boolean"
+_ROWS = 10_000
+_CHUNK = 32 << 20
+_READ_A_TASK = 256 << 20
 
 
-def _any_case(extension: str) -> str:
-    return "".join(f"[{letter.lower()}{letter.upper()}]" for letter in extension)
-
-
-def _glob(extensions: list[str]) -> str:
-    """Glob of the names whose last dot segment is one of the extensions, in any case."""
-    patterns = [_any_case(extension) for extension in extensions]
-    return "{" + ",".join(patterns + ["*." + pattern for pattern in patterns]) + "}"
-
-
-def _scan(spark: SparkSession, folder: str, glob: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
-
-
-def _file_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
-
-
-def _folder_path(folder: str) -> str:
-    """Path part of a folder, as it begins the paths of its files."""
+def file_system(folder: str):
+    """File system of a folder and the folder's place in it."""
+    from pyarrow import fs
     parts = urlsplit(folder)
-    return (parts.path if parts.scheme else os.path.abspath(folder)).rstrip("/")
-
-
-def _path_inside(path: Column, folder: str) -> Column:
-    """Path of a scanned file below the folder, without scheme and host."""
-    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
-    return F.substr(plain, F.lit(len(_folder_path(folder)) + 2))
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), (parts.path if parts.scheme else os.path.abspath(folder)).rstrip("/")
+    system, base = fs.FileSystem.from_uri(folder)
+    return system, base.rstrip("/")
+
+
+def _one_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies directly in each (folder, path), in chunks."""
+    from pyarrow import fs
+    for batch in batches:
+        for folder, path in zip(batch["folder"], batch["path"]):
+            system, base = file_system(folder)
+            found = system.get_file_info(fs.FileSelector(f"{base}/{path}".rstrip("/"), recursive=False))
+            found = [f for f in found if f.type != fs.FileType.NotFound]
+            for start in range(0, len(found), _ROWS):
+                some = found[start:start + _ROWS]
+                yield pd.DataFrame({
+                    "folder": folder, "path": [f.path[len(base) + 1:] for f in some], "name": [f.base_name for f in some],
+                    "length": [f.size or 0 for f in some], "source_seq": [(f.mtime_ns or 0) // 1000 for f in some],
+                    "is_folder": [not f.is_file for f in some]})
 
 
 def list_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """``(path, name, length, source_seq)`` of all files, also of those a Spark file scan hides.
+    """``(folder, path, name, length, source_seq)`` of all files, whatever their names, also of those in sub-folders.
 
-    ``path`` is relative to the folder. Each folder is listed in a task of its own, with the file system
-    library of Arrow; nothing is gathered on the driver. A listing that exists already (an upload log, a store
-    inventory) can be used instead of this.
+    ``path`` is relative to the folder; ``source_seq`` is the modification time in microseconds. The tree is walked level by
+    level: each sub-folder is listed by a task of its own, with the file system library of Arrow, and a level is written down
+    before the next is walked. A listing that exists already (an upload log, a store inventory) can be used instead of
+    this; it may also have a ``media_type``.
     """
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-        for batch in batches:
-            for folder in batch["folder"]:
-                if urlsplit(folder).scheme in ("", "file"):
-                    system, base = fs.LocalFileSystem(), _folder_path(folder)
-                else:
-                    system, base = fs.FileSystem.from_uri(folder)
-                found = system.get_file_info(fs.FileSelector(base, recursive=True))
-                files = [f for f in found if f.is_file]
-                yield pd.DataFrame({
-                    "path": [f.path[len(base.rstrip("/")) + 1:] for f in files],
-                    "name": [f.base_name for f in files],
-                    "length": [f.size for f in files],
-                    "source_seq": [f.mtime_ns // 1000 for f in files],
-                })
-
-    paths = spark.createDataFrame([(folder,) for folder in folders], "folder string")
-    return paths.repartition(len(folders), "folder").mapInPandas(walk, _LISTING)
+    level = spark.createDataFrame([(folder, "") for folder in folders], "folder string, path string")
+    levels: list[DataFrame] = []
+    while True:
+        tasks = max(1, min(level.count(), 8 * spark.sparkContext.defaultParallelism))
+        found = materialize(level.repartition(tasks, "folder", "path").mapInPandas(_one_level, _FOUND), "listing")
+        levels.append(found.filter("NOT is_folder").drop("is_folder"))
+        level = found.filter("is_folder").select("folder", "path")
+        if level.isEmpty():
+            break
+    files = levels[0]
+    for more in levels[1:]:
+        files = files.unionByName(more)
+    return files
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contents of the wanted files, in chunks of bounded size; a file that is gone gets a status."""
+    for batch in batches:
+        rows, held = [], 0
+        for row in batch.itertuples(index=False):
+            content, status = None, row.status
+            if row.wanted:
+                system, base = file_system(row.folder)
+                try:
+                    with system.open_input_file(f"{base}/{row.path}") as file:
+                        content = file.read() if file.size() <= MAX_LENGTH else None
+                    status = status if content is not None else TOO_LARGE
+                except FileNotFoundError:
+                    status = VANISHED
+            rows.append((*row[:-2], content, status))
+            held += len(content or b"")
+            if held >= _CHUNK:
+                yield pd.DataFrame(rows, columns=[*batch.columns[:-2], "content", "status"])
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=[*batch.columns[:-2], "content", "status"])
+
+
+def _status(length: Column, route: Column) -> Column:
+    return F.when(route == UNSUPPORTED, F.lit(UNSUPPORTED)).when(length > MAX_LENGTH, F.lit(TOO_LARGE))
+
+
+def read_listed(listing: DataFrame) -> DataFrame:
+    """Files of a listing: its columns less ``folder``, and ``is_archive``, ``content``, ``status``.
+
+    Each content is read once, in a task, from its path; those of unsupported formats never, nor those larger than a binary value
+    can be. Empty files have empty content. The listing is dealt out so that a task reads about the same number of bytes.
+    """
+    spark = listing.sparkSession
+    media_type = F.col("media_type") if "media_type" in listing.columns else None
+    route = route_format(F.col("name"), media_type)
+    kept = ["path", "name", "length", "source_seq", *(["media_type"] if media_type is not None else []),
+            *[c for c in listing.columns if c == "request_id"]]
+    rows = listing.select("folder", *kept, (route == ARCHIVE_FORMAT).alias("is_archive"), route.alias("_route"))
+    rows = rows.withColumn("status", _status(F.col("length"), F.col("_route")))
+    rows = rows.select("folder", *kept, "is_archive", "status", (F.col("status").isNull() | (F.col("length") == 0)).alias("wanted")).drop("_route")
+    size = listing.agg(F.coalesce(F.sum(F.least("length", F.lit(MAX_LENGTH))), F.lit(0)).alias("b")).first().b
+    tasks = max(spark.sparkContext.defaultParallelism, int(size) // _READ_A_TASK + 1)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in ["folder", *kept, "is_archive"]) + ", content binary, status string"
+    return rows.repartition(tasks, "folder", "path").mapInPandas(_read, schema).drop("folder")
 
 
 def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
-    """Files of a folder: ``(source_seq, name, is_archive, length, content, status)``.
-
-    ``source_seq`` is the modification time in microseconds: upload order. Readable formats, archives and the
-    rest are three scans by name pattern, so each content is read at most once and those of unsupported
-    formats never. A file scan leaves out empty files and names that start with ``_`` or ``.``; with a
-    ``listing`` of the same folder they come back, the empty ones with empty content and the hidden ones with
-    a status. Only paths are joined for that; contents are never shuffled.
-    """
-    name = _file_name(F.col("path")).alias("name")
-    seq = F.unix_micros("modificationTime").alias("source_seq")
-    no_status = F.lit(None).cast("string").alias("status")
-    no_content = F.lit(None).cast("binary").alias("content")
-
-    def readable(extensions: list[str], is_archive: bool) -> DataFrame:
-        return _scan(spark, folder, _glob(extensions)).select(
-            seq, name, F.lit(is_archive).alias("is_archive"), "length", "content", no_status)
-
-    everything = _scan(spark, folder, None)
-    others = (everything.select(seq, name, F.lit(False).alias("is_archive"), "length", no_content,
-                                F.lit(UNSUPPORTED).alias("status"))
-              .filter(route_format(F.col("name")) == UNSUPPORTED))
-    files = readable(FORMATS, False).unionByName(readable([ARCHIVE_FORMAT], True)).unionByName(others)
-    if listing is None:
-        return files
-    seen = everything.select(_path_inside(F.col("path"), folder).alias("path"))
-    hidden = listing.join(seen, "path", "left_anti")
-    is_empty = F.col("length") == 0
-    extra = hidden.select(
-        "source_seq", "name", (route_format(F.col("name")) == ARCHIVE_FORMAT).alias("is_archive"), "length",
-        F.when(is_empty, F.lit(b"")).alias("content"),
-        F.when(is_empty, F.lit(None))
-        .when(F.substring("name", 1, 1).isin("_", "."), F.lit(UNREADABLE_NAME)).otherwise(F.lit(VANISHED))
-        .alias("status"))
-    return files.unionByName(extra)
+    """Files of a folder: ``(path, name, length, source_seq, is_archive, content, status)``; no file is left out."""
+    return read_listed(list_folders(spark, [folder]) if listing is None else listing)

@@ -24,9 +24,10 @@ LOOSE = -1
 def identify_files(files: DataFrame) -> DataFrame:
     """Loose files and archive members in one frame, each with route, id and stored key.
 
-    Needs ``(request_id, source_seq, name, content)``; ``status``, ``media_type`` and ``is_archive`` are used
-    if they are there.
+    Needs ``(request_id, source_seq, name, content)``; ``status``, ``media_type``, ``is_archive`` and ``path`` are used
+    if they are there. The path is part of the id: files of one name and time in two folders are two files.
     """
+    with_path = "path" in files.columns
     if "status" not in files.columns:
         files = files.withColumn("status", F.lit(None).cast("string"))
     media_type = F.col("media_type") if "media_type" in files.columns else None
@@ -34,23 +35,24 @@ def identify_files(files: DataFrame) -> DataFrame:
     if "is_archive" not in files.columns:
         routed = routed.withColumn("is_archive", F.col("route") == ARCHIVE_FORMAT)
     none = F.lit(None)
+    place = ["path"] if with_path else []
     loose = routed.filter(~F.col("is_archive")).select(
         "request_id", "source_seq", none.cast("string").alias("archive"), F.lit(LOOSE).alias("member"),
-        "name", "content", none.cast("string").alias("error"), "route", "status")
+        "name", "content", none.cast("string").alias("error"), "route", "status", *place)
     archives = routed.filter("is_archive")
-    opened = expand_archives(archives.filter(F.col("status").isNull()), ["request_id", "source_seq"])
+    opened = expand_archives(archives.filter(F.col("status").isNull()), ["request_id", "source_seq", *place])
     # An archive that could not be opened has no member name; it is reported under its own.
     members = opened.select(
         "request_id", "source_seq", "archive", "member", F.coalesce("name", "archive").alias("name"), "content",
         "error", F.when(F.col("member").isNull(), ARCHIVE_FORMAT)
-        .otherwise(route_format_archive(F.col("name"))).alias("route"), none.cast("string").alias("status"))
+        .otherwise(route_format_archive(F.col("name"))).alias("route"), none.cast("string").alias("status"), *place)
     hidden = archives.filter(F.col("status").isNotNull()).select(
         "request_id", "source_seq", none.cast("string").alias("archive"), F.lit(LOOSE).alias("member"),
-        "name", "content", none.cast("string").alias("error"), "route", "status")
-    unique_id = make_id(*[F.col(c) for c in ("request_id", "archive", "member", "name", "source_seq")])
+        "name", "content", none.cast("string").alias("error"), "route", "status", *place)
+    unique_id = make_id(*[F.col(c) for c in ("request_id", "archive", "member", "name", "source_seq", *place)])
     return (loose.unionByName(members).unionByName(hidden)
             .withColumn("unique_id", unique_id)
-            .withColumn("file_path", stored_key(F.col("unique_id"), F.col("name"))))
+            .withColumn("file_path", stored_key(F.col("unique_id"), F.col("name"))).drop(*place))
 
 
 def storable(identified: DataFrame) -> DataFrame:

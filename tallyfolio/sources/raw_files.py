@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfolio.functions.naming import data_url
-from tallyfolio.schemas import RAW_FILES
+from tallyfolio.schemas import RAW_FILES, checked_load
 from tallyfolio.workspace import lookup_join
 
 
@@ -18,25 +18,24 @@ def shard_of(file_path: Column, digits: int) -> Column:
 
 
 def put_raw(files: DataFrame, path: str, load_id: str, digits: int = 2) -> None:
-    """Store ``(file_path, content)`` rows; putting a load again replaces what it had put.
+    """Store ``(file_path, content)`` rows; putting a load again replaces all that it had put, and no other load.
 
-    Rows go to ``16 ** digits`` shard folders by key prefix and are sorted by key in each file; with the bloom
-    filter of the key column a get reads one folder and, in it, few row groups. Adaptive execution splits and
-    joins the write tasks by the bytes they really hold.
+    A load is a folder with ``16 ** digits`` shard folders by key prefix, sorted by key in each file; with the bloom
+    filter of the key column a get reads one shard of each load and, in it, few row groups. Adaptive execution splits and
+    joins the write tasks by the bytes they really hold. Few digits keep the files of small loads few.
     """
     rows = files.select("file_path", "content").withColumn("shard", shard_of(F.col("file_path"), digits))
-    (rows.withColumn("load_id", F.lit(load_id))
-     .hint("rebalance", "shard")
+    (rows.hint("rebalance", "shard")
      .sortWithinPartitions("shard", "file_path")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "load_id")
+     .write.mode("overwrite").partitionBy("shard")
      .option("parquet.bloom.filter.enabled#file_path", "true")
-     .parquet(path))
+     .parquet(f"{path}/load_id={checked_load(load_id)}"))
 
 
 def get_raw(spark: SparkSession, path: str, key: str, digits: int = 2) -> DataFrame:
-    """The file stored under a key; no row if there is none. Only the shard folder of the key is looked at."""
+    """The file stored under a key; no row if there is none. Only the shard folders of the key are looked at."""
     try:
-        shard = spark.read.schema(RAW_FILES).parquet(f"{path}/shard={key[:digits]}")
+        shard = spark.read.schema(RAW_FILES).parquet(f"{path}/load_id=*/shard={key[:digits]}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -52,7 +51,7 @@ def get_data_url(spark: SparkSession, path: str, key: str, digits: int = 2) -> D
 def get_raw_many(spark: SparkSession, path: str, keys: DataFrame, digits: int = 2) -> DataFrame:
     """The files of a frame of keys ``(file_path)``; only the shards of the keys are read when they are few."""
     wanted = keys.select("file_path").distinct().withColumn("shard", shard_of(F.col("file_path"), digits))
-    # The shard is declared as text: inferred, a folder name of digits only would become a number.
-    schema = T.StructType([*RAW_FILES.fields, T.StructField("shard", T.StringType())])
+    # Folder names are declared as text: inferred, those of digits only would become numbers.
+    schema = T.StructType([*RAW_FILES.fields, T.StructField("load_id", T.StringType()), T.StructField("shard", T.StringType())])
     stored = spark.read.schema(schema).parquet(path)
     return lookup_join(stored, wanted, ["shard", "file_path"], "inner").select("file_path", "content")

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfolio.operators.results import RESULT_COLUMNS, apply_updates
-from tallyfolio.schemas import RESULTS
+from tallyfolio.schemas import RESULTS, checked_load
+from tallyfolio.workspace import lookup_join
 
 QUARANTINE_COLUMNS = ["unique_id", "name", "reason", "error"]
 
-_LOAD_ID = re.compile(r"[A-Za-z0-9_-]+")
-
-
-def _checked(load_id: str) -> str:
-    if not _LOAD_ID.fullmatch(load_id):
-        raise ValueError(f"not a load id: {load_id!r}")
-    return load_id
-
-
 class ResultsTable:
     """Parquet table with the fixed results schema, partitioned by load.
 
@@ -39,7 +30,7 @@ class ResultsTable:
                   f"PARTITIONED BY (load_id) LOCATION '{self.location}/table'")
 
     def _publish(self, load_id: str, rows: DataFrame) -> None:
-        folder = f"{self.location}/loads/{_checked(load_id)}/{uuid.uuid4().hex}"
+        folder = f"{self.location}/loads/{checked_load(load_id)}/{uuid.uuid4().hex}"
         rows.select(*RESULT_COLUMNS).write.parquet(folder)
         partition = f"PARTITION (load_id='{load_id}')"
         self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS {partition} LOCATION '{folder}'")
@@ -48,8 +39,19 @@ class ResultsTable:
     def insert(self, load_id: str, rows: DataFrame) -> None:
         self._publish(load_id, rows)
 
-    def update(self, load_id: str, updates: DataFrame) -> None:
-        self._publish(load_id, apply_updates(self.load(load_id), updates))
+    def update(self, load_id: str | None, updates: DataFrame) -> None:
+        """Apply updates to one load, or without a load id to every load that holds one of their keys, and to no other."""
+        for load in [load_id] if load_id is not None else self._loads_with(updates.select("unique_id")):
+            self._publish(load, apply_updates(self.load(load), updates))
+
+    def _loads_with(self, ids: DataFrame) -> list[str]:
+        """Loads that hold one of the ids; of the stored rows only the id column is read."""
+        hit = lookup_join(self.read().select("unique_id", "load_id"), ids.distinct(), ["unique_id"], "left_semi")
+        return sorted(row.load_id for row in hit.select("load_id").distinct().collect())
+
+    def ids_elsewhere(self, load_id: str) -> DataFrame:
+        """Ids that other loads hold."""
+        return self.read().filter(F.col("load_id") != load_id).select("unique_id").distinct()
 
     def quarantine(self, load_id: str, rows: DataFrame) -> None:
         """Keep what the load left out: ``(unique_id, name, reason, error)``."""
@@ -59,7 +61,7 @@ class ResultsTable:
         return self.spark.read.parquet(self._quarantine_folder(load_id))
 
     def _quarantine_folder(self, load_id: str) -> str:
-        return f"{self.location}/quarantine/{_checked(load_id)}"
+        return f"{self.location}/quarantine/{checked_load(load_id)}"
 
     def load(self, load_id: str) -> DataFrame:
         return self.read().filter(F.col("load_id") == load_id).select(*RESULT_COLUMNS)

@@ -64,9 +64,9 @@ def lookup_join(wide: DataFrame, narrow: DataFrame, on: list[str], how: str = "l
     """Join wide rows with a narrow side that is unique in ``on``.
 
     A narrow side that a probe shows to be small is broadcast and the wide rows stay where they are. Beyond
-    that both sides are shuffled and the narrow one is hashed, so that wide rows are never sorted.
+    that Spark chooses: a forced hash table could not spill if the narrow side carries texts.
     """
-    side = F.broadcast(narrow) if fits_broadcast(narrow) else narrow.hint("shuffle_hash")
+    side = F.broadcast(narrow) if fits_broadcast(narrow) else narrow
     return wide.join(side, on, how)
 
 

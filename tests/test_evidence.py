@@ -46,8 +46,8 @@ def test_totals(spark):
     ids = spark.createDataFrame([("best",), ("worst",), ("part",), ("none",)], "unique_id string")
     totals = {r.unique_id: r.total for r in rubric.rubric_total(ids, rated).collect()}
     assert totals == {"best": 100, "worst": 22, "part": 15, "none": 0}
-    sections = {r.unique_id: tuple(r)[1:] for r in rubric.rubric_sections(rated).collect()}
-    assert sections == {"best": (16, 63, 21), "worst": (3, 13, 6), "part": (0, 15, 0)}
+    sections = {r.unique_id: tuple(r)[1:] for r in rubric.rubric_sections(ids, rated).collect()}
+    assert sections == {"best": (16, 63, 21), "worst": (3, 13, 6), "part": (0, 15, 0), "none": (0, 0, 0)}
 
 
 def test_points_of_a_row_equal_the_rating_table(spark):
@@ -83,12 +83,12 @@ def test_term_frequency_equals_a_counter(spark, values):
 @FEW
 @given(st.lists(WORDS, min_size=20, max_size=60))
 def test_phrases_equal_containment(spark, values):
-    phrases = ["a b", "b", "ab abc", "c d a", "a a", "abc"]
+    phrases = ["a b", "B", "ab abc", "c-d a", "a a", "abc", "", " ", "a b"]
+    cleaned = ["a b", "b", "ab abc", "c d a", "a a", "abc"]
     frame = texts(spark, values)
     rows = frame.select("i", "clean").sort("i").collect()
-    expected = [sum(f" {p} " in f" {r.clean.lower()} " for p in phrases) for r in rows]
+    expected = [sum(f" {p} " in f" {r.clean.lower()} " for p in cleaned) for r in rows]
     assert column(frame, ev.phrase_hits(F.col("clean"), phrases)) == expected
-    assert column(frame, ev.phrase_hits(F.col("clean"), phrases, few=0)) == expected
     assert column(frame, ev.phrase_hits(F.col("clean"), [])) == [0] * len(rows)
 
 
@@ -96,15 +96,47 @@ def test_years_numbers_and_degrees(spark):
     frame = texts(spark, ["5+ years and 12 years", "1 year", "100 years", "years", "", "3 yearsold 2 years"])
     assert column(frame, ev.years_of_experience(F.col("clean"))) == [12, 1, None, None, None, 2]
     assert column(frame, ev.number_count(F.col("clean"))) == [2, 1, 1, 0, 0, 2]
-    ranks = {"bachelor": 1, "master": 2}
-    frame = texts(spark, ["Master and Bachelor", "BACHELOR", "mastery", ""])
-    assert column(frame, ev.highest_rank(F.col("words"), ranks)) == [2, 1, 0, 0]
+    ranks = ev.ranked_terms({"Bachelor": 1, "master's": 2, "": 9})
+    frame = texts(spark, ["Master's and Bachelor", "BACHELOR", "mastery", ""]).withColumn("phrases", ev.phrases(F.col("words"), 2))
+    assert column(frame, ev.highest_rank(F.col("phrases"), ranks)) == [2, 1, 0, 0]
 
 
 def test_dictionary_goes_through_the_same_cleaning(spark):
     frame = texts(spark, ["C++ and Node.js and 5+ years", "c"])
-    terms = ev.term_array(["C++", "C#", "Python"])
+    terms = ev.term_array(["C++", "C#", "Python", "?"])
     assert column(frame, F.size(ev.matched(F.col("words"), terms))) == [1, 1]
+    assert column(frame, F.size(terms)) == [2, 2]
+
+
+JOB = "Needs C, R, Go, SQL, AWS and problem-solving. 3 years."
+TERMS = [(1, "skill", "C", True, None), (1, "skill", "SQL", True, None), (1, "skill", "AWS", False, None), (1, "skill", "SQL ", True, None),
+         (1, "soft_skill", "problem-solving", None, None), (1, "role", "data engineer", None, None), (1, "certification", "PMP", None, None),
+         (None, "action", "Led", None, None), (None, "degree", "Master of Science", None, 2), (1, "skill", "!!", True, None)]
+
+
+def judged(spark, *resumes):
+    jobs = spark.createDataFrame([(1, JOB), (2, "nothing asked")], "request_id int, jd_text string")
+    terms = evidence.cleaned_dictionary(spark.createDataFrame(TERMS, "request_id int, kind string, term string, critical boolean, rank int"))
+    rows = evidence.with_words(spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(resumes)], "i int, request_id int, t string"), "t",
+                               evidence.longest_term(terms))
+    return rows.join(evidence.job_dictionary(jobs, terms), "request_id")
+
+
+def test_dictionary_of_a_job_keeps_short_terms_and_phrases(spark):
+    rows = judged(spark, (1, "Led a team; problem solving in SQL on aws"), (1, "data-engineer, PMP, c"), (2, "Led"), (1, ""))
+    counts = {r.i: r for r in evidence.keyword_counts(rows, ["i"]).collect()}
+    assert (counts[0].skills_found, counts[0].critical_skills_found, counts[0].soft_skills_found, counts[0].actions_found) == (2, 1, 1, 1)
+    assert (counts[1].skills_found, counts[1].roles_found, counts[1].certifications_found) == (1, 1, 1)
+    assert (counts[0].skills_wanted, counts[0].critical_skills_wanted, counts[2].skills_wanted, counts[2].actions_found) == (3, 2, 0, 1)
+    assert counts[3].skills_found == 0 and len(counts) == 4
+
+
+def test_levels_follow_the_dictionary_and_the_years_of_the_job(spark):
+    rows = judged(spark, (1, "data engineer PMP 3 years Master of Science led 5"), (1, "2 years"), (1, "1 year"), (2, "1 year"))
+    levels = {r.i: r for r in evidence.rubric_levels(rows, ["i"]).collect()}
+    assert [levels[i]["level_2.1"] for i in range(4)] == [1, 2, 3, 1]
+    assert [levels[i]["level_1.2"] for i in range(2)] == [1, 3] and [levels[i]["level_3.2"] for i in range(2)] == [1, 3]
+    assert (levels[0]["level_3.1"], levels[0]["level_1.3"]) == (1, 1)
 
 
 def test_outcomes(spark):
@@ -122,8 +154,9 @@ def test_levels(spark):
 
 def test_evidence_needs_no_shuffle(spark):
     frame = texts(spark, ["a b", "c"])
-    terms = F.array(F.lit("a")).alias("terms")
-    levels = evidence.rubric_levels(frame.select("*", terms, terms.alias("critical_terms")), ["i"], ["led"], ["team"],
-                                    {"bachelor": 1})
+    terms = F.array(F.lit("a"))
+    columns = [terms.alias(c) for c in (*evidence.KINDS.values(), "critical_skills")]
+    wanted = frame.select("*", *columns, F.lit(3).alias("wanted_years"), ev.ranked_terms({"bachelor": 1}).alias("degrees"))
+    levels = evidence.rubric_levels(wanted, ["i"])
     for result in (evidence.level_total(levels), evidence.term_frequency(frame, "i", "t", 3)):
         assert "Exchange" not in plan_of(result)

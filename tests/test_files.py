@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyfolio.plans.samples import docx_bytes, zip_bytes
 from tallyfolio.sources.archives import expand_archives
 from tallyfolio.sources.decoders import decode_docx, decode_text
-from tallyfolio.sources.files import list_folders, read_folder
+from tallyfolio.sources import files
+from tallyfolio.sources.files import list_folders, read_folder, read_listed
 from tallyfolio.sources.intake import read_documents
 
 LONG_NAME = "l" * 97 + ".txt"
@@ -40,9 +41,9 @@ def documents(spark, folder):
 def test_no_file_is_lost(spark, folder):
     files = read_folder(spark, folder, list_folders(spark, [folder])).collect()
     assert sorted(row.name for row in files) == sorted(FILES)
-    hidden = {row.name: (row.status, row.content) for row in files if row.name in ("_u.txt", ".h.txt", "empty.txt")}
-    assert hidden["empty.txt"] == (None, b"")
-    assert hidden["_u.txt"][0] == hidden[".h.txt"][0] == "unreadable_name"
+    assert {row.name: bytes(row.content) for row in files if row.name in ("_u.txt", ".h.txt", "empty.txt")} == {
+        "_u.txt": b"under", ".h.txt": b"dot", "empty.txt": b""}
+    assert {row.status for row in files} == {None, "unsupported"}
 
 
 def test_files_in_subfolders(spark, tmp_path):
@@ -55,17 +56,48 @@ def test_files_in_subfolders(spark, tmp_path):
             ("_SUCCESS", b""), ("x.txt", b""), ("x.txt", b"deep"), ("x.txt", b"top")]
 
 
-def test_without_a_listing_hidden_files_are_missing(spark, folder):
-    names = {row.name for row in read_folder(spark, folder).select("name").collect()}
-    assert names == set(FILES) - {"_u.txt", ".h.txt", "empty.txt"}
+def test_without_a_listing_nothing_is_missing(spark, folder):
+    assert {row.name for row in read_folder(spark, folder).select("name").collect()} == set(FILES)
 
 
-def test_each_branch_scans_its_own_files(spark, folder):
-    """The archive branch must not read loose files and the other way round."""
-    files = read_folder(spark, folder)
-    for wanted, patterns in ((True, 1), (False, 2)):
-        plan = files.filter(F.col("is_archive") == wanted)._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("Relation") == patterns
+def test_one_name_and_time_in_two_folders_are_two_files(spark, tmp_path):
+    for place in ("a/cv.txt", "b/cv.txt"):
+        (tmp_path / place).parent.mkdir()
+        (tmp_path / place).write_bytes(place.encode())
+        os.utime(tmp_path / place, (1_700_000_000, 1_700_000_000))
+    rows = read_documents(read_folder(spark, str(tmp_path)).withColumn("request_id", F.lit(1))).collect()
+    assert len({row.unique_id for row in rows}) == 2 and {row.source_seq for row in rows} == {1_700_000_000_000_000}
+
+
+def test_too_large_and_vanished_files_have_a_status(spark, tmp_path, monkeypatch):
+    (tmp_path / "big.txt").write_bytes(b"x" * 50)
+    (tmp_path / "small.txt").write_bytes(b"y")
+    (tmp_path / "gone.txt").write_bytes(b"z")
+    listing = list_folders(spark, [str(tmp_path)])
+    (tmp_path / "gone.txt").unlink()
+    monkeypatch.setattr(files, "MAX_LENGTH", 10)
+    got = {row.name: (row.content and bytes(row.content), row.status) for row in read_listed(listing).collect()}
+    assert got == {"big.txt": (None, "too_large"), "small.txt": (b"y", None), "gone.txt": (None, "vanished")}
+
+
+def test_a_listing_can_carry_the_media_type(spark, tmp_path):
+    (tmp_path / "noext").write_bytes(zip_bytes([("a.txt", b"in")]))
+    listing = list_folders(spark, [str(tmp_path)]).withColumn("media_type", F.lit("application/zip"))
+    rows = read_documents(read_listed(listing).withColumn("request_id", F.lit(1))).collect()
+    assert [(row.archive, row.name, row.content) for row in rows] == [("noext", "a.txt", "in")]
+
+
+def test_many_archives_of_one_name_are_dealt_out(spark):
+    packed = zip_bytes([("a.txt", b"x")])
+    rows = spark.range(4000).select(F.col("id").alias("request_id"), F.lit(1).alias("source_seq"), F.lit("resumes.zip").alias("name"), F.lit(packed).alias("content"))
+    members = expand_archives(rows, ["request_id", "source_seq"])
+    assert "hashpartitioning(request_id" in members._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = [r["count"] for r in members.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(counts) == 8 and max(counts) < 1000
 
 
 def test_media_type_makes_an_archive(spark):
@@ -81,7 +113,7 @@ def test_contents_of_unsupported_files_are_not_read(spark, folder):
 
 @pytest.mark.parametrize("archive, name, status, content", [
     (None, "a.TXT", "ok", "Hello big world"), (None, "bad.txt", "unreadable", None), (None, "empty.txt", "ok", ""),
-    (None, "_u.txt", "unreadable_name", None), (None, "b c.txt", "ok", "blank name"), (None, "é.txt", "ok", "na ve"),
+    (None, "_u.txt", "ok", "under"), (None, "b c.txt", "ok", "blank name"), (None, "é.txt", "ok", "na ve"),
     (None, "d.docx", "ok", "First line more Second line"), (None, "e.xyz", "unsupported", None),
     (None, "noext", "unsupported", None), (None, "g.doc", "no_decoder", None), (None, "broken.docx", "unreadable", None),
     ("broken.zip", "broken.zip", "unreadable", None), (None, LONG_NAME, "ok", "long"),

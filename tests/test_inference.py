@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import dataclasses
 import json
 import os
 import uuid
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tallyfolio.functions import prompts
+from tallyfolio.operators import inference
 from tallyfolio.operators.inference import requests, require_all, reply_body, run_stage, text_model
 from tallyfolio.plans.batch import Models, job_features, key_aspects, score_batch, two_stages
 from tallyfolio.plans.samples import docx_bytes, zip_bytes
@@ -96,6 +99,37 @@ def test_one_call_per_row_and_none_on_reuse(spark, tmp_path):
     assert other.count() == 60 and len(os.listdir(calls)) == 120
 
 
+def test_failed_calls_are_asked_again_and_only_those(spark, tmp_path):
+    calls, stage = tmp_path / "calls", str(tmp_path / "stage")
+    calls.mkdir()
+    down = counting_model(calls, lambda prompt: prompt.endswith("3"))
+    first = run_stage(requests(rows(spark, 50), F.col("p")), down, stage)
+    assert first.filter("reply IS NULL").count() == 5 and len(os.listdir(calls)) == 50
+    again = run_stage(requests(rows(spark, 50), F.col("p")), counting_model(calls), stage).collect()
+    assert len(again) == 50 and all(r.reply == f"re: p{r.unique_id[1:]}" and r.error is None for r in again)
+    assert len(os.listdir(calls)) == 55
+
+
+def test_a_run_that_dies_keeps_its_finished_ranges(spark, tmp_path, monkeypatch):
+    calls, stage = tmp_path / "calls", str(tmp_path / "stage")
+    calls.mkdir()
+    real, made = inference.call_model, []
+
+    def dying(*arguments):
+        made.append(1)
+        if len(made) == 5:
+            raise RuntimeError("lost")
+        return real(*arguments)
+    monkeypatch.setattr(inference, "call_model", dying)
+    with pytest.raises(RuntimeError, match="lost"):
+        run_stage(requests(rows(spark, 80), F.col("p")), counting_model(calls), stage)
+    asked = len(os.listdir(calls))
+    assert 0 < asked < 80
+    monkeypatch.setattr(inference, "call_model", real)
+    assert run_stage(requests(rows(spark, 80), F.col("p")), counting_model(calls), stage).filter("reply IS NOT NULL").count() == 80
+    assert len(os.listdir(calls)) == 80
+
+
 def test_rows_without_prompt_are_not_sent(spark, tmp_path):
     frame = rows(spark, 10).withColumn("p", F.when(F.col("unique_id") != "u4", F.col("p")))
     got = run_stage(requests(frame, F.col("p")), counting_model(tmp_path))
@@ -181,6 +215,25 @@ def test_whole_batch(spark, tmp_path):
     assert bytes(get_raw(spark, raw, path, 1).first().content) == UPLOADS[3][3]
 
 
+def test_a_stream_recovers_from_a_failed_job_call(spark, tmp_path):
+    folder = tmp_path / "landing" / "r1"
+    folder.mkdir(parents=True)
+    (folder / "cv.txt").write_bytes(b"text")
+    jobs = spark.createDataFrame([("r1", "j1")], "request_id string, jd_text string")
+    results = ResultsTable(spark, f"results_{uuid.uuid4().hex}", str(tmp_path / "results"))
+    good = stub_models()
+
+    def down(prompt):
+        raise ValueError("down")
+    for models in (dataclasses.replace(good, job=text_model(down)), good):
+        query = score_stream(uploaded_files(spark, str(tmp_path / "landing")), jobs, models, results, str(tmp_path / "checkpoint"))
+        try:
+            query.awaitTermination(120)
+        except StreamingQueryException:
+            assert models is not good
+    assert [(r.resume_name, r.score) for r in results.read().collect()] == [("cv.txt", 85)]
+
+
 def test_stream_of_uploads(spark, tmp_path):
     landing = tmp_path / "landing"
     for request, seq, name, content in UPLOADS[:4]:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as contract
 from conftest import plan_of
+from tallyfolio.plans import queries as registered
 from tallyfolio import workspace
 from tallyfolio.functions import text
 from tallyfolio.operators.merge import last_write_wins
 from pyspark.sql import functions as F
 
-QUERIES = contract.queries()
+QUERIES = registered.QUERIES
 IN_JVM = [name for name in QUERIES if not name.startswith(("stage_", "score_two", "full_batch", "extract_d", "expand",
                                                            "ingest", "src_files"))]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_of
 from tallyfolio.functions.naming import make_id, stored_key
+from tallyfolio.operators import results
 from tallyfolio.schemas import RESULTS
 from tallyfolio.sources.raw_files import get_data_url, get_raw, get_raw_many, put_raw
 from tallyfolio.sources.results_table import ResultsTable, append_jdbc
@@ -151,3 +152,28 @@ def test_jdbc_append_settings():
         ("select", tuple(f.name for f in RESULTS), {}), ("format", ("jdbc",), {}),
         ("options", (), {"url": "jdbc:postgresql://host/db", "dbtable": "resume_table", "user": "u", "batchsize": "5000"}),
         ("mode", ("append",), {}), ("save", (), {})]
+
+
+def test_a_load_put_again_leaves_nothing_of_the_old(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    rows = [(f"{shard}{n}_f", bytes([n])) for shard in "0a" for n in range(3)]
+    put_raw(spark.createDataFrame(rows, "file_path string, content binary"), path, "l1", digits=1)
+    put_raw(spark.createDataFrame([("0z_g", b"other")], "file_path string, content binary"), path, "l2", digits=1)
+    put_raw(spark.createDataFrame(rows[:1], "file_path string, content binary"), path, "l1", digits=1)
+    keys = spark.createDataFrame([(k,) for k, _ in rows] + [("0z_g",)], "file_path string")
+    assert {r.file_path for r in get_raw_many(spark, path, keys, digits=1).collect()} == {rows[0][0], "0z_g"}
+    assert get_raw(spark, path, rows[4][0], digits=1).count() == 0
+
+
+def test_key_holds_for_the_whole_table_and_updates_find_their_load(spark, table):
+    def rows(*ids):
+        return spark.createDataFrame([(i, f"{i}.txt", f"text {i}", None, None) for i in ids],
+                                     "unique_id string, resume_name string, resume_content string, resume_key_aspect string, score int")
+    table.insert("l1", rows("a", "b"))
+    marked = rows("b", "c").withColumn("reason", F.lit(None).cast("string"))
+    marked = results.reject_known(marked, table.ids_elsewhere("l2"))
+    assert {r.unique_id: r.reason for r in marked.collect()} == {"b": "duplicate_key", "c": None}
+    table.insert("l2", results.accepted(marked))
+    table.insert("l3", rows("d"))
+    table.update(None, spark.createDataFrame([("a", "x", 1), ("c", "y", 2), ("none", "z", 3)], "unique_id string, resume_key_aspect string, score int"))
+    assert sorted((r.unique_id, r.load_id, r.score) for r in table.read().collect()) == [("a", "l1", 1), ("b", "l1", None), ("c", "l2", 2), ("d", "l3", None)]
