@@ -113,11 +113,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("line", F.btrim("line", F.lit(" \t\r"))))
 
 
-def near_links(lines: DataFrame, common: DataFrame) -> DataFrame:
-    """Links (a, b) between the hashes of different lines few enough edits apart.
+def matched_parts(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """(indexed, key, part): index entries that another line probes, and probes that meet the entry of another line.
 
     ``common`` are the hashes of the lines that occur very often (at most COMMON of them) and their first document; other occurrences are
-    left out here, so that no key is held by copies of one line alone.
+    left out here, so that no key is held by copies of one line alone. No pairs are made.
     """
     long_ = lines.withColumn("length", F.length("line")).where(F.col("length") >= NEAR_CHARS)
     one_each = (long_.withColumn("key", F.xxhash64("line")).join(F.broadcast(common), "key", "left")
@@ -130,39 +130,56 @@ def near_links(lines: DataFrame, common: DataFrame) -> DataFrame:
              .otherwise(F.array_compact(F.array(*probes(wide, length, 1), *probes(wide, length, 2)))))
     index = one_each.select("key", F.explode(by_edits).alias("part"))
     probe = one_each.select(F.col("key").alias("other"), F.explode(asked).alias("part"))
-    return (index.join(probe.hint("merge"), "part").where(F.col("key") != F.col("other"))
-            .select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+    entries = index.alias("i").join(probe.alias("p").hint("merge"), (F.col("i.part") == F.col("p.part")) & (F.col("key") != F.col("other")), "left_semi")
+    questions = probe.alias("p").join(index.alias("i").hint("merge"), (F.col("i.part") == F.col("p.part")) & (F.col("key") != F.col("other")), "left_semi")
+    return (entries.select(F.lit(True).alias("indexed"), "key", "part")
+            .unionAll(questions.select(F.lit(False), "other", "part")).distinct())
 
 
 def letter_counts(line: Column) -> list[Column]:
     return [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(f"n_{c}") for c in LETTERS]
 
 
-def verified_links(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The links that hold: distance at most what the shorter line allows.
+def common_prefix(x: Column, y: Column) -> Column:
+    """How many signs two texts begin with alike, by halving."""
+    most = F.least(F.length(x), F.length(y))
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda p, k: F.when((p + k <= most) & (F.substr(x, p + 1, k) == F.substr(y, p + 1, k)), p + k).otherwise(p))
+
+
+def near_links(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """Links (a, b) between the hashes of different lines few enough edits apart.
 
-    An edit changes the counts of letters by two together at most, so pairs whose counts are further apart go first.
+    Pairs are made only where the lengths and the counts of letters allow a link: an edit changes the counts by two together
+    at most. What two lines begin and end with alike is cut off before the distance is taken.
     """
-    ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    ends = materialize(ends, "ends")
-    side = F.broadcast(ends) if fits_broadcast(ends, FEW_ROWS, FEW_BYTES) else ends
+    matched = materialize(matched_parts(lines, common), "matched")
+    keys = materialize(matched.select("key").distinct(), "keys")
+    side = F.broadcast(keys) if fits_broadcast(keys, FEW_ROWS, FEW_BYTES) else keys
     texts = lines.withColumn("key", F.xxhash64("line")).join(side, "key", "left_semi").select("key", "line").distinct()
     texts = materialize(texts.select("key", "line", F.length("line").alias("length"), *letter_counts(F.col("line"))), "texts")
     counts = ["length", *(f"n_{c}" for c in LETTERS)]
-    one = texts.select(F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in counts])
-    two = texts.select(F.col("key").alias("b"), *[F.col(c).alias(f"b_{c}") for c in counts])
+    one = matched.where("indexed").join(texts, "key").select("part", F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in counts])
+    two = matched.where("NOT indexed").join(texts, "key").select("part", F.col("key").alias("b"), *[F.col(c).alias(f"b_{c}") for c in counts])
     apart = sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in counts[1:]), F.lit(0))
     allowed = edits(F.least("a_length", "b_length"))
     gap = F.abs(F.col("a_length") - F.col("b_length"))
-    near = pairs.join(one, "a").join(two, "b").where((gap <= allowed) & (apart <= 2 * allowed)).select("a", "b")
-    near = materialize(near.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b"), "near")
+    near = (one.alias("x").join(two.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("a") != F.col("b")) & (gap <= allowed) & (apart <= 2 * allowed))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    near = materialize(near.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b"), "near")
     both = (near.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b"))
     longer = F.length("x") >= F.length("y")
     both = both.select("a", "b", F.when(longer, F.col("x")).otherwise(F.col("y")).alias("long"), F.when(longer, F.col("y")).otherwise(F.col("x")).alias("short"))
-    allowed = edits(F.length("short"))
-    distance = F.when(allowed == 2, banded_distance(F.col("long"), F.col("short"), 2)).otherwise(banded_distance(F.col("long"), F.col("short"), 1))
-    return both.where(distance <= allowed).select("a", "b")
+    both = both.withColumn("allowed", edits(F.length("short"))).withColumn("p", common_prefix(F.col("long"), F.col("short")))
+    both = both.select("a", "b", "allowed", *[F.reverse(F.substring(F.col(c), F.col("p") + 1, F.length(c))).alias(c) for c in ("long", "short")])
+    both = both.withColumn("p", common_prefix(F.col("long"), F.col("short")))
+    both = both.select("a", "b", "allowed", *[F.substring(F.col(c), F.col("p") + 1, F.length(c)).alias(c) for c in ("long", "short")])
+    parts = both.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    cut = materialize(both.repartition(int(parts), "a", "b"), "cut")
+    long, short = F.col("long"), F.col("short")
+    distance = F.when(long == "", 0).when(F.col("allowed") == 2, banded_distance(long, short, 2)).otherwise(banded_distance(long, short, 1))
+    return cut.where(distance <= F.col("allowed")).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,8 +194,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exact = materialize(narrow.groupBy("key", "key2").agg(F.min("id").alias("owner"), F.count("*").alias("times")), "exact")
     total = narrow.count()
     common = exact.where(F.col("times") > total / COMMON).groupBy("key").agg(F.min("owner").alias("owner"))     # at most COMMON rows
-    pairs = materialize(near_links(lines, common), "pairs")
-    links = materialize(verified_links(pairs, lines), "links")
+    links = materialize(near_links(lines, common), "links")
     tied = materialize(components(links), "tied").withColumnRenamed("id", "key")
     known = exact.join(tied, "key", "left")
     first = known.where("component IS NOT NULL").groupBy("component").agg(F.min("owner").alias("first"))

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,7 +15,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 from tallyfolio.llm import embedding_dedup, line_dedup, set_join
 from tallyfolio.llm.components import components
-from tallyfolio.llm.dedup_queries import op1, op2, op3
+from tallyfolio.llm.dedup_queries import SQL_DOCUMENTS, SQL_VECTORS, op1, op2, op3
 from tallyfolio.llm.words import words
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -278,6 +279,15 @@ def test_lines_stay_in_the_jvm_and_empty_tables_stay_empty(spark, sf_dir):
         [(None, "the same long line of text", 0), (1, "the same long line of text", 0), (1, "the same long line of text", 0)], key=str)
 
 
+@pytest.mark.parametrize(("name", "run", "folder"), [("embeddings", op1, "sf0.001"), ("documents", op3, "sf0.001"), ("documents", op3, "sf0.01")])
+def test_queries_equal_their_sql(spark, name, run, folder):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/{folder}/{name}.parquet'")
+    wanted = db.execute(SQL_VECTORS if run is op1 else SQL_DOCUMENTS)
+    columns = [c[0] for c in wanted.description]
+    assert sorted(map(tuple, run(spark, f"/root/testdata/{folder}").select(*columns).collect())) == sorted(wanted.fetchall())
+
+
 def test_lines_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     exact = {}
