@@ -119,7 +119,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, part: np.ndarray, ones: fl
     counts /= counts.sum(axis=1, keepdims=True)
     ratio = np.log(counts[1] / counts[0])
     chosen = np.flatnonzero(use)
-    values = [ratio[rows[i]] / max(1e-9, np.sqrt((ratio[rows[i]] ** 2).sum())) for i in chosen]
+    values = [(ratio[rows[i]] / max(1e-9, np.sqrt((ratio[rows[i]] ** 2).sum()))).astype(np.float32) for i in chosen]
     balance = {k: len(chosen) / (2 * (labels[chosen] == k).sum()) for k in (0, 1)}
     w = descend([rows[i] for i in chosen], values, np.where(labels[chosen] == 1, 1.0, -1.0), np.array([cost * balance[k] for k in labels[chosen]]))
     model = Model(ratio.astype(np.float32), (w[:-1] * ratio).astype(np.float32), float(w[-1] * BIAS), np.zeros(2))
@@ -141,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder:
 
     sample = labelled_sample(docs, labels, label, divisor, remainder, most).mapInArrow(run, "label int, part int, held binary").collect()
     sample.sort(key=lambda r: bytes(r.held))
-    return train([np.frombuffer(r.held, np.int32) for r in sample], np.array([r.label for r in sample], np.int64), np.array([r.part for r in sample], np.int64),
-                 share_of(labels, label))
+    rows, known, part = ([f(r) for r in sample] for f in (lambda r: np.frombuffer(bytes(r.held), np.int32), lambda r: r.label, lambda r: r.part))
+    sample.clear()
+    return train(rows, np.array(known, np.int64), np.array(part, np.int64), share_of(labels, label))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, remainder: int = 0,

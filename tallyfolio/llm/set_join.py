@@ -132,8 +132,9 @@ def signatures(sizes: np.ndarray, hashes: np.ndarray, edges: list[int], plans: l
     found = []
     for back in (0, 1):                       # its own band, and the one below if a partner there can be near enough
         use = band - back
-        ok = (sizes > 0) & (use >= 0) & ((back == 0) | (sizes * percent <= 100 * largest[use]))
-        m, spare, deletion = np.where(ok[:, None], table[np.minimum(use, len(plans))], 0).T
+        at = np.clip(use, 0, len(plans))
+        ok = (sizes > 0) & (use >= 0) & ((back == 0) | (sizes * percent <= 100 * largest[at]))
+        m, spare, deletion = np.where(ok[:, None], table[at], 0).T
         base = np.cumsum(m) - m
         total = int(m.sum())
         if not total:

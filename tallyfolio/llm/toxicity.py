@@ -25,6 +25,7 @@ HISTORY = 5
 DISCOUNT = 0.75
 STRENGTH = 8.0      # uses that the shared model counts for beside what a class has seen
 SAMPLE = 3000       # labelled documents of each label that are learned from
+STRETCH = 50_000    # words
 SIGNS = 259         # 256 bytes, start, end, none
 START, END = 256, 257
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -111,17 +112,27 @@ def shared_model(history: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return chance
 
 
-def train_words(words: list[bytes], counts: np.ndarray) -> Model:
+def counted_grams(data: np.ndarray, start: np.ndarray, size: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Different (history, sign) of all words, and how often each class has them; a stretch of words at a time."""
+    grams, times = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
+    for a in range(0, len(start), STRETCH):
+        history, sign, _ = histories(data, start[a:a + STRETCH], size[a:a + STRETCH])
+        owner = np.repeat(np.arange(len(size[a:a + STRETCH])), size[a:a + STRETCH] + 1)
+        gram, _, n = _spread(history * SIGNS + sign, counts[0][a:a + STRETCH][owner], counts[1][a:a + STRETCH][owner])
+        grams.append(gram)
+        times.append(np.array(n))
+    times = np.concatenate(times, axis=1)
+    gram, _, n = _spread(np.concatenate(grams), times[0], times[1])
+    return gram, n
+
+
+def train_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, counts: np.ndarray) -> Model:
     """A model without its curve from different words and how many texts of each class (row 0 ordinary, row 1 toxic) have them."""
     empty = np.zeros(0, np.int64)
-    if not words or (counts.sum(axis=1) == 0).any():
+    if not len(start) or (counts.sum(axis=1) == 0).any():
         return Model(empty, empty.astype(float), empty, empty.astype(float), np.zeros(3))
-    size = np.array([len(w) for w in words], np.int64)
-    data = np.frombuffer(b"".join(words), np.uint8)
-    history, sign, begin = histories(data, np.cumsum(size) - size, size)
-    owner = np.repeat(np.arange(len(words)), size + 1)
-    gram, first, times = _spread(history * SIGNS + sign, counts[0][owner], counts[1][owner])
-    shared = shared_model(history, sign)[first]
+    gram, times = counted_grams(data, start, size, counts)
+    shared = shared_model(gram // SIGNS, gram % SIGNS)
     context, _, sums = _spread(gram // SIGNS, times[0], times[1], times[0] > 0, times[1] > 0)
     where = np.searchsorted(context, gram // SIGNS)
     logs, back = [], []
@@ -143,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = F.explode(F.array_distinct(F.split(F.translate("text", upper, lower), WORD_BREAK))).alias("word")
     counted = (sample.where("part < 3").select(word, "label").where("word <> ''").groupBy("word")
-               .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).orderBy("word").toPandas())
-    model = train_words([w.encode() for w in counted["word"]], np.array([counted["n0"], counted["n1"]], float))
+               .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).orderBy("word").toArrow())
+    data, offsets = utf8(counted["word"])
+    model = train_words(data, offsets[:-1], np.diff(offsets), np.array([counted["n0"], counted["n1"]], float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
