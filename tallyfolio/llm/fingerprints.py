@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.llm.words import mix
-from tallyfolio.workspace import estimated_bytes
+from tallyfolio.llm.words import mix, text_bytes
 
 HASHES = 64
 FACTORS = np.random.default_rng(4).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASK = (1 << 64) - 1
 PRIME = 0x9E3779B97F4A7C15
-STRETCH = 8 << 20       # bytes of input that one range of ids may hold
+STRETCH = 14 << 20      # bytes of text to a task, in four ranges of ids
 NONE = np.full(HASHES, MASK, np.uint64)
 
 
@@ -150,7 +149,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(docs) // STRETCH)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(rows) // STRETCH)
     count = 4 * tasks
     cuts = rows.stat.approxQuantile("id", [k / count for k in range(1, count)], 1 / (4 * count))
     edges = sorted({int(x) for x in cuts})

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHUNK = 1 << 20          # bytes hashed at a time
@@ -109,6 +110,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 <<
             yield batch.slice(a, b - a)
 
 
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts, counted: the estimate of an optimiser may be far off or unknown."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first().b)
+
+
 def with_column(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` and one more column."""
     return StructType([*df.schema.fields]).add(name, kind)

@@ -65,7 +65,7 @@ def test_packing_query(spark, sf_dir, library):
 def test_packing_of_no_and_of_repeated_rows(spark):
     assert packed(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     rows = packed(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id bigint, text string").coalesce(1)).collect()
-    assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "None"] and sum(r.length for r in rows) == 9
+    assert {r.doc_id for r in rows} == {None, 1} and sum(r.length for r in rows) == 9
 
 
 def test_costs_are_balanced_and_everything_is_full():
