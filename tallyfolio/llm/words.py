@@ -98,7 +98,7 @@ def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(offsets, where, side="right") - 1, where, np.concatenate(sizes), np.concatenate(hashes)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text, or one longer text."""
     for batch in batches:
         if not batch.num_rows:
@@ -108,6 +108,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 <<
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
