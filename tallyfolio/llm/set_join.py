@@ -31,6 +31,7 @@ from tallyfolio.workspace import materialize
 WORDS, PERCENT = 5, 80
 BLOCK = 1024                    # sets of one signature that are compared at a time
 SIGNATURES_A_TASK = 1_500_000
+SPARES = 100                    # numbers of spare segments whose costs are compared
 NEED_ROWS = 300_000             # of narrow rows that may be broadcast, counted before
 LOW = np.uint64(0xFFFFFFFF)     # bands are numbered in a byte: sizes up to 1.25 ** 250
 
@@ -100,6 +101,19 @@ def band_edges(most: int, percent: int) -> list[int]:
     return edges
 
 
+def more_than(limit: int, mean: float) -> float:
+    """Chance that a Poisson number exceeds ``limit``, added up in logarithms so that any mean can be taken."""
+    if mean <= 0:
+        return 0.0
+    wide = 40 * math.sqrt(mean) + 40
+    k = np.arange(max(0, int(mean - wide)), min(limit, int(mean + wide)) + 1)      # the terms beyond are below 1e-200
+    if not len(k):
+        return 1.0
+    first = k[0] * math.log(mean) - mean - math.lgamma(k[0] + 1)
+    logs = first + np.append(0.0, np.cumsum(math.log(mean) - np.log(k[1:])))
+    return min(1.0, max(0.0, 1 - float(np.exp(logs).sum())))
+
+
 def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, int] | None:
     """(segments, spare, deletions 0 or 1) for a band of sizes low to high; None where only equal sets are linked."""
     h = differ(high, high * 100 // percent, percent)
@@ -107,13 +121,11 @@ def allocate(low: int, high: int, sets: int, percent: int) -> tuple[int, int, in
         return None
     size = (low + high) / 2
     plans = []
-    for spare in range(1, 6 + h // 3):
-        if spare < (h + 1) // 5:
-            continue
+    spares = range(max(1, (h + 1) // 5), 6 + h // 3)
+    for spare in spares[::len(spares) // SPARES + 1]:       # any number of spare segments finds all; it only sets the cost
         m = h + 1 + spare
-        blank = m * math.exp(-size / m)
-        over = 1 - sum(math.exp(-blank) * blank ** k / math.factorial(k) for k in range(min(spare, 100) + 1))
-        plans.append((m + sets * max(0.0, over) ** 2, m, spare, 0))
+        over = more_than(spare, m * math.exp(-size / m))
+        plans.append((m + sets * over ** 2, m, spare, 0))
     m = (h + 2) // 2
     alike = (math.exp(-size / m) * (1 + size / m)) ** 2 if m > 1 else 0.0
     plans.append((m + size + sets * m * alike, m, 0, 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -171,6 +172,27 @@ def test_deletion_plan_is_used_where_it_costs_less_and_is_exact(spark, monkeypat
     assert got == document_classes(texts)
 
 
+def test_documents_of_very_many_words(spark):
+    one = [f"w{i}" for i in range(100_000)]
+    two = [f"x{i}" if i % 2000 == 7 else w for i, w in enumerate(one)]
+    far = [f"x{i}" if i % 30 == 7 else w for i, w in enumerate(one)]
+    texts = {1: " ".join(one), 2: " ".join(two), 3: " ".join(far), 4: "a few words of a short text", 5: "a few words of a short text"}
+    got = {r.id: (r.n_shingles, r.component_id) for r in set_join.jaccard_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == document_classes(texts)
+    assert [got[i][1] for i in texts] == [1, 1, 3, 4, 4]
+
+
+def test_plans_are_made_for_sets_of_any_size():
+    edges = set_join.band_edges(3_000_000, 80)
+    for sets in (0, 10, 10 ** 9):
+        for low, high in zip(edges, edges[1:]):
+            plan = set_join.allocate(low, high - 1, sets, 80)
+            h = set_join.differ(high - 1, (high - 1) * 100 // 80, 80)
+            assert (plan is None) == (h == 0) and (plan is None or plan[0] == (h + 2) // 2 or plan[0] == h + 1 + plan[1])
+    for limit, mean in ((0, 0.5), (3, 2.0), (30, 20.0), (3, 0.0)):
+        assert abs(set_join.more_than(limit, mean) - (1 - sum(math.exp(-mean) * mean ** k / math.factorial(k) for k in range(limit + 1)))) < 1e-9
+
+
 def test_a_sketch_never_says_less_than_what_is_shared():
     chance = np.random.default_rng(2)
     for _ in range(100):
