@@ -10,6 +10,7 @@ tokens: full ones, and for what is left powers of two, which need no padding.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 LENGTH = 2048
 END = 1
+# White space of Unicode, as the pattern's \s. The pattern's regex engine stops at runs of about a million.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -31,7 +34,17 @@ def encoder(ranks: str, pattern: str) -> Callable[[str], np.ndarray]:
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
     coding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
-    return lambda text: np.asarray(coding.encode_to_numpy(text, disallowed_special=()), "<u4")
+
+    def encode(text: str) -> np.ndarray:
+        """A long run of white space is one piece less its last sign, which the pattern leaves to what comes after, or whole at the end."""
+        found, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            found += [coding.encode_to_numpy(text[at:run.start()], disallowed_special=()), coding._encode_single_piece(text[run.start():end])]
+            at = end
+        found.append(coding.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate([np.asarray(x, "<u4") for x in found])
+    return encode
 
 
 def assign(sizes: np.ndarray, length: int, linear: float = 1.0, quadratic: float = 1 / 1024) -> list[tuple[int, int, int, int, int]]:

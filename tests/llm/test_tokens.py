@@ -58,6 +58,13 @@ def test_packed_pieces_give_back_the_ids_of_the_library(spark, library):
     check_pieces(packed(df).collect(), {i: library(t or "") for i, t in texts.items()}, lambda r: zlib.crc32(r.ids))
 
 
+def test_long_runs_of_white_space_are_encoded_as_by_the_library(spark, library):
+    long = ["a" + " " * 2_000_000 + "b", "\n\t" * 500_000, " " * 20_000 + "\n" + " " * 20_000 + "it's " + "\u3000" * 10_000 + "\x1c" * 10_000 + "\t" * 10_000 + "1 x"]
+    texts = dict(enumerate([*long, " " * 10_000, " " * 9_999 + "x", "y" + "\xa0" * 10_001 + "=", "x\r\n" + "\r\n" * 6_000 + " z"]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    check_pieces(packed(df).collect(), {i: library(t) for i, t in texts.items()}, lambda r: zlib.crc32(r.ids))
+
+
 def test_packing_query(spark, sf_dir, library):
     check_pieces(op6(spark, sf_dir).collect(), {i: library(t) for i, t in documents(spark, sf_dir).items()}, lambda r: r.ids_crc32)
 
