@@ -26,6 +26,7 @@ DISCOUNT = 0.75
 STRENGTH = 8.0      # uses that the shared model counts for beside what a class has seen
 SAMPLE = 3000       # labelled documents of each label that are learned from
 STRETCH = 50_000    # words
+NEVER = -30.0       # offset of a curve that finds nothing toxic
 SIGNS = 259         # 256 bytes, start, end, none
 START, END = 256, 257
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -148,12 +149,16 @@ def train_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, counts: n
 def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, most: int = SAMPLE) -> Model:
     """Learn from at most ``most`` documents of each label: three of four parts for the counts, the last for the curve.
 
+    Where the last part, or the others together, lack a label, all parts serve for it. Without evidence for both labels the model has no grams, and
+    its curve says not toxic if there are ordinary documents, else a half.
     The words of the sample and their counts reach the driver, which is bounded with the sample.
     """
     sample = labelled_sample(docs, labels, label, divisor, remainder, most)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = F.explode(F.array_distinct(F.split(F.translate("text", upper, lower), WORD_BREAK))).alias("word")
-    counted = (sample.where("part < 3").select(word, "label").where("word <> ''").groupBy("word")
+    parts = sample.groupBy("label").agg(F.count_if(F.col("part") < 3).alias("first"), F.count_if(F.col("part") == 3).alias("last")).collect()
+    first = sample.where("part < 3") if all(r["first"] for r in parts) else sample
+    counted = (first.select(word, "label").where("word <> ''").groupBy("word")
                .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).orderBy("word").toArrow())
     data, offsets = utf8(counted["word"])
     model = train_words(data, offsets[:-1], np.diff(offsets), np.array([counted["n0"], counted["n1"]], float))
@@ -163,7 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder:
             found = model.evidence(batch["text"])
             yield pa.RecordBatch.from_pydict({"label": batch["label"], "a": found[:, 0], "b": found[:, 1]})
 
-    rest = sample.where("part = 3").mapInArrow(run, "label int, a double, b double").toPandas().sort_values(["label", "a", "b"])
+    part = sample.where("part = 3") if all(r["last"] for r in parts) else sample
+    if not len(model.grams):
+        model.curve[-1] = NEVER if any(r["label"] == 0 for r in parts) else 0.0
+        return model
+    rest = part.mapInArrow(run, "label int, a double, b double").toPandas().sort_values(["label", "a", "b"])
     if rest["label"].nunique() == 2:
         model.curve = logistic(rest[["a", "b"]].to_numpy(), rest["label"].to_numpy(), share_of(labels, label))
     return model
@@ -173,10 +182,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", di
                     threshold: float = 0.3, most: int = SAMPLE, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) of every document; only the text is scored.
 
-    Null and empty texts have no evidence. Rows that repeat are scored as often; a null id is not held out. Without labels of both
-    kinds every score is 0.5. With ``keep`` the columns of ``docs`` come back instead, of the documents predicted 0.
+    Null and empty texts have no evidence. Rows that repeat are scored as often; a null id is not held out. With ``keep`` the columns
+    of ``docs`` come back instead, of the documents predicted 0. Without evidence for both labels nothing can be told toxic, so
+    ``keep`` keeps all; every score is then about 0 if there are ordinary labels, else 0.5.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, divisor, remainder, most))
+    learned = fit(docs, labels, label, divisor, remainder, most)
+    if keep and not len(learned.grams):
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):

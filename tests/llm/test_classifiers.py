@@ -70,6 +70,25 @@ def test_without_labels_every_score_is_a_half(spark):
         assert scores(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("parts", [(0, 1, 2), (3,), ()])
+def test_few_toxic_labels_do_not_drop_clean_documents(spark, parts):
+    """Toxic labels in some of the parts only, or none at all."""
+    rows = toy(random.Random(4), 120)
+    docs, labels = tables(spark, rows)
+    part = {r.doc_id: r.part for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id), 4) AS part").collect()}
+    labels = labels.where(~labels.toxic.cast("boolean") | labels.doc_id.isin([i for i in part if part[i] in parts]))
+    found = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    clean, toxic = ([i for i, _, _, _, t in rows if t == k] for k in (0, 1))
+    kept = {r.doc_id for r in toxicity.toxicity_scores(docs, labels, keep=True).collect()}
+    assert kept == {i for i in found if not found[i].predicted}
+    assert len(kept & set(clean)) >= 0.9 * len(clean)
+    if parts:
+        assert sum(found[i].predicted for i in toxic) >= 0.8 * len(toxic)
+    else:
+        assert all(r.score < 0.3 for r in found.values()) and len(kept) == len(rows)
+    assert toxicity.toxicity_scores(docs, labels.limit(0), keep=True).count() == len(rows)
+
+
 def test_held_out_labels_change_nothing(spark):
     rows = toy(random.Random(2), 120)
     turned = [(i, t, lang, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, 1 - x if zlib.crc32(str(i).encode()) % 4 == 2 else x) for i, t, lang, q, x in rows]
