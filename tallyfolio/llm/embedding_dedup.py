@@ -2,9 +2,9 @@
 
 Every pass projects the vectors on its own random directions, concatenates the signs to one word (a lexicographic sort
 key) and compares each vector with the next ``window`` to ``2 * window`` ones in that order. Neighbours reach across the
-borders of tasks no further than one task, so each pass may miss some pairs; the number of passes grows with the number of
-vectors so that a pair at the threshold is missed with a chance of at most ``1 - recall``. Links found are tied together over
-all passes. A window is bounded, but groups are not: after the passes the links inside each class are counted by
+borders of tasks no further than one task, so each pass may miss some pairs. Windows tell how many leading bits set each
+vector's neighbours apart, and vectors go through further passes, or are compared in blocks, until the chance to miss a pair
+at the threshold is estimated at ``1 - recall`` at most. Links found are tied together over all passes. A window is bounded, but groups are not: after the passes the links inside each class are counted by
 comparing blocks of it with each other, so the number of links of a vector does not depend on the window.
 """
 
@@ -83,30 +83,114 @@ def _stars(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[touched][label[label != np.arange(len(label))]], ids[touched][label != np.arange(len(label))]
 
 
+def _shared_bits(codes: np.ndarray, other: int) -> np.ndarray:
+    """Leading bits in which each code equals ``other``."""
+    x = codes ^ np.int64(other)
+    top = x >> 31
+    return BITS - np.where(top > 0, 31 + np.frexp(top.astype(float))[1], np.frexp((x & 0x7FFFFFFF).astype(float))[1])
+
+
 def _windows(cosine: float, window: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(number: int, vecs: list, ids: list) -> pa.RecordBatch:
-            rows = unit(pa.array(vecs, pa.binary()), number % 100_000)
-            near = rows @ rows.T >= cosine
-            np.fill_diagonal(near, False)
-            a, b = _stars(near, np.array(ids, np.int64))
-            return pa.RecordBatch.from_pydict({"a": a, "b": b})
+    """Links of the windows as (a, b), and as (a, null, miss) the logarithm of the chance that a pair of a at the threshold is not seen here.
+
+    A vector sees all that share more leading bits than the farthest rows it is compared with; a task does not know what
+    lies beyond its first and last rows and says nothing of vectors next to them.
+    """
+    agree = 1 - math.acos(cosine) / math.pi
+
+    def misses(codes: np.ndarray, low: int | None, high: int | None) -> np.ndarray:
+        bits = np.maximum(*(np.full(len(codes), -1) if x is None else _shared_bits(codes, x) for x in (low, high))) + 1
+        return np.log1p(-np.minimum(np.where(bits > BITS, 0.0, agree ** bits), 1 - 1e-12))
 
-        number, vecs, ids = None, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(number: int, vecs: list, ids: list, codes: list, low: list, ended: bool) -> pa.RecordBatch:
+            """low: the first code before these that is compared with the first half, None if there is none; empty if not known."""
+            names = np.array(ids, np.int64)
+            a, b = _linked(vecs, names, number % 100_000, cosine)
+            code, told = np.array(codes, np.int64), []
+            if low and (ended or len(ids) == 2 * window):
+                told.append((names[:window], misses(code[:window], low[0], None if ended else codes[-1])))
+            if ended and len(ids) > window:
+                told.append((names[window:], misses(code[window:], codes[0], None)))
+            who = np.concatenate([names[:0], *(x for x, _ in told)])
+            miss = np.concatenate([np.zeros(0), *(x for _, x in told)])
+            return pa.RecordBatch.from_pydict({
+                "a": np.concatenate([a, who]), "b": pa.array([*b.tolist(), *[None] * len(who)], pa.int64()),
+                "miss": pa.array([*[None] * len(a), *miss.tolist()], pa.float64())})
+
+        number, vecs, ids, codes, low = None, [], [], [], []
         for batch in batches:
-            for p, i, v in zip(batch["pass"].to_pylist(), batch["id"].to_pylist(), batch["vec"].to_pylist()):
+            for p, c, i, v in zip(*[batch[x].to_pylist() for x in ("pass", "code", "id", "vec")]):
                 if p != number or len(ids) == 2 * window:
-                    if len(ids) > 1:
-                        yield compare(number, vecs, ids)
-                    keep = window if p == number else 0
-                    number, vecs, ids = p, vecs[len(vecs) - keep:] if keep else [], ids[len(ids) - keep:] if keep else []
+                    if ids:
+                        yield compare(number, vecs, ids, codes, low, p != number)
+                    if p != number:
+                        low = [] if number is None else [None]
+                        number, vecs, ids, codes = p, [], [], []
+                    else:
+                        low = [codes[0]]
+                        vecs, ids, codes = vecs[window:], ids[window:], codes[window:]
                 vecs.append(v)
                 ids.append(i)
+                codes.append(c)
+        if ids:
+            yield compare(number, vecs, ids, codes, low, False)
+    return run
+
+
+def _linked(vecs: list, ids: np.ndarray, size: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    rows = unit(pa.array(vecs, pa.binary()), size)
+    near = rows @ rows.T >= cosine
+    np.fill_diagonal(near, False)
+    return _stars(near, ids)
+
+
+def _all_pairs(cosine: float) -> Callable:
+    """Links inside each cell, rows sorted by cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, vecs = None, [], []
+        for batch in batches:
+            for w, i, j, name, vec in zip(*[batch[c].to_pylist() for c in ("width", "i", "j", "id", "vec")]):
+                if (w, i, j) != last:
+                    if len(ids) > 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(vecs, np.array(ids, np.int64), last[0] // 8, cosine)], ["a", "b"])
+                    last, ids, vecs = (w, i, j), [], []
+                ids.append(name)
+                vecs.append(vec)
         if len(ids) > 1:
-            yield compare(number, vecs, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(vecs, np.array(ids, np.int64), last[0] // 8, cosine)], ["a", "b"])
     return run
 
 
+def _candidates(vectors: DataFrame, count: int, cosine: float, window: int, recall: float, seed: int) -> DataFrame:
+    """Links (a, b) that tie all near vectors (id, vec) together.
+
+    Vectors whose chance to miss a partner is still above ``1 - recall`` after a round of passes, as in a crowd that shares
+    many leading bits, go to the next round of twice as many passes among themselves. When blocks of those left are no
+    more than the passes that were made, they are all compared with each other. A pair is open only while both its ends are.
+    """
+    spark = vectors.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links, done, passes = None, 0, passes_for(count, cosine, window, recall)
+    while count > BLOCK * max(4, done):
+        tasks = max(shuffles, count * passes // 200_000 + 1)
+        found = materialize(vectors.mapInArrow(_project(passes, seed + done), "pass bigint, code bigint, id bigint, vec binary")
+                            .repartitionByRange(tasks, "pass", "code").sortWithinPartitions("pass", "code", "id")
+                            .mapInArrow(_windows(cosine, window), "a bigint, b bigint, miss double"), "found")
+        some = found.where("b IS NOT NULL").select("a", "b")
+        links = some if links is None else links.unionAll(some)
+        sure = found.where("b IS NULL").groupBy("a").agg(F.sum("miss").alias("miss")).where(F.col("miss") <= math.log(1 - recall))
+        vectors = materialize(vectors.join(sure.select(F.col("a").alias("id")), "id", "left_anti"), "open")
+        count, done, passes = vectors.count(), done + passes, 2 * passes
+    blocks = count // BLOCK + 1
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    cells = (vectors.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select(F.octet_length("vec").alias("width"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "vec"))
+    rest = (cells.repartition(max(shuffles, count * blocks // 50_000 + 1), "width", "i", "j").sortWithinPartitions("width", "i", "j")
+            .mapInArrow(_all_pairs(cosine), "a bigint, b bigint"))
+    return rest if links is None else links.unionAll(rest)
+
+
 def _count(cosine: float) -> Callable:
     """Partial numbers of links (copies weighed in) between the blocks left and right of a cell, rows sorted by cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +232,8 @@ def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     reps = materialize(reps, "reps")
     one = materialize(rows.join(reps, (rows.id == reps.rid) & (rows.key == reps.key)).select("id", "vec", "copies").dropDuplicates(["id"]), "distinct")
     count = one.count()
-    passes = passes_for(count, cosine, window, recall)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * passes // 200_000 + 1)
-    found = (one.select("id", "vec").mapInArrow(_project(passes, seed), "pass bigint, code bigint, id bigint, vec binary")
-             .repartitionByRange(tasks, "pass", "code").sortWithinPartitions("pass", "code", "id")
-             .mapInArrow(_windows(cosine, window), "a bigint, b bigint"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 20_000 + 1)
+    found = _candidates(one.select("id", "vec"), count, cosine, window, recall, seed)
     known = materialize(components(materialize(found.distinct(), "found")), "classes")
     sizes = known.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     member = (known.join(sizes, "component").join(one, "id")

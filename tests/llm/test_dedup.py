@@ -106,6 +106,27 @@ def test_vectors_against_brute_force(spark, tmp_path, window):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_pairs_in_a_crowd_of_vectors_are_found(spark, monkeypatch):
+    """6,000 vectors at cosine 0.8 to each other, 200 of them with a partner at 0.952, beside 6,000 others."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 128)
+    chance = np.random.default_rng(6)
+    size, n = 64, 6000
+
+    def units(k):
+        x = chance.standard_normal((k, size))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    crowd = np.sqrt(0.8) * units(1) + np.sqrt(0.2) * units(n)
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    away = units(200)
+    away -= (away * crowd[:200]).sum(axis=1, keepdims=True) * crowd[:200]
+    partner = 0.952 * crowd[:200] + np.sqrt(1 - 0.952 ** 2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([crowd, units(n), partner]))]
+    got = {r.vec_id: r for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), window=32).collect()}
+    hits = sum(got[2 * n + i].component_id == got[i].component_id for i in range(200))
+    print("found", hits, "of 200")
+    assert len(got) == len(rows) and hits >= 199
+
+
 def test_vectors_in_several_blocks_are_counted_once(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     chance = random.Random(1)
