@@ -22,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CODES = BYTES[LOWER]
 CODES[SPACE] = 0
+EXACT = BYTES.copy()     # as CODES, but capitals count as themselves
+EXACT[SPACE] = 0
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,9 +55,9 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunk(data: np.ndarray, breaks: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, bytes and hash of the words of one stretch; ``breaks`` marks bytes before which a text begins."""
-    inside = ~SPACE[data]
+    inside = codes[data] != 0
     first = inside.copy()
     first[1:] &= ~inside[:-1] | breaks[1:]
     starts = np.flatnonzero(first)
@@ -63,9 +65,9 @@ def _chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return starts, starts, np.zeros(0, np.uint64)
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
-    codes = CODES[data[starts[0]:]] * powers(int(lengths.max()))[place]
+    coded = codes[data[starts[0]:]] * powers(int(lengths.max()))[place]
     sizes = np.add.reduceat(inside[starts[0]:].astype(np.int64), starts - starts[0])
-    return starts, sizes, mix(np.add.reduceat(codes, starts - starts[0]))
+    return starts, sizes, mix(np.add.reduceat(coded, starts - starts[0]))
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,20 +76,23 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row, hashes
 
 
-def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, first byte, bytes, hash) of every word, in order."""
+def places(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = CODES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the text, first byte, bytes, hash) of every word, in order.
+
+    ``codes`` holds an odd number for each byte of a word (equal for bytes that count as equal) and 0 for each separator.
+    """
     breaks = np.zeros(len(data) + 1, bool)
     breaks[offsets[:-1]] = True
     starts, sizes, hashes, at = [], [], [], 0
     while at < len(data):
         end = min(len(data), at + CHUNK)
         while end < len(data):      # to the next space or text, so that no word is cut
-            near = np.flatnonzero(SPACE[data[end:end + CHUNK]] | breaks[end:end + CHUNK][:len(data) - end])
+            near = np.flatnonzero((codes[data[end:end + CHUNK]] == 0) | breaks[end:end + CHUNK][:len(data) - end])
             if len(near):
                 end += int(near[0])
                 break
             end = min(len(data), end + CHUNK)
-        s, n, h = _chunk(data[at:end], breaks[at:end])
+        s, n, h = _chunk(data[at:end], breaks[at:end], codes)
         starts.append(s + at)
         sizes.append(n)
         hashes.append(h)
