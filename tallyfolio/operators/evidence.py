@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from tallyfolio.functions import evidence as ev
 from tallyfolio.functions.text import clean_text
 from tallyfolio.operators.rubric import criteria, points_of
+from tallyfolio.operators.term_matcher import COUNTED, CRITICAL, KINDS, with_found
 from tallyfolio.workspace import materialize
 
-# Kinds of dictionary terms, and the columns they become.
-KINDS = {"skill": "skills", "soft_skill": "soft_skills", "role": "roles", "certification": "certifications", "action": "actions"}
-DEGREE = "degree"
 NO_YEARS = 1    # what a job asks for that states no years
 
 
@@ -25,57 +23,51 @@ def cleaned_dictionary(dictionary: DataFrame) -> DataFrame:
             .filter("term <> ''").distinct())
 
 
-def longest_term(cleaned: DataFrame) -> int:
-    """Most words of a term, at least 1: how long the phrases of a document have to be."""
-    return cleaned.agg(F.max(F.size(F.split("term", " "))).alias("n")).first().n or 1
-
-
-def job_dictionary(jobs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """``request_id``, a term array for each kind, ``critical_skills``, ``degrees`` and ``wanted_years`` of each job.
+def job_needs(jobs: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """``request_id``, ``wanted_years`` and, for each counted column, how many terms the job has; no terms.
 
     Terms without a request count for every job. Nothing is cut: short terms such as "C" or "R" are terms, and which
     skills are critical is said by the dictionary.
     """
     wanted = jobs.select("request_id", ev.years_of_experience(clean_text(F.col("jd_text"))).alias("wanted_years"))
-    arrays = [F.collect_set(F.when(F.col("kind") == kind, F.col("term"))).alias(column) for kind, column in KINDS.items()]
-    critical = F.collect_set(F.when((F.col("kind") == "skill") & F.col("critical"), F.col("term"))).alias("critical_skills")
-    degrees = F.collect_set(F.when(F.col("kind") == DEGREE, F.struct("term", "rank"))).alias("degrees")
-    by_job = cleaned.filter("request_id IS NOT NULL").groupBy("request_id").agg(*arrays, critical, degrees)
-    shared = cleaned.filter("request_id IS NULL").agg(*arrays, critical, degrees)       # one row
-    columns = {c: "array<string>" for c in (*KINDS.values(), "critical_skills")} | {"degrees": "array<struct<term:string,rank:int>>"}
-
-    def with_shared(column: str, kind: str):
-        own = F.coalesce(column, F.array().cast(kind))
-        return F.sort_array(F.array_union(own, F.coalesce(shared.select(column).scalar(), F.array().cast(kind)))).alias(column)
-
-    return materialize(wanted.join(by_job, "request_id", "left").select(
+    as_column = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    counted = cleaned.select("request_id", "term", as_column[F.col("kind")].alias("column")).unionByName(
+        cleaned.filter("kind = 'skill' AND critical").select("request_id", "term", F.lit(CRITICAL).alias("column"))).filter("column IS NOT NULL").distinct()
+    shared = counted.filter("request_id IS NULL").drop("request_id")
+    own = counted.filter("request_id IS NOT NULL").join(shared, ["term", "column"], "left_anti")     # a term counts once
+
+    def sizes(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(*[F.count_if(F.col("column") == c).cast("int").alias(c) for c in COUNTED])
+
+    everywhere = sizes(shared).select(F.struct(*COUNTED)).scalar()      # one row
+    joined = wanted.join(sizes(own, "request_id"), "request_id", "left")
+    return materialize(joined.select(
         "request_id", F.coalesce("wanted_years", F.lit(NO_YEARS)).alias("wanted_years"),
-        *[with_shared(column, kind) for column, kind in columns.items()]), "job_terms")
+        *[(F.coalesce(c, F.lit(0)) + everywhere[c]).alias(f"{c}_wanted") for c in COUNTED]), "job_needs")
 
 
-def with_words(documents: DataFrame, text: str, most: int = 1) -> DataFrame:
-    """Add ``clean``, ``words`` and ``phrases`` (runs of up to ``most`` words), evaluated once per row."""
-    worded = documents.withColumn("clean", clean_text(F.col(text))).withColumn("words", ev.tokens(F.col("clean")))
-    return worded.withColumn("phrases", ev.phrases(F.col("words"), most))
+def with_words(documents: DataFrame, text: str) -> DataFrame:
+    """Add ``clean`` and ``words``, evaluated once per row."""
+    return documents.withColumn("clean", clean_text(F.col(text))).withColumn("words", ev.tokens(F.col("clean")))
 
 
-def keyword_counts(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Per kind how many terms of the job occur and how many there are; needs ``with_words`` and the job's columns."""
-    columns = [*KINDS.values(), "critical_skills"]
-    return documents.select(*keep, *[F.size(ev.matched(F.col("phrases"), F.col(c))).alias(f"{c}_found") for c in columns],
-                            *[F.size(c).alias(f"{c}_wanted") for c in columns])
+def keyword_counts(documents: DataFrame, dictionary: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
+    """Per kind how many terms of the job occur and how many there are; needs ``clean`` and the columns of ``job_needs``."""
+    found = with_found(documents, dictionary, key)
+    return found.select(*keep, *[F.col(f"found.{c}").alias(f"{c}_found") for c in COUNTED], *[f"{c}_wanted" for c in COUNTED])
 
 
 def term_frequency(documents: DataFrame, key: str, text: str, top: int | None = None) -> DataFrame:
     """``(key, term, n)``, the most frequent terms first by ``(n desc, term)``; ``top`` makes it a top-k.
 
-    All of it happens inside the row, so there is no shuffle, whatever the number of words.
+    All of it happens inside the row, so there is no shuffle, whatever the number of words. The outer generator keeps a
+    filter on the array's size from being derived, which would evaluate the sorting and cleaning once more for each element.
     """
     words = documents.select(key, F.sort_array(ev.tokens(clean_text(F.col(text)))).alias("words"))
     starts = words.select(key, "words", ev.run_starts(F.col("words")).alias("starts"))
     runs = starts.select(key, F.sort_array(ev.term_runs(F.col("words"), F.col("starts"))).alias("runs"))
     kept = F.col("runs") if top is None else F.slice("runs", 1, top)
-    return runs.select(key, F.inline(kept)).select(key, "term", (-F.col("minus")).alias("n"))
+    return runs.select(key, F.inline_outer(kept)).filter(F.col("term").isNotNull()).select(key, "term", (-F.col("minus")).alias("n"))
 
 
 def outcome_counts(documents: DataFrame, key: str, action_words: Sequence[str]) -> DataFrame:
@@ -85,19 +77,15 @@ def outcome_counts(documents: DataFrame, key: str, action_words: Sequence[str])
     return counted.withColumn("measurable", (F.col("action_words") > 0) & (F.col("numbers") > 0))
 
 
-def rubric_levels(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Level of each criterion from counted evidence; needs ``with_words`` and the columns of ``job_dictionary``.
+def rubric_levels(documents: DataFrame, dictionary: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
+    """Level of each criterion from counted evidence; needs ``clean`` and the columns of ``job_needs``.
 
     The shares and floors are parameters of this package. One pass over the rows.
     """
-    def hits(column: str):
-        return F.size(ev.matched(F.col("phrases"), F.col(column)))
-
-    counted = documents.select(
-        *keep, *[hits(c).alias(f"_{c}") for c in (*KINDS.values(), "critical_skills")],
-        *[F.size(c).alias(f"_{c}_wanted") for c in ("skills", "roles", "certifications", "critical_skills")],
-        ev.number_count(F.col("clean")).alias("_numbers"), ev.years_of_experience(F.col("clean")).alias("_years"), "wanted_years",
-        ev.highest_rank(F.col("phrases"), F.col("degrees")).alias("_degree"))
+    counted = with_found(documents, dictionary, key).select(
+        *keep, *[F.col(f"found.{c}").alias(f"_{c}") for c in COUNTED], *[F.col(f"{c}_wanted").alias(f"_{c}_wanted") for c in COUNTED],
+        F.col("found.degree").alias("_degree"), ev.number_count(F.col("clean")).alias("_numbers"),
+        ev.years_of_experience(F.col("clean")).alias("_years"), "wanted_years")
     clarity = (F.when((F.col("_actions") > 0) & (F.col("_numbers") > 0), 1)
                .when((F.col("_actions") > 0) | (F.col("_numbers") > 0), 2).otherwise(3))
 

@@ -55,9 +55,9 @@ def rubric_sections(spark, sf_dir):
     return rubric.rubric_sections(ids, _ratings(spark, sf_dir), "doc_id")
 
 
-def _words(spark, sf_dir, most=1):
+def _words(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "n_chars", resume_text().alias("resume"))
-    return evidence.with_words(docs, "resume", most)
+    return evidence.with_words(docs, "resume")
 
 
 def _job_texts(spark, sf_dir):
@@ -85,10 +85,11 @@ def _dictionary(spark, sf_dir):
     return evidence.cleaned_dictionary(own.unionAll(everywhere))
 
 
-def _with_job_terms(spark, sf_dir):
+def _with_needs(spark, sf_dir):
+    """Documents with the numbers of their job, and the dictionary of all jobs."""
     dictionary = materialize(_dictionary(spark, sf_dir), "dictionary")
-    rows = with_request(spark, sf_dir, _words(spark, sf_dir, evidence.longest_term(dictionary)))
-    return attach_jobs(rows, evidence.job_dictionary(_job_texts(spark, sf_dir), dictionary), salt_on="doc_id")
+    rows = with_request(spark, sf_dir, _words(spark, sf_dir)).drop("words")
+    return attach_jobs(rows, evidence.job_needs(_job_texts(spark, sf_dir), dictionary), salt_on="doc_id"), dictionary
 
 
 def _sql_words() -> str:
@@ -122,7 +123,8 @@ _COLUMNS = ["skills", "soft_skills", "roles", "certifications", "actions", "crit
 @query("evidence_keywords", f"""SELECT doc_id, {", ".join(f"{_sql_found(c)} AS {c}_found, CAST(len({c}) AS INTEGER) AS {c}_wanted" for c in _COLUMNS)}
   FROM ({_sql_words()}) d JOIN ({_SQL_TERMS}) t USING (request_id)""")
 def evidence_keywords(spark, sf_dir):
-    return evidence.keyword_counts(_with_job_terms(spark, sf_dir), ["doc_id"])
+    rows, dictionary = _with_needs(spark, sf_dir)
+    return evidence.keyword_counts(rows, dictionary, "doc_id", ["doc_id"])
 
 
 @query("evidence_phrases", f"""SELECT doc_id, CAST(len(list_intersect({sorted({p.lower().replace("-", " ") for p in PHRASES} - {""})},
@@ -171,8 +173,8 @@ _SQL_DEGREE = ("CASE WHEN list_contains(phrases, 'a doctorate') THEN 3 WHEN list
 
 @query("evidence_education", f"SELECT doc_id, {_SQL_DEGREE} AS degree FROM ({_sql_words()})")
 def evidence_education(spark, sf_dir):
-    rows = _words(spark, sf_dir, ev.longest(DEGREES))
-    return rows.select("doc_id", ev.highest_rank(F.col("phrases"), ev.ranked_terms(DEGREES)).alias("degree"))
+    found = ev.phrases(F.col("words"), ev.longest(DEGREES))
+    return _words(spark, sf_dir).select("doc_id", ev.highest_rank(found, ev.ranked_terms(DEGREES)).alias("degree"))
 
 
 def _sql_share(found: str, wanted: str, floors: list[float]) -> str:
@@ -200,5 +202,6 @@ _SQL_LEVELS = f"""SELECT doc_id, {_sql_share("skills_found", "len(skills)", [0.5
     + list_extract([9, 7, 3], l23) + list_extract([16, 10, 5], l31) + list_extract([5, 3, 1], l32) AS INTEGER)
     AS total FROM ({_SQL_LEVELS})""")
 def evidence_score(spark, sf_dir):
-    levels = evidence.rubric_levels(_with_job_terms(spark, sf_dir), ["doc_id"])
+    rows, dictionary = _with_needs(spark, sf_dir)
+    levels = evidence.rubric_levels(rows, dictionary, "doc_id", ["doc_id"])
     return evidence.level_total(levels).select("doc_id", "total")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import plan_of
 from tallyfolio.functions import evidence as ev
 from tallyfolio.functions.prompts import LEVELS, OUTLINE
-from tallyfolio.operators import evidence, rubric
+from tallyfolio.operators import evidence, rubric, term_matcher
 
 FEW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -114,17 +114,20 @@ TERMS = [(1, "skill", "C", True, None), (1, "skill", "SQL", True, None), (1, "sk
          (None, "action", "Led", None, None), (None, "degree", "Master of Science", None, 2), (1, "skill", "!!", True, None)]
 
 
+TERM_SCHEMA = "request_id int, kind string, term string, critical boolean, rank int"
+
+
 def judged(spark, *resumes):
+    """Documents with the numbers of their job, and the dictionary."""
     jobs = spark.createDataFrame([(1, JOB), (2, "nothing asked")], "request_id int, jd_text string")
-    terms = evidence.cleaned_dictionary(spark.createDataFrame(TERMS, "request_id int, kind string, term string, critical boolean, rank int"))
-    rows = evidence.with_words(spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(resumes)], "i int, request_id int, t string"), "t",
-                               evidence.longest_term(terms))
-    return rows.join(evidence.job_dictionary(jobs, terms), "request_id")
+    terms = evidence.cleaned_dictionary(spark.createDataFrame(TERMS, TERM_SCHEMA))
+    rows = evidence.with_words(spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(resumes)], "i int, request_id int, t string"), "t")
+    return rows.join(evidence.job_needs(jobs, terms), "request_id"), terms
 
 
 def test_dictionary_of_a_job_keeps_short_terms_and_phrases(spark):
-    rows = judged(spark, (1, "Led a team; problem solving in SQL on aws"), (1, "data-engineer, PMP, c"), (2, "Led"), (1, ""))
-    counts = {r.i: r for r in evidence.keyword_counts(rows, ["i"]).collect()}
+    rows, terms = judged(spark, (1, "Led a team; problem solving in SQL on aws"), (1, "data-engineer, PMP, c"), (2, "Led"), (1, ""))
+    counts = {r.i: r for r in evidence.keyword_counts(rows, terms, "i", ["i"]).collect()}
     assert (counts[0].skills_found, counts[0].critical_skills_found, counts[0].soft_skills_found, counts[0].actions_found) == (2, 1, 1, 1)
     assert (counts[1].skills_found, counts[1].roles_found, counts[1].certifications_found) == (1, 1, 1)
     assert (counts[0].skills_wanted, counts[0].critical_skills_wanted, counts[2].skills_wanted, counts[2].actions_found) == (3, 2, 0, 1)
@@ -132,13 +135,50 @@ def test_dictionary_of_a_job_keeps_short_terms_and_phrases(spark):
 
 
 def test_levels_follow_the_dictionary_and_the_years_of_the_job(spark):
-    rows = judged(spark, (1, "data engineer PMP 3 years Master of Science led 5"), (1, "2 years"), (1, "1 year"), (2, "1 year"))
-    levels = {r.i: r for r in evidence.rubric_levels(rows, ["i"]).collect()}
+    rows, terms = judged(spark, (1, "data engineer PMP 3 years Master of Science led 5"), (1, "2 years"), (1, "1 year"), (2, "1 year"))
+    levels = {r.i: r for r in evidence.rubric_levels(rows, terms, "i", ["i"]).collect()}
     assert [levels[i]["level_2.1"] for i in range(4)] == [1, 2, 3, 1]
     assert [levels[i]["level_1.2"] for i in range(2)] == [1, 3] and [levels[i]["level_3.2"] for i in range(2)] == [1, 3]
     assert (levels[0]["level_3.1"], levels[0]["level_1.3"]) == (1, 1)
 
 
+def brute_found(dictionary, request, clean):
+    """Terms as whole words of a text, each kind by itself."""
+    held = [(kind, term, critical, rank or 0) for r, kind, term, critical, rank in dictionary
+            if r in (None, request) and f" {term} " in f" {clean.lower()} "]
+    counts = [len({t for k, t, _, _ in held if k == kind}) for kind in term_matcher.KINDS]
+    return [*counts, len({t for k, t, critical, _ in held if k == "skill" and critical}), max([0, *(n for k, _, _, n in held if k == "degree")])]
+
+
+DICTIONARY = st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.sampled_from([*term_matcher.KINDS, "degree", "other"]),
+                                st.sampled_from(["a", "a b", "a b c", "b", "c d a", "ab", "7", "abc a", "b b"]), st.booleans(),
+                                st.sampled_from([None, 1, 2, 5])), max_size=25)
+
+
+@FEW
+@given(DICTIONARY, st.lists(st.tuples(st.sampled_from([None, 1, 2, 3]), WORDS), min_size=5, max_size=20))
+def test_walk_and_join_find_the_same_terms(spark, dictionary, texts_):
+    terms = evidence.cleaned_dictionary(spark.createDataFrame(dictionary, TERM_SCHEMA))
+    rows = evidence.with_words(spark.createDataFrame([(i, *pair) for i, pair in enumerate(texts_)], "i int, request_id int, t string"), "t").cache()
+    distinct = [tuple(r) for r in terms.collect()]
+    wanted = {r.i: brute_found(distinct, r.request_id, r.clean) for r in rows.collect()}
+    for limit in (term_matcher.TERM_ROWS, -1):
+        got = term_matcher.with_found(rows, terms, "i", max_rows=limit).select("i", "found").collect()
+        assert {r.i: list(r.found) for r in got} == wanted
+    rows.unpersist()
+
+
+def test_a_large_dictionary_is_not_copied_into_rows(spark):
+    """100,000 terms of one job: what goes to Python and what comes back stays narrow."""
+    terms = spark.range(100_000).select(F.lit(1).alias("request_id"), F.lit("skill").alias("kind"), F.concat(F.lit("w"), "id", F.lit(" x")).alias("term"),
+                                        F.lit(False).alias("critical"), F.lit(1).alias("rank"))
+    rows = spark.range(2000).select("id", F.lit(1).alias("request_id"), F.concat(F.lit("w"), "id", F.lit(" x W5 X w7")).alias("clean"))
+    found = term_matcher.with_found(rows, terms, "id")
+    plan = plan_of(found.select("id", "found.skills", "found.degree", "found.roles"))
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "array" not in plan
+    assert {r.skills: r.n for r in found.groupBy("found.skills").agg(F.count("*").alias("n")).collect()} == {2: 1999, 1: 1}
+
+
 def test_outcomes(spark):
     frame = texts(spark, ["Led 5 people", "led people", "5 people", "misled 5"])
     got = evidence.outcome_counts(frame, "i", ["led", "designed"]).sort("i").collect()
@@ -153,10 +193,20 @@ def test_levels(spark):
 
 
 def test_evidence_needs_no_shuffle(spark):
-    frame = texts(spark, ["a b", "c"])
-    terms = F.array(F.lit("a"))
-    columns = [terms.alias(c) for c in (*evidence.KINDS.values(), "critical_skills")]
-    wanted = frame.select("*", *columns, F.lit(3).alias("wanted_years"), ev.ranked_terms({"bachelor": 1}).alias("degrees"))
-    levels = evidence.rubric_levels(wanted, ["i"])
-    for result in (evidence.level_total(levels), evidence.term_frequency(frame, "i", "t", 3)):
-        assert "Exchange" not in plan_of(result)
+    rows, terms = judged(spark, (1, "a b"), (2, "c"))
+    plain = spark.createDataFrame([(0, 1, "a b")], "i int, request_id int, clean string").select(
+        "*", F.lit(3).alias("wanted_years"), *[F.lit(1).alias(f"{c}_wanted") for c in term_matcher.COUNTED])
+    levels = evidence.rubric_levels(plain, terms, "i", ["i"])
+    for result in (evidence.level_total(levels), evidence.term_frequency(rows, "i", "t", 3)):
+        assert "Exchange" not in plan_of(result).replace("BroadcastExchange", "")
+
+
+def test_no_filter_evaluates_the_cleaning_again(spark):
+    """A generator over computed arrays must not bring a filter on their size below the projections."""
+    frame = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], "i int, t string")
+    for top in (None, 2):
+        got = evidence.term_frequency(frame, "i", "t", top)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("Filter" in line and "regexp_replace" in line for line in plan.splitlines())
+        assert plan.count("array_sort") + plan.count("sort_array") == 2
+        assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (1, "b", 2)]
