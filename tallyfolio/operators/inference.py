@@ -1,7 +1,8 @@
 """Batch inference over a table with a model function that the user supplies.
 
 A model is a factory: called once per task, it returns a function from a list of request bodies (JSON
-chat requests) to a list of reply bodies (JSON chat replies, or None). The package holds no vendor client.
+chat requests) to a list of reply bodies (JSON chat replies, or None). The function is called from several threads
+of its task at a time unless the window of calls is 1. The package holds no vendor client.
 """
 
 from __future__ import annotations
@@ -9,16 +10,16 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.prompts import chat_reply, chat_request, request_body
+from tallyfolio.operators.calls import CallPolicy, ModelCall, Window
 from tallyfolio.schemas import STAGE_REPLIES
 from tallyfolio.workspace import lookup_join, materialize, new_folder
 
-ModelCall = Callable[[Sequence[str]], Sequence["str | None"]]
 ModelFactory = Callable[[], ModelCall]
 
 
@@ -50,57 +51,46 @@ def requests(df: DataFrame, prompt: Column, **parameters) -> DataFrame:
                     "request"))
 
 
-def _one_by_one(call: ModelCall, bodies: list[str]) -> Iterator[tuple[str | None, str | None]]:
-    for body in bodies:
-        try:
-            yield call([body])[0], None
-        except Exception as failure:
-            yield None, f"{type(failure).__name__}: {failure}"
+REPLY_ROWS, REPLY_BYTES = 256, 8 << 20      # answers that leave a task together
 
 
-def _answer(call: ModelCall, bodies: list[str]) -> list[tuple[str | None, str | None]]:
-    if len(bodies) > 1:
-        try:
-            replies = call(bodies)
-            if len(replies) == len(bodies):
-                return [(reply, None) for reply in replies]
-        except Exception:
-            pass
-    return list(_one_by_one(call, bodies))
-
-
-def call_model(calls: DataFrame, model: ModelFactory, batch_size: int = 1,
-               parallelism: int | None = None) -> DataFrame:
+def call_model(calls: DataFrame, model: ModelFactory, policy: CallPolicy = CallPolicy()) -> DataFrame:
     """``(unique_id, call_key, body, error)`` of each call; a failing call is recorded, the others go on.
 
-    Only ids and requests cross to Python. With ``batch_size`` above 1 a failing batch is asked again row by
-    row, so exactly the failing rows carry an error. ``parallelism`` bounds the calls in flight.
+    Only ids and requests cross to Python. Each task keeps ``policy.window`` calls in flight, reads its input as there is room
+    and hands replies on as they come, so it holds no more than the window and a batch of either.
     """
+    spark = calls.sparkSession
     narrow = calls.select("unique_id", "call_key", "request")
-    if parallelism is not None:
-        narrow = narrow.repartition(parallelism, "call_key")
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = model()
-        for batch in batches:
-            bodies = batch["request"].tolist()
-            answers = [answer for start in range(0, len(bodies), batch_size)
-                       for answer in _answer(call, bodies[start:start + batch_size])]
-            yield pd.DataFrame({
-                "unique_id": batch["unique_id"],
-                "call_key": batch["call_key"],
-                "body": pd.Series([body for body, _ in answers], dtype=object),
-                "error": pd.Series([error for _, error in answers], dtype=object),
-            })
-
-    return narrow.mapInPandas(ask, STAGE_REPLIES)
+    if policy.parallelism is not None:
+        narrow = narrow.repartition(policy.parallelism, "call_key")
+    at_a_time = min(spark.sparkContext.defaultParallelism, policy.parallelism or spark.sparkContext.defaultParallelism)
+    rate = policy.rate / at_a_time if policy.rate else None
+    names = [field.name for field in STAGE_REPLIES]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window = Window(model(), policy, rate)
+        wanted = (((unique_id, call_key), body) for batch in batches
+                  for unique_id, call_key, body in zip(*(batch[c].to_pylist() for c in ("unique_id", "call_key", "request"))))
+        rows, held = [], 0
+        for key, answer in window.ask(wanted):
+            rows.append((*key, *answer))
+            held += len(answer[0] or "")
+            if len(rows) >= REPLY_ROWS or held >= REPLY_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+                rows, held = [], 0
+        window.close()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+
+    return narrow.mapInArrow(ask, STAGE_REPLIES)
 
 
 COMMITS = 8
 
 
-def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, batch_size: int = 1,
-              parallelism: int | None = None, commits: int = COMMITS) -> DataFrame:
+def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, policy: CallPolicy = CallPolicy(),
+              commits: int = COMMITS) -> DataFrame:
     """Run the calls, store the replies, and return ``(unique_id, reply, error)``, one row per call.
 
     The stage table is written before anything reads the replies: neither a lost executor nor a second use
@@ -111,7 +101,7 @@ def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, b
     spark = calls.sparkSession
     if table is None:
         path = new_folder(spark, "stage")
-        call_model(calls, model, batch_size, parallelism).write.parquet(path)
+        call_model(calls, model, policy).write.parquet(path)
         replies = spark.read.schema(STAGE_REPLIES).parquet(path)
         return replies.select("unique_id", chat_reply(F.col("body")).alias("reply"), "error")
     asked = materialize(calls.select("unique_id", "call_key"), "asked")
@@ -122,7 +112,7 @@ def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, b
     open_calls = materialize(lookup_join(calls, left.select("call_key").distinct(), ["call_key"], "left_semi"), "calls")
     for number in range(commits):
         some = open_calls.filter(F.pmod(F.xxhash64("call_key"), F.lit(commits)) == number)
-        call_model(some, model, batch_size, parallelism).write.mode("append").parquet(table)
+        call_model(some, model, policy).write.mode("append").parquet(table)
     held = spark.read.schema(STAGE_REPLIES).parquet(table)
     # Of a call that was asked several times a reply comes before an error.
     best = (lookup_join(held, asked.select("call_key").distinct(), ["call_key"], "left_semi").groupBy("call_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +69,12 @@ def lookup_default(df: DataFrame, results: DataFrame, keys: list[str], result: s
 
 
 def final_record(name: Column, content: Column, file_path: Column, key_aspects: Column,
-                 reply: Column) -> list[Column]:
+                 reply: Column, parse: Callable[[Column], Column] = parse_score) -> list[Column]:
     """Columns of the answer: key aspects are cleaned, the reply is parsed; missing ones count as empty."""
     return [
         name.alias("name"),
         content.alias("content"),
         file_path.alias("file_path"),
         clean_text(F.coalesce(key_aspects, F.lit(""))).alias("key_feature"),
-        F.coalesce(parse_score(reply), F.lit(NO_SCORE)).alias("score"),
+        F.coalesce(parse(reply), F.lit(NO_SCORE)).alias("score"),
     ]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.prompts import JOB_PROMPT, RESUME_PROMPT, SCORE_PROMPT, Prompt
 from tallyfolio.functions.text import NO_SCORE, clean_text, parse_score, score_int
+from tallyfolio.operators.calls import CallPolicy
 from tallyfolio.operators.inference import ModelFactory, requests, require_all, run_stage
 from tallyfolio.operators.jobs import attach_jobs
 from tallyfolio.operators.merge import final_record, last_write_wins
@@ -23,7 +24,7 @@ from tallyfolio.workspace import lookup_join, materialize, spread_small
 
 @dataclass
 class Models:
-    """Model factories of the three stages, their prompts and request parameters."""
+    """Model factories of the three stages, their prompts, request parameters, way of calling and score rule."""
 
     job: ModelFactory
     resume: ModelFactory
@@ -32,16 +33,15 @@ class Models:
     resume_prompt: Prompt = RESUME_PROMPT
     score_prompt: Prompt = SCORE_PROMPT
     parameters: dict = field(default_factory=dict)
-    batch_size: int = 1
-    parallelism: int | None = None
+    calls: CallPolicy = CallPolicy()
+    parse_score: Callable[[Column], Column] = parse_score
 
 
 def job_features(jobs: DataFrame, models: Models, table: str | None = None) -> DataFrame:
     """``(request_id, job_features)``: one call per job description; a failed call raises."""
     rows = jobs.withColumn("unique_id", F.col("request_id").cast("string"))
     prompt = models.job_prompt.render(job_description_text=F.col("jd_text"))
-    replies = require_all(run_stage(requests(rows, prompt, **models.parameters), models.job, table,
-                                    models.batch_size, models.parallelism))
+    replies = require_all(run_stage(requests(rows, prompt, **models.parameters), models.job, table, models.calls))
     named = rows.select("unique_id", "request_id").join(replies, "unique_id")
     return named.select("request_id", F.col("reply").alias("job_features"))
 
@@ -50,8 +50,7 @@ def key_aspects(documents: DataFrame, models: Models, table: str | None = None)
     """``(unique_id, reply, error)``: one call per document, failures isolated."""
     rows = spread_small(documents.select("unique_id", "content"), "unique_id")
     prompt = models.resume_prompt.render(resume_text=F.col("content"))
-    return run_stage(requests(rows, prompt, **models.parameters), models.resume, table,
-                     models.batch_size, models.parallelism)
+    return run_stage(requests(rows, prompt, **models.parameters), models.resume, table, models.calls)
 
 
 def score_replies(aspects: DataFrame, features: DataFrame, models: Models, table: str | None = None) -> DataFrame:
@@ -63,8 +62,7 @@ def score_replies(aspects: DataFrame, features: DataFrame, models: Models, table
     rows = attach_jobs(spread_small(aspects, "unique_id"), features)
     prompt = models.score_prompt.render(resume_text=F.coalesce(F.col("key_aspects"), F.lit("")),
                                         job_description=F.col("job_features"))
-    return run_stage(requests(rows, prompt, **models.parameters), models.score, table,
-                     models.batch_size, models.parallelism)
+    return run_stage(requests(rows, prompt, **models.parameters), models.score, table, models.calls)
 
 
 def two_stages(documents: DataFrame, features: DataFrame, models: Models,
@@ -113,8 +111,8 @@ def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: Resu
     results.update(load_id, outcome.select(
         "unique_id",
         clean_text(F.coalesce("key_aspects", F.lit(""))).alias("resume_key_aspect"),
-        score_int(F.coalesce(parse_score(F.col("score_reply")), F.lit(NO_SCORE))).alias("score")))
+        score_int(F.coalesce(models.parse_score(F.col("score_reply")), F.lit(NO_SCORE))).alias("score")))
     # Exactly the latest documents have an outcome, so this join also picks them.
     answered = lookup_join(documents, outcome, ["unique_id"], "inner")
     return answered.select("request_id", "unique_id", *final_record(
-        F.col("name"), F.col("content"), F.col("file_path"), F.col("key_aspects"), F.col("score_reply")))
+        F.col("name"), F.col("content"), F.col("file_path"), F.col("key_aspects"), F.col("score_reply"), models.parse_score))

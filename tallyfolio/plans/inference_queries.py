@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfolio.functions import prompts
 from tallyfolio.functions.text import clean_text
+from tallyfolio.operators.calls import CallPolicy
 from tallyfolio.operators.inference import requests, run_stage, text_model
 from tallyfolio.operators.jobs import attach_jobs
 from tallyfolio.operators.merge import final_record
@@ -80,7 +81,7 @@ def _sql_aspects(content: str) -> str:
 @query("stage_key_aspects", f"""SELECT {sql.RESUME_ID} AS unique_id, {_sql_aspects("text")} AS reply,
     {_sql_aspects("text")} IS NULL AS failed FROM documents""")
 def stage_key_aspects(spark, sf_dir):
-    replies = batch.key_aspects(resumes(spark, sf_dir), stub_models(batch_size=8))
+    replies = batch.key_aspects(resumes(spark, sf_dir), stub_models(calls=CallPolicy(batch_size=8, window=4)))
     return replies.select("unique_id", "reply", F.col("error").isNotNull().alias("failed"))
 
 

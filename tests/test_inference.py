@@ -10,7 +10,9 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tallyfolio.functions import prompts
+from tallyfolio.functions.text import parse_score, parse_score_full_range
 from tallyfolio.operators import inference
+from tallyfolio.operators.calls import CallPolicy
 from tallyfolio.operators.inference import requests, require_all, reply_body, run_stage, text_model
 from tallyfolio.plans.batch import Models, job_features, key_aspects, score_batch, two_stages
 from tallyfolio.plans.samples import docx_bytes, zip_bytes
@@ -79,7 +81,7 @@ def rows(spark, n):
 @pytest.mark.parametrize("batch_size", [1, 7])
 def test_failures_stay_with_their_rows(spark, tmp_path, batch_size):
     model = counting_model(tmp_path, lambda prompt: prompt.endswith("3"))
-    got = run_stage(requests(rows(spark, 100), F.col("p")), model, batch_size=batch_size, parallelism=3).collect()
+    got = run_stage(requests(rows(spark, 100), F.col("p")), model, policy=CallPolicy(batch_size=batch_size, parallelism=3)).collect()
     assert len(got) == 100
     for row in got:
         number = row.unique_id[1:]
@@ -139,7 +141,7 @@ def test_rows_without_prompt_are_not_sent(spark, tmp_path):
 def test_a_wrong_number_of_replies_is_asked_one_by_one(spark):
     def model():
         return lambda bodies: [reply_body("x")] * (1 if len(bodies) == 1 else len(bodies) - 1)
-    got = run_stage(requests(rows(spark, 20), F.col("p")), model, batch_size=5)
+    got = run_stage(requests(rows(spark, 20), F.col("p")), model, policy=CallPolicy(batch_size=5))
     assert got.filter("reply = 'x'").count() == 20
 
 
@@ -166,6 +168,16 @@ def stub_models(**options):
                   score_prompt=prompts.Prompt("empty({resume_text}) {job_description}"), **options)
 
 
+def test_the_whole_range_of_scores_can_be_chosen(spark, tmp_path):
+    files = spark.createDataFrame([(1, 1, "a.txt", b"a")], "request_id int, source_seq long, name string, content binary")
+    jobs = spark.createDataFrame([(1, "j")], "request_id int, jd_text string")
+    for rule, wanted in ((parse_score, 0), (parse_score_full_range, 100)):
+        models = dataclasses.replace(stub_models(), score=text_model(lambda prompt: "Score: 100"), parse_score=rule)
+        results = ResultsTable(spark, f"results_{uuid.uuid4().hex}", str(tmp_path / rule.__name__))
+        answer = score_batch(files, jobs, models, results, "l1").collect()
+        assert [r.score for r in answer] == [str(wanted)] and [r.score for r in results.read().collect()] == [wanted]
+
+
 def test_failed_extraction_is_scored_on_empty_text(spark):
     documents = spark.createDataFrame([("a", 1, "x FAILASPECT"), ("b", 1, "y"), ("c", 1, "FAILSCORE")],
                                       "unique_id string, request_id int, content string")
