@@ -239,6 +239,8 @@ def _round(docs: DataFrame, pairs: DataFrame, k: int, id_col: str, text_col: str
     by_item: dict = {}
     for row in pairs.collect():
         by_item.setdefault(row["item"], []).append(row["term"])
+    if not by_item:
+        return spark.createDataFrame([], f"item {pairs.schema['item'].dataType.simpleString()}, rank int, doc_id bigint, score bigint")
     vocabulary = np.unique(np.array([term for terms in by_item.values() for term in terms], np.int64))
     vectors = materialize(document_vectors(docs, vocabulary, id_col, text_col), "vectors")
     total = vectors.agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("terms")).first()
