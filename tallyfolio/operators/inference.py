@@ -86,7 +86,7 @@ def call_model(calls: DataFrame, model: ModelFactory, policy: CallPolicy = CallP
     return narrow.mapInArrow(ask, STAGE_REPLIES)
 
 
-COMMITS = 8
+COMMITS, CALLS_A_COMMIT = 8, 10
 
 
 def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, policy: CallPolicy = CallPolicy(),
@@ -95,8 +95,8 @@ def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, p
 
     The stage table is written before anything reads the replies: neither a lost executor nor a second use
     of the result calls the model again. With a ``table`` path of the caller, only calls that it holds no reply
-    for are made: a call that failed before is asked again. Such a table is filled in ``commits`` ranges of
-    the call key, so a run that dies keeps the ranges it has finished.
+    for are made: a call that failed before is asked again. Such a table is filled in up to ``commits`` ranges
+    of the call key, so a run that dies keeps the ranges it has finished.
     """
     spark = calls.sparkSession
     if table is None:
@@ -110,6 +110,7 @@ def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, p
         done = spark.read.schema(STAGE_REPLIES).parquet(table).filter(F.col("body").isNotNull())
         left = materialize(asked.join(done.select("call_key"), "call_key", "left_anti"), "left")
     open_calls = materialize(lookup_join(calls, left.select("call_key").distinct(), ["call_key"], "left_semi"), "calls")
+    commits = max(1, min(commits, open_calls.count() // CALLS_A_COMMIT))
     for number in range(commits):
         some = open_calls.filter(F.pmod(F.xxhash64("call_key"), F.lit(commits)) == number)
         call_model(some, model, policy).write.mode("append").parquet(table)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfolio.operators.merge import WIDE_BYTES, mark_picked
 from tallyfolio.schemas import MAX_NAME_CHARS, RESULTS
-from tallyfolio.workspace import lookup_join
+from tallyfolio.workspace import lookup_join, materialize
 
 NAME_TOO_LONG = "name_too_long"
 DUPLICATE_KEY = "duplicate_key"
@@ -34,8 +34,12 @@ def mark_rejects(rows: DataFrame, order: list[str], key: str = "unique_id",
 
 
 def reject_known(marked: DataFrame, known: DataFrame, key: str = "unique_id") -> DataFrame:
-    """Mark also the rows whose key is in ``known`` (unique there): the key holds for the whole table, not for one load."""
-    joined = lookup_join(marked, known.select(key, F.lit(True).alias("_known")), [key])
+    """Mark also the rows whose key is in ``known`` (unique there): the key holds for the whole table, not for one load.
+
+    Few keys are known in a sound load; written down and broadcast, they leave the rows where they are.
+    """
+    hits = materialize(known.select(key, F.lit(True).alias("_known")), "known")
+    joined = lookup_join(marked, hits, [key])
     reason = F.coalesce("reason", F.when(F.col("_known"), F.lit(DUPLICATE_KEY)))
     return joined.withColumn("reason", reason).drop("_known")
 
@@ -48,18 +52,4 @@ def rejected(marked: DataFrame) -> DataFrame:
     return marked.filter(F.col("reason").isNotNull())
 
 
-def apply_updates(rows: DataFrame, updates: DataFrame, key: str = "unique_id") -> DataFrame:
-    """Set key aspects and score of the rows whose key is in ``updates`` (unique there).
-
-    An update may set NULL, so a hit is marked and not guessed from the values. Unknown keys change nothing.
-    """
-    new = updates.select(key, F.col("resume_key_aspect").alias("_aspect"), F.col("score").alias("_score"),
-                         F.lit(True).alias("_hit"))
-    joined = lookup_join(rows, new, [key])
-    return joined.select(
-        *[c for c in rows.columns if c not in ("resume_key_aspect", "score")],
-        F.when(F.col("_hit"), F.col("_aspect")).otherwise(F.col("resume_key_aspect")).alias("resume_key_aspect"),
-        F.when(F.col("_hit"), F.col("_score")).otherwise(F.col("score")).alias("score"))
-
-
 RESULT_COLUMNS = [field.name for field in RESULTS]

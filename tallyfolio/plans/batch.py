@@ -14,7 +14,7 @@ from tallyfolio.operators.calls import CallPolicy
 from tallyfolio.operators.inference import ModelFactory, requests, require_all, run_stage
 from tallyfolio.operators.jobs import attach_jobs
 from tallyfolio.operators.merge import final_record, last_write_wins
-from tallyfolio.operators.results import accepted, mark_rejects, new_results, reject_known, rejected
+from tallyfolio.operators.results import mark_rejects, new_results, reject_known, rejected
 from tallyfolio.sources.decoders import Decoder
 from tallyfolio.sources.intake import OK, decode_files, identify_files, storable
 from tallyfolio.sources.raw_files import put_raw
@@ -22,6 +22,9 @@ from tallyfolio.sources.results_table import ResultsTable
 from tallyfolio.workspace import lookup_join, materialize, spread_small
 
 
+Latest = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
 @dataclass
 class Models:
     """Model factories of the three stages, their prompts, request parameters, way of calling and score rule."""
@@ -79,7 +82,7 @@ def two_stages(documents: DataFrame, features: DataFrame, models: Models,
 
 def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: ResultsTable, load_id: str,
                 raw_path: str | None = None, decoders: Mapping[str, Decoder] | None = None,
-                tables: Mapping[str, str] | None = None, raw_digits: int = 2) -> DataFrame:
+                tables: Mapping[str, str] | None = None, raw_digits: int = 2, latest: Latest | None = None) -> DataFrame:
     """Score uploads against the job description of their request.
 
     ``files`` is ``(request_id, source_seq, name, content)``, ``jobs`` is ``(request_id, jd_text)``. Returns
@@ -87,6 +90,9 @@ def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: Resu
     name; the earlier ones stay in the results table without a score. What cannot be read or inserted goes
     to the quarantine of the load with a reason. Documents are decoded once and written; everything after
     that reads the written columns it needs. Running a load again replaces it.
+
+    ``latest`` decides which files are the last of their name where that does not depend on this batch alone: from keys and
+    order values it gives the ids of those that are, and of files of other loads that no longer are and lose their score.
     """
     tables = tables or {}
     features = materialize(job_features(jobs, models, tables.get("job")), "features")
@@ -98,20 +104,31 @@ def score_batch(files: DataFrame, jobs: DataFrame, models: Models, results: Resu
     decoded = materialize(decode_files(identified, decoders), "documents")
     documents = decoded.filter(F.col("status") == OK).drop("status", "error")
 
-    marked = mark_rejects(new_results(documents, "source_seq", "member"), ["source_seq", "member"])
-    marked = reject_known(marked, results.ids_elsewhere(load_id))
-    results.insert(load_id, accepted(marked))
+    # What is refused and what is last is found from names and ids; contents meet only the small answers.
+    heads = materialize(documents.select("request_id", "source_seq", "member", "unique_id", "name"), "heads")
+    marked = mark_rejects(heads.withColumnRenamed("name", "resume_name"), ["source_seq", "member"])
+    refused = materialize(rejected(reject_known(marked, results.ids_elsewhere(load_id, heads))), "refused")
+    place = ["unique_id", "source_seq", "member"]
+    results.insert(load_id, new_results(lookup_join(documents, refused.select(*place), place, "left_anti")))
     unread = decoded.filter(F.col("status") != OK).select("unique_id", "name", F.col("status").alias("reason"), "error")
-    refused = rejected(marked).select("unique_id", F.col("resume_name").alias("name"), "reason",
-                                      F.lit(None).cast("string").alias("error"))
-    results.quarantine(load_id, unread.unionByName(refused))
-
-    latest = last_write_wins(documents, ["request_id", "name"], ["source_seq", "member", "unique_id"])
-    outcome = materialize(two_stages(latest, features, models, tables), "outcome")
-    results.update(load_id, outcome.select(
+    results.quarantine(load_id, unread.unionByName(refused.select(
+        "unique_id", F.col("resume_name").alias("name"), "reason", F.lit(None).cast("string").alias("error"))))
+
+    if latest is None:
+        last, beaten = last_write_wins(heads, ["request_id", "name"], ["source_seq", "member", "unique_id"]), None
+    else:
+        last, beaten = latest(heads)
+    last = materialize(last.select("unique_id"), "last")
+    outcome = materialize(two_stages(lookup_join(documents, last, ["unique_id"], "left_semi"), features, models, tables), "outcome")
+    scores = outcome.select(
         "unique_id",
         clean_text(F.coalesce("key_aspects", F.lit(""))).alias("resume_key_aspect"),
-        score_int(F.coalesce(models.parse_score(F.col("score_reply")), F.lit(NO_SCORE))).alias("score")))
+        score_int(F.coalesce(models.parse_score(F.col("score_reply")), F.lit(NO_SCORE))).alias("score"))
+    if beaten is None:
+        results.update(load_id, scores)
+    else:
+        none = F.lit(None)
+        results.update(None, scores.unionByName(beaten.select("unique_id", none.cast("string").alias("resume_key_aspect"), none.cast("int").alias("score"))))
     # Exactly the latest documents have an outcome, so this join also picks them.
     answered = lookup_join(documents, outcome, ["unique_id"], "inner")
     return answered.select("request_id", "unique_id", *final_record(

@@ -93,7 +93,8 @@ def update_all_loads(spark, sf_dir):
     store = new_results_table(spark)
     store.insert("load1", results.new_results(rows.filter("source_seq % 3 = 0")))
     marked = results.mark_rejects(results.new_results(rows, "source_seq"), ["source_seq"])
-    store.insert("load2", results.accepted(results.reject_known(marked, store.ids_elsewhere("load2"))))
+    known = store.ids_elsewhere("load2", materialize(rows.select("unique_id"), "ids"))
+    store.insert("load2", results.accepted(results.reject_known(marked, known)))
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "source_seq")
     updates = rows.select("source_seq", "unique_id").join(labels, "source_seq").select(
         "unique_id", F.concat(F.lit("aspect "), "source_seq").alias("resume_key_aspect"), F.col("quality").cast("int").alias("score"))

@@ -1,4 +1,4 @@
-"""The results table in the catalog: create if missing, add a load, update a load, read."""
+"""The results table in the catalog: contents written once, scores laid over them, both published as whole partitions."""
 
 from __future__ import annotations
 
@@ -7,51 +7,102 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfolio.operators.results import RESULT_COLUMNS, apply_updates
+from tallyfolio.operators.results import RESULT_COLUMNS
 from tallyfolio.schemas import RESULTS, checked_load
-from tallyfolio.workspace import lookup_join
+from tallyfolio.workspace import lookup_join, materialize
 
 QUARANTINE_COLUMNS = ["unique_id", "name", "reason", "error"]
+SET = ["resume_key_aspect", "score"]
+FEW_IDS = 1000      # ids that are written into a filter, which the files' bloom filters answer
+
 
 class ResultsTable:
-    """Parquet table with the fixed results schema, partitioned by load.
+    """A view ``name`` with the fixed results schema and ``load_id``, over two tables of Parquet files.
+
+    ``name_documents`` holds the inserted rows, partitioned by load. A load is one run over a set of uploads: its rows are
+    written to a new folder, then its partition is pointed there in the catalog, so a reader sees all of the old or all of the
+    new rows, a failed run leaves the table as it was, and running a load again replaces only that load.
 
-    A load is one run over a set of uploads. Its rows are written to a new folder, then the partition is
-    pointed there in the catalog: a reader sees all of the old or all of the new rows, a failed run leaves
-    the table as it was, and running a load again replaces only that load. An update rewrites the
-    partition of its load and no other, however large the table has become.
+    ``name_scores`` holds updates, partitioned by version. An update of any number of loads writes ids, key aspects and scores to
+    one new folder and publishes it as one version; contents are neither read nor written. Reading takes the last version of
+    each row that is later than the insert of its load. ``compact`` leaves one version; ``fold`` writes a load's scores
+    into its rows. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, name: str, location: str):
         self.spark, self.name, self.location = spark, name, location.rstrip("/")
+        self.documents, self.scores = f"{name}_documents", f"{name}_scores"
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}"
                             for f in RESULTS)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}, load_id string) USING parquet "
+        types = {f.name: f.dataType.simpleString() for f in RESULTS}
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.documents} ({columns}, inserted bigint, load_id string) USING parquet "
                   f"PARTITIONED BY (load_id) LOCATION '{self.location}/table'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.scores} (unique_id string, of_load string, {', '.join(f'{c} {types[c]}' for c in SET)}, "
+                  f"version bigint) USING parquet PARTITIONED BY (version) LOCATION '{self.location}/scores'")
+        last = f"SELECT unique_id, of_load, max(struct(version, {', '.join(SET)})) AS last FROM {self.scores} GROUP BY unique_id, of_load"
+        laid = ", ".join(f"if(s.last IS NULL, d.{c}, s.last.{c}) AS {c}" for c in SET)
+        spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {', '.join(f'd.{c}' for c in RESULT_COLUMNS if c not in SET)}, {laid}, d.load_id "
+                  f"FROM {self.documents} d LEFT JOIN ({last}) s "
+                  f"ON s.unique_id = d.unique_id AND s.of_load = d.load_id AND s.last.version > d.inserted")
+
+    def _versions(self) -> list[int]:
+        return sorted(int(row[0].split("=")[1]) for row in self.spark.sql(f"SHOW PARTITIONS {self.scores}").collect())
+
+    def _publish(self, version: int, rows: DataFrame) -> None:
+        folder = f"{self.location}/versions/{version}-{uuid.uuid4().hex}"
+        rows.select("unique_id", "of_load", *SET).write.parquet(folder)
+        self.spark.sql(f"ALTER TABLE {self.scores} ADD PARTITION (version={version}) LOCATION '{folder}'")
 
-    def _publish(self, load_id: str, rows: DataFrame) -> None:
+    def insert(self, load_id: str, rows: DataFrame) -> None:
+        """Write the rows of a load, in place of what it held; updates made before do not count for them."""
         folder = f"{self.location}/loads/{checked_load(load_id)}/{uuid.uuid4().hex}"
-        rows.select(*RESULT_COLUMNS).write.parquet(folder)
+        version = max([0, *self._versions()])
+        (rows.select(*RESULT_COLUMNS, F.lit(version).cast("bigint").alias("inserted")).write
+         .option("parquet.bloom.filter.enabled#unique_id", "true").parquet(folder))
         partition = f"PARTITION (load_id='{load_id}')"
-        self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS {partition} LOCATION '{folder}'")
-        self.spark.sql(f"ALTER TABLE {self.name} {partition} SET LOCATION '{folder}'")
-
-    def insert(self, load_id: str, rows: DataFrame) -> None:
-        self._publish(load_id, rows)
+        self.spark.sql(f"ALTER TABLE {self.documents} ADD IF NOT EXISTS {partition} LOCATION '{folder}'")
+        self.spark.sql(f"ALTER TABLE {self.documents} {partition} SET LOCATION '{folder}'")
 
     def update(self, load_id: str | None, updates: DataFrame) -> None:
-        """Apply updates to one load, or without a load id to every load that holds one of their keys, and to no other."""
-        for load in [load_id] if load_id is not None else self._loads_with(updates.select("unique_id")):
-            self._publish(load, apply_updates(self.load(load), updates))
-
-    def _loads_with(self, ids: DataFrame) -> list[str]:
-        """Loads that hold one of the ids; of the stored rows only the id column is read."""
-        hit = lookup_join(self.read().select("unique_id", "load_id"), ids.distinct(), ["unique_id"], "left_semi")
-        return sorted(row.load_id for row in hit.select("load_id").distinct().collect())
-
-    def ids_elsewhere(self, load_id: str) -> DataFrame:
-        """Ids that other loads hold."""
-        return self.read().filter(F.col("load_id") != load_id).select("unique_id").distinct()
+        """Set key aspects and score of the rows of one load, or of all, whose key is in ``updates`` (unique there).
+
+        An update may set NULL. Unknown keys change nothing. All loads change at once, when the version is published.
+        """
+        held = self._ids() if load_id is None else self._ids().filter(F.col("load_id") == load_id)
+        named = lookup_join(held, updates.select("unique_id", *SET), ["unique_id"], "inner")
+        self._publish(max([0, *self._versions()]) + 1, named.withColumnRenamed("load_id", "of_load"))
+
+    def compact(self) -> None:
+        """Leave one version with the last update of each row that still counts."""
+        versions = self._versions()
+        if len(versions) < 2:
+            return
+        version = "struct(version, resume_key_aspect, score)"
+        last = self.spark.table(self.scores).groupBy("unique_id", "of_load").agg(F.max(F.expr(version)).alias("last"))
+        inserted = self.spark.table(self.documents).select("unique_id", F.col("load_id").alias("of_load"), "inserted")
+        kept = last.join(inserted, ["unique_id", "of_load"]).filter("last.version > inserted")
+        self._publish(versions[-1] + 1, kept.select("unique_id", "of_load", "last.resume_key_aspect", "last.score"))
+        for old in versions:        # until all are gone, the later version says the same
+            self.spark.sql(f"ALTER TABLE {self.scores} DROP PARTITION (version={old})")
+
+    def fold(self, load_id: str) -> None:
+        """Write the scores of a load into its rows."""
+        self.insert(load_id, self.load(load_id))
+
+    def _ids(self) -> DataFrame:
+        return self.spark.table(self.documents).select("unique_id", "load_id")
+
+    def ids_elsewhere(self, load_id: str, among: DataFrame) -> DataFrame:
+        """Those of the ids ``among`` (a written frame with ``unique_id``) that other loads hold.
+
+        Of the stored rows only the id column is read; of a few ids only the row groups whose bloom filter may hold one.
+        """
+        others = self._ids().filter(F.col("load_id") != load_id).select("unique_id")
+        wanted = among.select("unique_id").distinct()
+        few = wanted.limit(FEW_IDS + 1).collect()
+        if len(few) <= FEW_IDS:
+            return others.filter(F.col("unique_id").isin([row.unique_id for row in few])).distinct()
+        return lookup_join(others, materialize(wanted, "ids"), ["unique_id"], "left_semi").distinct()
 
     def quarantine(self, load_id: str, rows: DataFrame) -> None:
         """Keep what the load left out: ``(unique_id, name, reason, error)``."""

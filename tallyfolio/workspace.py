@@ -31,6 +31,29 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tallyfolio/{label}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """File system and path as Spark itself reaches them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has been finished."""
+    system, place = _hadoop(spark, f"{path}/_SUCCESS")
+    return system.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no folder."""
+    system, place = _hadoop(spark, path)
+    return [found.getPath().getName() for found in system.listStatus(place)] if system.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, place = _hadoop(spark, path)
+    system.delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -6,7 +6,6 @@ import os
 import uuid
 
 import pytest
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tallyfolio.functions import prompts
@@ -18,7 +17,6 @@ from tallyfolio.plans.batch import Models, job_features, key_aspects, score_batc
 from tallyfolio.plans.samples import docx_bytes, zip_bytes
 from tallyfolio.sources.raw_files import get_raw
 from tallyfolio.sources.results_table import ResultsTable
-from tallyfolio.streaming.intake import score_stream, uploaded_files
 
 
 def render(spark, text, **values):
@@ -225,40 +223,3 @@ def test_whole_batch(spark, tmp_path):
     assert sorted(again.collect()) == sorted(answer) and results.read().count() == len(table) + len(unscored)
     path = next(r.file_path for r in answer if r.name == "d.docx")
     assert bytes(get_raw(spark, raw, path, 1).first().content) == UPLOADS[3][3]
-
-
-def test_a_stream_recovers_from_a_failed_job_call(spark, tmp_path):
-    folder = tmp_path / "landing" / "r1"
-    folder.mkdir(parents=True)
-    (folder / "cv.txt").write_bytes(b"text")
-    jobs = spark.createDataFrame([("r1", "j1")], "request_id string, jd_text string")
-    results = ResultsTable(spark, f"results_{uuid.uuid4().hex}", str(tmp_path / "results"))
-    good = stub_models()
-
-    def down(prompt):
-        raise ValueError("down")
-    for models in (dataclasses.replace(good, job=text_model(down)), good):
-        query = score_stream(uploaded_files(spark, str(tmp_path / "landing")), jobs, models, results, str(tmp_path / "checkpoint"))
-        try:
-            query.awaitTermination(120)
-        except StreamingQueryException:
-            assert models is not good
-    assert [(r.resume_name, r.score) for r in results.read().collect()] == [("cv.txt", 85)]
-
-
-def test_stream_of_uploads(spark, tmp_path):
-    landing = tmp_path / "landing"
-    for request, seq, name, content in UPLOADS[:4]:
-        folder = landing / f"r{request}"
-        folder.mkdir(parents=True, exist_ok=True)
-        (folder / f"{seq}{name}").write_bytes(content)
-    jobs = spark.createDataFrame([("r1", "j1"), ("r2", "j2"), ("r3", "no upload")], "request_id string, jd_text string")
-    results = ResultsTable(spark, f"results_{uuid.uuid4().hex}", str(tmp_path / "results"))
-    checkpoint = str(tmp_path / "checkpoint")
-    for _ in range(2):
-        score_stream(uploaded_files(spark, str(landing)), jobs, stub_models(), results, checkpoint).awaitTermination(120)
-    assert sorted((r.resume_name, r.score, r.load_id) for r in results.read().collect()) == [
-        ("1cv.txt", 85, "stream-0"), ("2cv.txt", 85, "stream-0"), ("3cv.txt", 85, "stream-0"), ("4d.docx", 85, "stream-0")]
-    (landing / "r2" / "new.txt").write_bytes(b"late")
-    score_stream(uploaded_files(spark, str(landing)), jobs, stub_models(), results, checkpoint).awaitTermination(120)
-    assert [(r.resume_name, r.score) for r in results.load("stream-1").collect()] == [("new.txt", 85)]

@@ -1,17 +1,25 @@
 from __future__ import annotations
 
 import base64
+import os
+import re
 import uuid
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from conftest import plan_of
 from tallyfolio.functions.naming import make_id, stored_key
 from tallyfolio.operators import results
+from tallyfolio.operators.inference import text_model
+from tallyfolio.plans import batch
+from tallyfolio.plans.batch import Models, score_batch
 from tallyfolio.schemas import RESULTS
 from tallyfolio.sources.raw_files import get_data_url, get_raw, get_raw_many, put_raw
+from tallyfolio.sources import results_table
 from tallyfolio.sources.results_table import ResultsTable, append_jdbc
+from tallyfolio.workspace import materialize
 
 
 @pytest.fixture
@@ -171,9 +179,105 @@ def test_key_holds_for_the_whole_table_and_updates_find_their_load(spark, table)
                                      "unique_id string, resume_name string, resume_content string, resume_key_aspect string, score int")
     table.insert("l1", rows("a", "b"))
     marked = rows("b", "c").withColumn("reason", F.lit(None).cast("string"))
-    marked = results.reject_known(marked, table.ids_elsewhere("l2"))
+    marked = results.reject_known(marked, table.ids_elsewhere("l2", marked))
     assert {r.unique_id: r.reason for r in marked.collect()} == {"b": "duplicate_key", "c": None}
     table.insert("l2", results.accepted(marked))
     table.insert("l3", rows("d"))
     table.update(None, spark.createDataFrame([("a", "x", 1), ("c", "y", 2), ("none", "z", 3)], "unique_id string, resume_key_aspect string, score int"))
     assert sorted((r.unique_id, r.load_id, r.score) for r in table.read().collect()) == [("a", "l1", 1), ("b", "l1", None), ("c", "l2", 2), ("d", "l3", None)]
+
+
+def stored(path):
+    """All files below a path with their times."""
+    return {os.path.join(folder, name): os.stat(os.path.join(folder, name)).st_mtime_ns for folder, _, names in os.walk(path) for name in names}
+
+
+def test_an_update_writes_no_contents(spark, table):
+    table.insert("l1", rows(spark, "a", "b"))
+    table.insert("l2", rows(spark, "c"))
+    before = stored(table.location)
+    table.update(None, updates(spark, ("a", "x", 1), ("c", "y", 2), ("none", "z", 3)))
+    after = stored(table.location)
+    new = [path for path in after if path not in before and path.endswith(".parquet")]
+    assert {path: after[path] for path in before} == before and new and all("/versions/1-" in path for path in new)
+    assert sorted(spark.read.parquet(*new).columns) == ["of_load", "resume_key_aspect", "score", "unique_id"]
+    assert state(table.read()) == {"a": ("x", 1), "b": (None, None), "c": ("y", 2)}
+    assert state(spark.sql(f"SELECT * FROM {table.name} WHERE load_id = 'l2'")) == {"c": ("y", 2)}
+
+
+def test_an_update_of_all_loads_is_published_at_once_or_not_at_all(spark, table):
+    table.insert("l1", rows(spark, "a"))
+    table.insert("l2", rows(spark, "b"))
+    table.update(None, updates(spark, ("a", "x", 1), ("b", "x", 1)))
+    broken = updates(spark, ("a", "y", 2), ("b", "y", 2)).withColumn("score", F.when(F.col("unique_id") == "b", F.raise_error(F.lit("stop")).cast("int")).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="stop"):
+        table.update(None, broken)
+    assert state(table.read()) == {"a": ("x", 1), "b": ("x", 1)}
+
+
+def test_a_load_that_is_inserted_again_forgets_its_updates(spark, table):
+    table.insert("l1", rows(spark, "a", "b"))
+    table.update("l1", updates(spark, ("a", "x", 1)))
+    table.insert("l1", rows(spark, "a"))
+    assert state(table.read()) == {"a": (None, None)}
+    table.update("l1", updates(spark, ("a", "y", 2)))
+    assert state(table.read()) == {"a": ("y", 2)}
+
+
+def test_compacting_and_folding_change_no_row(spark, table):
+    table.compact()
+    table.insert("l1", rows(spark, "a", "b", "c"))
+    table.insert("l2", rows(spark, "d"))
+    for n in range(4):
+        table.update(None, updates(spark, ("a", f"x{n}", n), ("bcdd"[n], None if n == 2 else f"y{n}", n)))
+    table.insert("l2", rows(spark, "d"))
+    table.update("l2", updates(spark, ("d", "again", 9)))
+    wanted = {"a": ("x3", 3), "b": ("y0", 0), "c": ("y1", 1), "d": ("again", 9)}
+    assert state(table.read()) == wanted and len(table._versions()) == 5
+    table.compact()
+    assert state(table.read()) == wanted and len(table._versions()) == 1
+    table.fold("l1")
+    assert state(table.read()) == wanted
+    table.compact()
+    table.update("l1", updates(spark, ("b", "z", 7)))
+    assert state(table.read()) == wanted | {"b": ("z", 7)}
+
+
+def test_known_ids_are_found_without_contents(spark, table, monkeypatch):
+    """Of the stored rows the id column is read, through a filter that bloom filters answer, or joined if there are many."""
+    for n in range(3):
+        table.insert(f"l{n}", rows(spark, *[f"{n}-{i}" for i in range(50)]))
+    ids = spark.createDataFrame([("0-7",), ("2-3",), ("2-3",), ("x",)], "unique_id string")
+    for few in (results_table.FEW_IDS, 1):
+        monkeypatch.setattr(results_table, "FEW_IDS", few)
+        found = table.ids_elsewhere("l2", ids)
+        plan = found._jdf.queryExecution().toString()
+        assert [r.unique_id for r in found.collect()] == ["0-7"] and "ReadSchema: struct<unique_id:string>" in plan
+        assert ("PushedFilters: [In(unique_id" in plan) == (few > 1)
+
+
+def exchanged(frame):
+    """The columns that each shuffle of a plan moves."""
+    mode = frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = frame._jdf.queryExecution().explainString(mode)
+    return re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: (\[[^\n]*\])", text)
+
+
+def test_contents_are_in_no_exchange_of_the_batch(spark, table, monkeypatch, tmp_path):
+    """Refused files and the last of each name are found from names and ids: but for members of archives no step shuffles contents."""
+    plans = []
+    monkeypatch.setattr(batch, "spread_small", lambda df, key: df)
+    real = DataFrameWriter.parquet
+
+    def recorded(self, *arguments, **options):
+        plans.append(exchanged(self._df))
+        return real(self, *arguments, **options)
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    files = spark.range(60).select(F.lit(1).alias("request_id"), F.col("id").alias("source_seq"), F.concat(F.lit("n"), F.col("id") % 7, F.lit(".txt")).alias("name"),
+                                   F.concat(F.lit("text "), "id").cast("binary").alias("content"))
+    jobs = spark.createDataFrame([(1, "j")], "request_id int, jd_text string")
+    same = text_model(lambda prompt: "50")
+    answer = score_batch(materialize(files, "files"), jobs, Models(same, same, same), table, "l1")
+    plans.append(exchanged(answer))
+    assert answer.count() == 7 and table.read().count() == 60
+    assert exchanged(files.groupBy("content").count()) and sum(plans, []) and not any("content" in columns and "archive#" not in columns for columns in sum(plans, []))
