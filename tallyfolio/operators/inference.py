@@ -86,7 +86,7 @@ def call_model(calls: DataFrame, model: ModelFactory, policy: CallPolicy = CallP
     return narrow.mapInArrow(ask, STAGE_REPLIES)
 
 
-COMMITS, CALLS_A_COMMIT = 8, 10
+COMMITS, CALLS_A_COMMIT = 8, 200
 
 
 def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, policy: CallPolicy = CallPolicy(),
@@ -104,12 +104,15 @@ def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, p
         call_model(calls, model, policy).write.parquet(path)
         replies = spark.read.schema(STAGE_REPLIES).parquet(path)
         return replies.select("unique_id", chat_reply(F.col("body")).alias("reply"), "error")
-    asked = materialize(calls.select("unique_id", "call_key"), "asked")
-    left = asked
     if _exists(spark, table):
+        # Requests are written only of the calls that are left.
+        asked = materialize(calls.select("unique_id", "call_key"), "asked")
         done = spark.read.schema(STAGE_REPLIES).parquet(table).filter(F.col("body").isNotNull())
-        left = materialize(asked.join(done.select("call_key"), "call_key", "left_anti"), "left")
-    open_calls = materialize(lookup_join(calls, left.select("call_key").distinct(), ["call_key"], "left_semi"), "calls")
+        left = materialize(asked.join(done.select("call_key"), "call_key", "left_anti").select("call_key").distinct(), "left")
+        open_calls = materialize(lookup_join(calls, left, ["call_key"], "left_semi"), "calls")
+    else:
+        open_calls = materialize(calls, "calls")
+        asked = open_calls.select("unique_id", "call_key")
     commits = max(1, min(commits, open_calls.count() // CALLS_A_COMMIT))
     for number in range(commits):
         some = open_calls.filter(F.pmod(F.xxhash64("call_key"), F.lit(commits)) == number)

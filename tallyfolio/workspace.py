@@ -72,8 +72,9 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     The rows are counted first (from file footers where ``df`` is a written table); their bytes are added up
     only if there are few. Write an expensive ``df`` down before probing it.
     """
-    if df.count() > max_rows:
-        return False
+    rows = df.count()
+    if not 0 < rows <= max_rows:
+        return rows == 0
     width = F.octet_length(F.to_json(F.struct("*")))
     return (df.agg(F.sum(width).alias("b")).first().b or 0) <= max_bytes
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,53 @@ def test_too_large_and_vanished_files_have_a_status(spark, tmp_path, monkeypatch
     assert got == {"big.txt": (None, "too_large"), "small.txt": (b"y", None), "gone.txt": (None, "vanished")}
 
 
+def test_what_is_no_readable_file_costs_one_row_only(spark, tmp_path):
+    """A folder where a file should be, a pipe, links in a circle and to nowhere: a row with a status each."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "good.txt").write_bytes(b"good")
+    (tmp_path / "linked.txt").symlink_to(tmp_path / "a" / "good.txt")
+    (tmp_path / "a" / "up").symlink_to(tmp_path)
+    (tmp_path / "nowhere.txt").symlink_to(tmp_path / "none")
+    os.mkfifo(tmp_path / "pipe.txt")
+    listing = list_folders(spark, [str(tmp_path), str(tmp_path / "a" / "good.txt"), str(tmp_path / "none")])
+    got = sorted((r.path, r.content and bytes(r.content), r.status) for r in read_listed(listing).collect())
+    assert got == [("", None, "unreadable"), ("a/good.txt", b"good", None), ("a/up", None, "unreadable"), ("linked.txt", b"good", None),
+                   ("nowhere.txt", None, "unreadable"), ("pipe.txt", None, "unreadable")]
+    foreign = spark.createDataFrame([(str(tmp_path), path, path.split("/")[-1], 1, 1) for path in ("a", "a/good.txt", "pipe.txt", "a/gone.txt")],
+                                    "folder string, path string, name string, length long, source_seq long")
+    named = foreign.withColumn("name", F.concat("name", F.lit(".txt")))
+    assert {r.path: r.status for r in read_listed(named).collect()} == {"a": "unreadable", "a/good.txt": None, "pipe.txt": "unreadable", "a/gone.txt": "vanished"}
+
+
+def test_files_that_refuse_to_be_read_have_a_status(tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes(b"x")
+
+    class Refusing:
+        def get_file_info(self, path):
+            raise PermissionError(path)
+    monkeypatch.setattr(files, "file_system", lambda folder: (Refusing(), str(tmp_path)))
+    Refusing.open_input_file = Refusing.get_file_info
+    assert files._content("any", "a.txt") == (None, "unreadable")
+    refused = pd.concat(files._one_level(iter([pd.DataFrame({"folder": ["any"], "path": ["b/c"]})])))
+    assert [(r.path, r.status) for r in refused.itertuples()] == [("b/c", "unreadable")]
+
+
+def test_a_large_folder_is_listed_in_chunks(tmp_path, monkeypatch):
+    """Entries leave as they are found: no list of the whole folder is made."""
+    for n in range(250):
+        (tmp_path / f"{n}.txt").write_bytes(b"")
+    monkeypatch.setattr(files, "_ROWS", 40)
+    taken, real = [], files._local_entries
+
+    def counted(path):
+        for entry in real(path):
+            taken.append(entry)
+            yield entry
+    monkeypatch.setattr(files, "_local_entries", counted)
+    chunks = files._one_level(iter([pd.DataFrame({"folder": [str(tmp_path)], "path": [""]})]))
+    assert len(next(chunks)) == 40 == len(taken) and sum(map(len, chunks)) == 210
+
+
 def test_a_listing_can_carry_the_media_type(spark, tmp_path):
     (tmp_path / "noext").write_bytes(zip_bytes([("a.txt", b"in")]))
     listing = list_folders(spark, [str(tmp_path)]).withColumn("media_type", F.lit("application/zip"))

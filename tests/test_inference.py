@@ -121,6 +121,7 @@ def test_a_run_that_dies_keeps_its_finished_ranges(spark, tmp_path, monkeypatch)
             raise RuntimeError("lost")
         return real(*arguments)
     monkeypatch.setattr(inference, "call_model", dying)
+    monkeypatch.setattr(inference, "CALLS_A_COMMIT", 10)
     with pytest.raises(RuntimeError, match="lost"):
         run_stage(requests(rows(spark, 80), F.col("p")), counting_model(calls), stage)
     asked = len(os.listdir(calls))
