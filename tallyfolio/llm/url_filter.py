@@ -95,11 +95,12 @@ def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (``host`` + ``path`` of the rule, else null) and verdict (the rule's, else ``default``).
 
-    ``rules`` are (host, path, verdict); rows with a null are ignored, of repeated rules any is taken. Rules that a count shows
+    ``rules`` are (host, path, verdict); rows with a null are ignored. Of rules of one host and path
+    the last verdict by name holds, so that block goes before allow. Rules that a count shows
     to be few and small are broadcast as a trie; more of them are joined by host suffix and folder, with equal results.
     Null urls and urls without ``://`` have an empty host and path. Other columns of ``pages`` are not carried.
     """
-    rules = rules.dropna(subset=["host", "path", "verdict"]).select("host", "path", "verdict")
+    rules = rules.dropna(subset=["host", "path", "verdict"]).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     size = rules.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0)).alias("b")).first()
     narrow = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if size.n <= BROADCAST_RULES and size.b <= BROADCAST_BYTES:

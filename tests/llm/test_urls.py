@@ -51,3 +51,14 @@ def test_no_pages_and_no_rules(spark):
     rules = spark.createDataFrame([], url_filter.RULES)
     assert [tuple(r) for r in url_filter.judge_urls(pages, rules).collect()] == [(1, "a.net", "/", None, "allow")] * 2
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_block_goes_before_allow_of_the_same_rule(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    pages = spark.createDataFrame([(1, "x://a.net/b/c"), (2, "x://c.net/")], "page_id bigint, url string")
+    both = [("a.net", "/b/", "allow"), ("a.net", "/b/", "block"), ("c.net", "/", "block"), ("c.net", "/", "allow")]
+    for rules in (both, both[::-1]):
+        judged = url_filter.judge_urls(pages, spark.createDataFrame(rules, url_filter.RULES)).collect()
+        assert {(r.page_id, r.rule, r.verdict) for r in judged} == {(1, "a.net/b/", "block"), (2, "c.net/", "block")}
