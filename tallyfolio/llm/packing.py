@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 END = 1
 # White space of Unicode, as the pattern's \s. The pattern's regex engine stops at runs of about a million.
-LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+# Only where a run begins is it measured, so shorter runs cost their length once.
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = re.compile(f"(?<!{BLANK}){BLANK}{{10000,}}")
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +66,13 @@ def test_long_runs_of_white_space_are_encoded_as_by_the_library(spark, library):
     check_pieces(packed(df).collect(), {i: library(t) for i, t in texts.items()}, lambda r: zlib.crc32(r.ids))
 
 
+def test_many_runs_just_below_the_long_ones_cost_their_length_once():
+    text = ("x" + " " * 9_999) * 1000
+    began = time.monotonic()
+    assert packing.LONG_RUN.search(text) is None
+    assert time.monotonic() - began < 5
+
+
 def test_packing_query(spark, sf_dir, library):
     check_pieces(op6(spark, sf_dir).collect(), {i: library(t) for i, t in documents(spark, sf_dir).items()}, lambda r: r.ids_crc32)
 
