@@ -1,8 +1,12 @@
-"""Bounded samples of labelled documents, and the curve that turns a margin into a score."""
+"""Bounded samples of labelled documents, learning from them in a task, and the curve that turns a margin into a score."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,20 @@ def held_out(id_col: str, divisor: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % divisor == remainder, F.lit(False))
 
 
+def learned_in_a_task(rows: DataFrame, learn: Callable[[list[pa.RecordBatch]], object]) -> dict | None:
+    """The fields of what ``learn`` makes of all ``rows``, in one task; None of no rows.
+
+    For bounded samples, so that the driver need not hold what learning takes.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(vars(learn(held)))], pa.binary())})
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else None
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, most: int,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, label, part) of at most ``most`` documents of each label 0 and 1, whole texts; part is 0 to 3.
@@ -30,9 +48,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int
     return texts.join(F.broadcast(narrow), F.col("_doc") == F.col("_id")).select("text", "label", "part")     # at most 2 * most narrow rows
 
 
-def share_of(labels: DataFrame, label: str) -> float:
-    """Share of label 1 among the labels 0 and 1."""
-    return float(labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()[0] or 0.5)
+def share_of(labels: DataFrame, label: str, divisor: int, remainder: int, id_col: str = "doc_id") -> float:
+    """Share of label 1 among the labels 0 and 1 that may be learned from."""
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_col, divisor, remainder))
+    return float(usable.agg(F.avg(label)).first()[0] or 0.5)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ones: float, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.llm.labelled import SCORE, held_out, labelled_sample, logistic, scored, share_of
+from tallyfolio.llm.labelled import SCORE, held_out, labelled_sample, learned_in_a_task, logistic, scored, share_of
 from tallyfolio.llm.words import mix, places, small_batches, utf8, with_column
 
 BITS = 18
@@ -113,12 +113,12 @@ def train(rows: list[np.ndarray], labels: np.ndarray, part: np.ndarray, ones: fl
     use = part != 3
     if len(set(labels[use].tolist())) < 2:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32), 0.0, np.zeros(2))
+    chosen = np.flatnonzero(use)
     counts = np.full((2, DIMENSIONS), smoothing)
-    for row, label in zip(rows, labels):
-        counts[label, row] += 1
+    for i in chosen:
+        counts[labels[i], rows[i]] += 1
     counts /= counts.sum(axis=1, keepdims=True)
     ratio = np.log(counts[1] / counts[0])
-    chosen = np.flatnonzero(use)
     values = [(ratio[rows[i]] / max(1e-9, np.sqrt((ratio[rows[i]] ** 2).sum()))).astype(np.float32) for i in chosen]
     balance = {k: len(chosen) / (2 * (labels[chosen] == k).sum()) for k in (0, 1)}
     w = descend([rows[i] for i in chosen], values, np.where(labels[chosen] == 1, 1.0, -1.0), np.array([cost * balance[k] for k in labels[chosen]]))
@@ -131,7 +131,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, part: np.ndarray, ones: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, most: int = SAMPLE) -> Model:
-    """Learn from at most ``most`` labelled documents of each label; only their indicators reach the driver."""
+    """Learn from at most ``most`` labelled documents of each label, in one task; the driver holds the model only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             row, code = indicators(batch["text"])
@@ -139,11 +139,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder:
             held = [x.astype(np.int32).tobytes() for x in np.split(code, ends[:-1])]
             yield pa.RecordBatch.from_pydict({"label": batch["label"], "part": batch["part"], "held": pa.array(held, pa.binary())})
 
-    sample = labelled_sample(docs, labels, label, divisor, remainder, most).mapInArrow(run, "label int, part int, held binary").collect()
-    sample.sort(key=lambda r: bytes(r.held))
-    rows, known, part = ([f(r) for r in sample] for f in (lambda r: np.frombuffer(bytes(r.held), np.int32), lambda r: r.label, lambda r: r.part))
-    sample.clear()
-    return train(rows, np.array(known, np.int64), np.array(part, np.int64), share_of(labels, label))
+    ones = share_of(labels, label, divisor, remainder)
+
+    def learn(batches: list[pa.RecordBatch]) -> Model:
+        table = pa.Table.from_batches(batches)
+        sample = sorted(zip(table["held"].to_pylist(), table["label"].to_pylist(), table["part"].to_pylist()))
+        rows = [np.frombuffer(held, np.int32) for held, _, _ in sample]
+        return train(rows, np.array([x for _, x, _ in sample], np.int64), np.array([x for _, _, x in sample], np.int64), ones)
+
+    sample = labelled_sample(docs, labels, label, divisor, remainder, most).mapInArrow(run, "label int, part int, held binary")
+    none = np.zeros(0, np.int64)
+    found = learned_in_a_task(sample, learn)
+    return Model(**found) if found else train([], none, none)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 5, remainder: int = 0,

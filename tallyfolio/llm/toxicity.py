@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.llm.labelled import SCORE, labelled_sample, logistic, scored, share_of
+from tallyfolio.llm.labelled import SCORE, labelled_sample, learned_in_a_task, logistic, scored, share_of
 from tallyfolio.llm.quality import judged
 from tallyfolio.llm.words import LOWER, places, runs, small_batches, utf8
 
@@ -149,9 +149,9 @@ def train_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, counts: n
 def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, most: int = SAMPLE) -> Model:
     """Learn from at most ``most`` documents of each label: three of four parts for the counts, the last for the curve.
 
-    Where the last part, or the others together, lack a label, all parts serve for it. Without evidence for both labels the model has no grams, and
-    its curve says not toxic if there are ordinary documents, else a half.
-    The words of the sample and their counts reach the driver, which is bounded with the sample.
+    Where the last part, or the others together, lack a label, all parts serve for it. Without evidence for both labels the
+    model has no grams, and its curve says not toxic if there are ordinary documents, else a half. The counted words of the
+    sample are learned from in one task; the driver holds the model only.
     """
     sample = labelled_sample(docs, labels, label, divisor, remainder, most)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,9 +159,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder:
     parts = sample.groupBy("label").agg(F.count_if(F.col("part") < 3).alias("first"), F.count_if(F.col("part") == 3).alias("last")).collect()
     first = sample.where("part < 3") if all(r["first"] for r in parts) else sample
     counted = (first.select(word, "label").where("word <> ''").groupBy("word")
-               .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).orderBy("word").toArrow())
-    data, offsets = utf8(counted["word"])
-    model = train_words(data, offsets[:-1], np.diff(offsets), np.array([counted["n0"], counted["n1"]], float))
+               .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")))
+
+    def learn(batches: list[pa.RecordBatch]) -> Model:
+        words = pa.Table.from_batches(batches).sort_by("word").combine_chunks()
+        data, offsets = utf8(words["word"])
+        return train_words(data, offsets[:-1], np.diff(offsets), np.array([words["n0"], words["n1"]], float))
+
+    none = np.zeros(0, np.int64)
+    found = learned_in_a_task(counted, learn)
+    model = Model(**found) if found else train_words(np.zeros(0, np.uint8), none, none, np.zeros((2, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -174,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder:
         return model
     rest = part.mapInArrow(run, "label int, a double, b double").toPandas().sort_values(["label", "a", "b"])
     if rest["label"].nunique() == 2:
-        model.curve = logistic(rest[["a", "b"]].to_numpy(), rest["label"].to_numpy(), share_of(labels, label))
+        model.curve = logistic(rest[["a", "b"]].to_numpy(), rest["label"].to_numpy(), share_of(labels, label, divisor, remainder))
     return model
 
 

@@ -95,8 +95,19 @@ def test_held_out_labels_change_nothing(spark):
     docs, labels = tables(spark, rows)
     _, other = tables(spark, turned)
     for scores in (quality.quality_scores, toxicity.toxicity_scores):
-        one, two = ({r.doc_id: r.predicted for r in scores(docs, x).collect()} for x in (labels, other))
-        assert sum(one[i] != two[i] for i in one) <= 3        # the share of the labels moves the curve a little
+        one, two = ({r.doc_id: r.score for r in scores(docs, x).collect()} for x in (labels, other))
+        assert one == two and len(set(one.values())) > 10
+
+
+def test_the_curve_sees_no_counted_row():
+    """Part 3 is in no count: its labels move the curve, and neither ratios nor weights."""
+    chance = np.random.default_rng(3)
+    labels = np.arange(80) % 2
+    rows = [np.unique(chance.integers(0, 40, 12)) + 20 * label for label in labels]
+    part = np.arange(80) // 2 % 4
+    one = quality.train(rows, labels, part)
+    two = quality.train(rows, np.where(part == 3, 1 - labels, labels), part)
+    assert (one.ratio == two.ratio).all() and (one.weight == two.weight).all() and (one.curve != two.curve).any()
 
 
 def test_indicators_do_not_depend_on_the_batch():
