@@ -1,4 +1,4 @@
-"""Expansion of ZIP archives into file rows."""
+"""Expansion of ZIP archives into file rows, from contents or, for archives of any size, from their place in a store."""
 
 from __future__ import annotations
 
@@ -8,24 +8,32 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyfolio.sources.files import MAX_LENGTH, file_system
+from tallyfolio.workspace import materialize
 
-MAX_VALUE = 2**31 - 1
 _CHUNK = 32 << 20
+RANGE = 128 << 20       # bytes of an archive whose members one task reads
+MEMBERS = 50_000        # or so many members
+
+
+def _member(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    """``(content, error)`` of one member."""
+    if info.file_size > MAX_LENGTH:
+        return None, "member is larger than a binary value can be"
+    try:
+        return archive.read(info), None
+    except Exception as failure:
+        return None, f"{type(failure).__name__}: {failure}"
 
 
 def _members(data: bytes) -> Iterator[tuple[int, str, bytes | None, str | None]]:
     """``(member, name, content, error)`` in archive order; folder entries are no files."""
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         for number, info in enumerate(archive.infolist()):
-            if info.is_dir():
-                continue
-            if info.file_size > MAX_VALUE:
-                yield number, info.filename, None, "member is larger than a binary value can be"
-                continue
-            try:
-                yield number, info.filename, archive.read(info), None
-            except Exception as failure:
-                yield number, info.filename, None, f"{type(failure).__name__}: {failure}"
+            if not info.is_dir():
+                yield number, info.filename, *_member(archive, info)
 
 
 def expand_archives(archives: DataFrame, keep: list[str], spread: bool = True) -> DataFrame:
@@ -60,3 +68,104 @@ def expand_archives(archives: DataFrame, keep: list[str], spread: bool = True) -
 
     members = source.mapInPandas(expand, schema)
     return members.repartition(*keep, "archive", "member") if spread else members
+
+
+class _Place(io.RawIOBase):
+    """A file of a store as Python's readers expect one: a position before its start is an OSError."""
+
+    def __init__(self, file) -> None:
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        place = offset + (0, self.file.tell(), self.file.size())[whence]
+        if place < 0:
+            raise OSError("position before the start of the file")
+        return self.file.seek(place)
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read(len(buffer))
+        buffer[:len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def _open(folder: str, path: str) -> io.BufferedReader:
+    """An archive where it lies; only what is asked for is read."""
+    system, base = file_system(folder)
+    return io.BufferedReader(_Place(system.open_input_file(f"{base}/{path}")), 1 << 18)
+
+
+def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranges of members of each archive, from its directory at the end of the file; a bad archive is one row with an error."""
+    columns = ["folder", "path", "first", "last", "error"]
+    for batch in batches:
+        rows = []
+        for folder, path in zip(batch["folder"], batch["path"]):
+            try:
+                with _open(folder, path) as file, zipfile.ZipFile(file) as archive:
+                    first, held = 0, 0
+                    members = archive.infolist()
+                    for number, info in enumerate(members):
+                        held += info.compress_size
+                        if held >= RANGE or number - first + 1 >= MEMBERS or number + 1 == len(members):
+                            rows.append((folder, path, first, number, None))
+                            first, held = number + 1, 0
+            except Exception as failure:
+                rows.append((folder, path, None, None, f"{type(failure).__name__}: {failure}"))
+        yield pd.DataFrame(rows, columns=columns).astype({"first": "Int64", "last": "Int64"})
+
+
+def expand_listed(listing: DataFrame, keep: list[str]) -> DataFrame:
+    """As ``expand_archives`` for the archives of a listing, whatever their size; ``keep`` are columns of the listing.
+
+    A task opens each archive and reads its directory only; the ranges of members that it says are written down and dealt out to
+    tasks, which read just the bytes of their members. An archive of some hundred gigabytes is expanded by as many tasks as
+    it has ranges, and a range that is lost is read again alone.
+    """
+    named = listing.select(*dict.fromkeys(["folder", "path", "name", *keep]))
+    tasks = max(1, min(named.count(), 4 * named.sparkSession.sparkContext.defaultParallelism))
+    found = materialize(named.select("folder", "path").repartition(tasks, "folder", "path")
+                        .mapInPandas(_directory, "folder string, path string, first long, last long, error string"), "archives")
+    ranges = found.join(named, ["folder", "path"])
+    kept = ", ".join(f"`{c}` {listing.schema[c].dataType.simpleString()}" for c in keep)
+    columns = [*keep, "archive", "member", "name", "content", "error"]
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.itertuples(index=False):
+                head = [getattr(row, c) for c in keep]
+                if row.error is not None:
+                    rows.append([*head, row.name, None, None, None, row.error])
+                    continue
+                try:
+                    with _open(row.folder, row.path) as file, zipfile.ZipFile(file) as archive:
+                        for number, info in enumerate(archive.infolist()[int(row.first):int(row.last) + 1], int(row.first)):
+                            if info.is_dir():
+                                continue
+                            content, error = _member(archive, info)
+                            rows.append([*head, row.name, number, info.filename, content, error])
+                            held += len(content or b"")
+                            if held >= _CHUNK:
+                                yield pd.DataFrame(rows, columns=columns).astype({"member": "Int32"})
+                                rows, held = [], 0
+                except OSError as failure:          # the archive has gone or changed since it was listed
+                    rows.append([*head, row.name, None, None, None, f"{type(failure).__name__}: {failure}"])
+            if rows:
+                yield pd.DataFrame(rows, columns=columns).astype({"member": "Int32"})
+
+    count = max(1, min(ranges.count(), 64 * named.sparkSession.sparkContext.defaultParallelism))
+    dealt = ranges.repartition(count, "folder", "path", F.coalesce("first", F.lit(-1)))
+    return dealt.mapInPandas(expand, f"{kept}, archive string, member int, name string, content binary, error string")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tallyfolio.functions.naming import (ARCHIVE_FORMAT, FORMATS, UNSUPPORTED, make_id, route_format,
                                          route_format_archive, stored_key)
 from tallyfolio.functions.text import clean_text
-from tallyfolio.sources.archives import expand_archives
+from tallyfolio.sources.archives import expand_archives, expand_listed
 from tallyfolio.sources.decoders import Decoder, decode_text, decode_with, default_decoders
+from tallyfolio.sources.files import read_listed
 
 OK = "ok"
 UNREADABLE = "unreadable"
@@ -25,9 +26,14 @@ def identify_files(files: DataFrame) -> DataFrame:
     """Loose files and archive members in one frame, each with route, id and stored key.
 
     Needs ``(request_id, source_seq, name, content)``; ``status``, ``media_type``, ``is_archive`` and ``path`` are used
-    if they are there. The path is part of the id: files of one name and time in two folders are two files.
+    if they are there. The path is part of the id: files of one name and time in two folders are two files. Rows with an
+    ``archive`` (and ``member``, ``error``) are members that have been taken out of it already.
     """
     with_path = "path" in files.columns
+    taken_out = None
+    if "archive" in files.columns:
+        taken_out = files.filter("archive IS NOT NULL")
+        files = files.filter("archive IS NULL").drop("archive", "member", "error")
     if "status" not in files.columns:
         files = files.withColumn("status", F.lit(None).cast("string"))
     media_type = F.col("media_type") if "media_type" in files.columns else None
@@ -41,6 +47,8 @@ def identify_files(files: DataFrame) -> DataFrame:
         "name", "content", none.cast("string").alias("error"), "route", "status", *place)
     archives = routed.filter("is_archive")
     opened = expand_archives(archives.filter(F.col("status").isNull()), ["request_id", "source_seq", *place])
+    if taken_out is not None:
+        opened = opened.unionByName(taken_out.select(*opened.columns))
     # An archive that could not be opened has no member name; it is reported under its own.
     members = opened.select(
         "request_id", "source_seq", "archive", "member", F.coalesce("name", "archive").alias("name"), "content",
@@ -55,6 +63,16 @@ def identify_files(files: DataFrame) -> DataFrame:
             .withColumn("file_path", stored_key(F.col("unique_id"), F.col("name"))).drop(*place))
 
 
+def read_uploads(listing: DataFrame) -> DataFrame:
+    """Files of a listing (see ``read_listed``) with a ``request_id``, archives of any size already expanded."""
+    media_type = F.col("media_type") if "media_type" in listing.columns else None
+    usable = F.col("status").isNull() if "status" in listing.columns else F.lit(True)
+    is_archive = usable & (route_format(F.col("name"), media_type) == ARCHIVE_FORMAT)
+    members = expand_listed(listing.filter(is_archive), ["request_id", "source_seq", "path"])
+    loose = read_listed(listing.filter(~is_archive))
+    return loose.unionByName(members.withColumn("is_archive", F.lit(False)), allowMissingColumns=True)
+
+
 def storable(identified: DataFrame) -> DataFrame:
     """``(file_path, content)`` of the files that belong in the raw-file table: all of a supported format."""
     kept = F.col("status").isNull() & F.col("content").isNotNull() & F.col("route").isin(FORMATS)

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyfolio.plans.batch import Models, score_batch
 from tallyfolio.sources.decoders import Decoder
-from tallyfolio.sources.files import LISTING, list_folders, read_listed
+from tallyfolio.sources.files import LISTING, list_folders
+from tallyfolio.sources.intake import read_uploads
 from tallyfolio.sources.results_table import ResultsTable
 from tallyfolio.streaming.latest import LatestNames
 from tallyfolio.streaming.ledger import FOLD_AFTER, Ledger
@@ -47,9 +48,9 @@ class Arrivals:
 
 
 def uploads(listing: DataFrame) -> DataFrame:
-    """Files with contents of a listing of ``folder/<request_id>/...``; a file outside of such a folder has the request ``""``."""
+    """Files of a listing of ``folder/<request_id>/...`` with contents, archives expanded; a file outside of such a folder has the request ``""``."""
     request = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise(F.lit(""))
-    return read_listed(listing.withColumn("request_id", request))
+    return read_uploads(listing.withColumn("request_id", request))
 
 
 def each_arrival(arrivals: Arrivals, handle: Callable[[DataFrame, int], None], checkpoint: str,

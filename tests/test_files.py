@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import zipfile
 
 import pandas as pd
 import pytest
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from tallyfolio.plans.samples import docx_bytes, zip_bytes
 from tallyfolio.sources.archives import expand_archives
 from tallyfolio.sources.decoders import decode_docx, decode_text
-from tallyfolio.sources import files
+from tallyfolio.sources import archives, files
 from tallyfolio.sources.files import list_folders, read_folder, read_listed
-from tallyfolio.sources.intake import read_documents
+from tallyfolio.sources.intake import read_documents, read_uploads
 
 LONG_NAME = "l" * 97 + ".txt"
 DOCX = docx_bytes("First <b>line</b> & more\nSecond line")
@@ -148,6 +149,52 @@ def test_many_archives_of_one_name_are_dealt_out(spark):
     assert len(counts) == 8 and max(counts) < 1000
 
 
+def test_listed_archives_equal_those_read_whole(spark, folder):
+    listing = list_folders(spark, [folder]).withColumn("request_id", F.lit(1))
+    key = lambda r: (r.archive, r.member, r.name, r.unique_id, r.status, r.content, r.error)
+    whole = sorted((key(r) for r in read_documents(read_listed(listing)).collect()), key=str)
+    assert sorted((key(r) for r in read_documents(read_uploads(listing)).collect()), key=str) == whole
+
+
+def test_an_archive_above_the_size_of_a_value_is_expanded_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A sparse archive of more than two gigabytes: a hole, then members, of which each range is a row for a task."""
+    with open(tmp_path / "big.zip", "wb") as file:
+        file.seek((2 << 30) + 12345)
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+            for n in range(60):
+                archive.writestr(f"{n}.txt", f"text {n}")
+            archive.writestr("sub/", b"")
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    (tmp_path / "empty.zip").write_bytes(zip_bytes([]))
+    listing = list_folders(spark, [str(tmp_path)]).withColumn("request_id", F.lit(1))
+    assert {r.name: r.status for r in read_listed(listing).collect()}["big.zip"] == "too_large"
+    assert len(pd.concat(archives._directory(iter([pd.DataFrame({"folder": [str(tmp_path)], "path": ["big.zip"]})])))) == 1
+    ranges = pd.DataFrame([(str(tmp_path), "big.zip", a, min(a + 6, 60), None) for a in range(0, 61, 7)], columns=["folder", "path", "first", "last", "error"])
+    monkeypatch.setattr(archives, "_directory", lambda batches: (
+        ranges if path == "big.zip" else pd.DataFrame([(folder, path, None, None, "BadZipFile")] if path == "broken.zip" else [], columns=ranges.columns)
+        for batch in batches for folder, path in zip(batch["folder"], batch["path"])))
+    members = archives.expand_listed(listing, ["request_id", "path"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = members.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r.member, r.name, bytes(r.content)) for r in rows if r.archive == "big.zip") == [(n, f"{n}.txt", f"text {n}".encode()) for n in range(60)]
+    assert len({r.task for r in rows if r.archive == "big.zip"}) > 3
+    assert [(r.archive, r.member, r.error) for r in rows if r.archive != "big.zip"] == [("broken.zip", None, "BadZipFile")]
+
+
+def test_ranges_follow_bytes_and_members(tmp_path, monkeypatch):
+    data = os.urandom(1000)
+    (tmp_path / "a.zip").write_bytes(zip_bytes([(f"{n}.txt", data) for n in range(10)]))
+    frame = pd.DataFrame({"folder": [str(tmp_path)], "path": ["a.zip"]})
+    for name, value, wanted in (("RANGE", 2500, [(0, 2), (3, 5), (6, 8), (9, 9)]), ("MEMBERS", 4, [(0, 3), (4, 7), (8, 9)])):
+        with monkeypatch.context() as patch:
+            patch.setattr(archives, name, value)
+            found = pd.concat(archives._directory(iter([frame])))
+            assert list(zip(found["first"], found["last"])) == wanted
+
+
 def test_media_type_makes_an_archive(spark):
     rows = spark.createDataFrame([(1, 1, "noext", zip_bytes([("a.txt", b"in")]), "application/zip")],
                                  "request_id int, source_seq long, name string, content binary, media_type string")
