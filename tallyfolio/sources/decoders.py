@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Decoder = Callable[[bytes], str]
+from tallyfolio.sources.decode_helper import DecodeLimits, Decoder, Helper
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -57,26 +57,23 @@ def decode_text(content: Column) -> Column:
     return F.try_validate_utf8(content.cast("string"))
 
 
-def decode_with(route: Column, content: Column, decoders: Mapping[str, Decoder]) -> Column:
+def decode_with(route: Column, content: Column, decoders: Mapping[str, Decoder], limits: DecodeLimits = DecodeLimits()) -> Column:
     """``struct<text, error>`` by the decoder of the route; NULL fields for routes without one.
 
-    Contents of other routes are replaced by NULL before they would cross to Python.
+    Contents of other routes are replaced by NULL before they would cross to Python. Decoders run in a helper process of
+    their task: a file that is beyond the limits or ends the process has an error, and the others go on.
     """
     table = dict(decoders)
 
     def decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for routes, contents in batches:
-            texts, errors = [], []
-            for name, data in zip(routes, contents):
-                text = error = None
-                if data is not None:
-                    try:
-                        text = table[name](data)
-                    except Exception as failure:
-                        error = f"{type(failure).__name__}: {failure}"
-                texts.append(text)
-                errors.append(error)
-            yield pd.DataFrame({"text": pd.Series(texts, dtype=object), "error": pd.Series(errors, dtype=object)})
+        helper = Helper(table, limits)
+        try:
+            for routes, contents in batches:
+                answers = [(None, None) if data is None else helper.decode(name, data) for name, data in zip(routes, contents)]
+                yield pd.DataFrame({"text": pd.Series([text for text, _ in answers], dtype=object),
+                                    "error": pd.Series([error for _, error in answers], dtype=object)})
+        finally:
+            helper.close()
 
     if not table:
         return F.lit(None).cast("struct<text:string,error:string>")

@@ -11,6 +11,7 @@ from tallyfolio.functions.naming import (ARCHIVE_FORMAT, FORMATS, UNSUPPORTED, m
                                          route_format_archive, stored_key)
 from tallyfolio.functions.text import clean_text
 from tallyfolio.sources.archives import expand_archives, expand_listed
+from tallyfolio.sources.decode_helper import DecodeLimits
 from tallyfolio.sources.decoders import Decoder, decode_text, decode_with, default_decoders
 from tallyfolio.sources.files import read_listed
 
@@ -79,13 +80,14 @@ def storable(identified: DataFrame) -> DataFrame:
     return identified.filter(kept).select("file_path", "content")
 
 
-def decode_files(identified: DataFrame, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
+def decode_files(identified: DataFrame, decoders: Mapping[str, Decoder] | None = None, limits: DecodeLimits = DecodeLimits()) -> DataFrame:
     """Every file with its cleaned ``content`` and a ``status``; no file is lost.
 
-    A file that cannot be read has NULL content and an error: the error text is not taken for the content.
+    A file that cannot be read, or not within the limits, has NULL content and an error: the error text is not taken for
+    the content.
     """
     table = default_decoders() if decoders is None else dict(decoders)
-    decoded = identified.withColumn("decoded", decode_with(F.col("route"), F.col("content"), table))
+    decoded = identified.withColumn("decoded", decode_with(F.col("route"), F.col("content"), table, limits))
     is_text = F.col("route") == "txt"
     text = F.when(is_text, decode_text(F.col("content"))).otherwise(F.col("decoded.text"))
     error = F.coalesce(F.col("error"), F.col("decoded.error"),
@@ -99,6 +101,6 @@ def decode_files(identified: DataFrame, decoders: Mapping[str, Decoder] | None =
                           clean_text(text).alias("content"), status.alias("status"), error.alias("error"))
 
 
-def read_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
+def read_documents(files: DataFrame, decoders: Mapping[str, Decoder] | None = None, limits: DecodeLimits = DecodeLimits()) -> DataFrame:
     """Identify and decode."""
-    return decode_files(identify_files(files), decoders)
+    return decode_files(identify_files(files), decoders, limits)

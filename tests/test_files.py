@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import time
 import zipfile
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfolio.plans.samples import docx_bytes, zip_bytes
 from tallyfolio.sources.archives import expand_archives
+from tallyfolio.sources.decode_helper import DecodeLimits, Helper
 from tallyfolio.sources.decoders import decode_docx, decode_text
 from tallyfolio.sources import archives, files
 from tallyfolio.sources.files import list_folders, read_folder, read_listed
@@ -240,6 +242,40 @@ def test_user_decoder(spark):
     assert none == {"f.pdf": "no_decoder", "g.doc": "no_decoder", "t.txt": "ok"}
 
 
+def test_a_decoder_that_hangs_dies_or_swells_costs_its_own_row(spark):
+    def odd(data):
+        if data == b"hang":
+            time.sleep(3600)
+        if data == b"exit":
+            os._exit(7)
+        if data == b"kill":
+            os.kill(os.getpid(), 9)
+        if data == b"swell":
+            return "x" * (3 << 30)
+        return 5 if data == b"number" else data.decode()
+    contents = [b"a", b"hang", b"b", b"exit", b"c", b"kill", b"d", b"swell", b"e", b"\xff", b"f"]
+    rows = spark.createDataFrame([(1, n, f"{n}.pdf", c) for n, c in enumerate(contents)], "request_id int, source_seq long, name string, content binary").coalesce(1)
+    began = time.monotonic()
+    got = {r.name[:-4]: r for r in read_documents(rows, {"pdf": odd}, DecodeLimits(seconds=1, memory=1 << 30)).collect()}
+    assert time.monotonic() - began < 60
+    errors = {contents[int(n)]: r.error.split(":")[0] for n, r in got.items() if r.status == "unreadable"}
+    assert errors == {b"hang": "TimeoutError", b"exit": "ChildProcessError", b"kill": "ChildProcessError", b"swell": "MemoryError", b"\xff": "UnicodeDecodeError"}
+    assert "".join(r.content for _, r in sorted(got.items(), key=lambda x: int(x[0])) if r.status == "ok") == "abcdef"
+
+
+def test_helpers_end_with_their_task():
+    helper = Helper({"t": lambda data: data.decode()}, DecodeLimits())
+    assert helper.decode("t", b"x") == ("x", None)
+    first = helper.process
+    helper.process.kill()
+    assert helper.decode("t", b"y")[1].startswith("ChildProcessError") and helper.decode("t", b"z") == ("z", None)
+    assert not first.is_alive()
+    second = helper.process
+    helper.pipe.close()             # as when the task is lost
+    second.join(10)
+    assert second.exitcode == 0
+
+
 def test_table_text_and_breaks_in_docx():
     assert decode_docx(DOCX) == "First <b>line</b> & more\nSecond line"
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
