@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfolio.workspace import is_written, names_in, remove
+from tallyfolio.workspace import is_written, remove, written_in
 
 FOLD_AFTER = 100
 
@@ -26,8 +26,7 @@ class Ledger:
 
     def _numbers(self, kind: str) -> list[int]:
         """Numbers of the finished parts of a kind, ascending."""
-        found = [int(name) for name in names_in(self.spark, f"{self.path}/{kind}")]
-        return sorted(n for n in found if is_written(self.spark, f"{self.path}/{kind}/{n}"))
+        return sorted(int(name) for name in written_in(self.spark, f"{self.path}/{kind}"))
 
     def before(self, number: int) -> DataFrame:
         """All rows that the micro-batches before this one wrote."""

@@ -43,14 +43,16 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
-def names_in(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none if there is no folder."""
-    system, place = _hadoop(spark, path)
-    return [found.getPath().getName() for found in system.listStatus(place)] if system.exists(place) else []
+def written_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder whose write has been finished."""
+    system, place = _hadoop(spark, f"{path}/*/_SUCCESS")
+    return sorted(found.getPath().getParent().getName() for found in system.globStatus(place) or [])
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written folder; first its mark, so that nobody takes the rest for whole."""
     system, place = _hadoop(spark, path)
+    system.delete(_hadoop(spark, f"{path}/_SUCCESS")[1], False)
     system.delete(place, True)
 
 

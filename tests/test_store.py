@@ -16,7 +16,8 @@ from tallyfolio.operators.inference import text_model
 from tallyfolio.plans import batch
 from tallyfolio.plans.batch import Models, score_batch
 from tallyfolio.schemas import RESULTS
-from tallyfolio.sources.raw_files import get_data_url, get_raw, get_raw_many, put_raw
+from tallyfolio.sources import raw_files
+from tallyfolio.sources.raw_files import compact_raw, get_data_url, get_raw, get_raw_many, put_raw
 from tallyfolio.sources import results_table
 from tallyfolio.sources.results_table import ResultsTable, append_jdbc
 from tallyfolio.workspace import materialize
@@ -281,3 +282,42 @@ def test_contents_are_in_no_exchange_of_the_batch(spark, table, monkeypatch, tmp
     plans.append(exchanged(answer))
     assert answer.count() == 7 and table.read().count() == 60
     assert exchanged(files.groupBy("content").count()) and sum(plans, []) and not any("content" in columns and "archive#" not in columns for columns in sum(plans, []))
+
+
+def test_compacted_raw_files_are_found_in_few_folders(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "raw")
+    kept = {}
+
+    def put(load, *names):
+        rows = [(f"{shard}_{name}", f"{load} {name}".encode()) for shard in "0a" for name in names]
+        for key in [k for k, (owner, _) in kept.items() if owner == load]:
+            del kept[key]
+        kept.update({key: (load, content) for key, content in rows})
+        put_raw(spark.createDataFrame(rows, "file_path string, content binary"), path, load, digits=1)
+
+    def whole():
+        keys = spark.createDataFrame([(k,) for k in [*kept, "0_gone", "a_other"]], "file_path string")
+        got = [(r.file_path, bytes(r.content)) for r in get_raw_many(spark, path, keys, digits=1).collect()]
+        assert sorted(got) == sorted((key, content) for key, (_, content) in kept.items())
+        some = sorted(kept)[0]
+        one = get_raw(spark, path, some, 1)
+        assert [bytes(r.content) for r in one.collect()] == [kept[some][1]] and get_raw(spark, path, "0_gone", 1).count() == 0
+        return len(one.inputFiles())
+
+    compact_raw(spark, path)
+    for n in range(6):
+        put(f"l{n}", f"f{n}", f"g{n}")
+    before = whole()
+    compact_raw(spark, path)
+    assert whole() == 1 < before and not raw_files._loads(spark, path)
+    put("l2", "f2")                 # put again: what it had put before is gone
+    put("new", "h")
+    assert whole() <= 3
+    real = raw_files.remove
+    monkeypatch.setattr(raw_files, "remove", lambda *arguments: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        compact_raw(spark, path)    # broken off before the loads are removed
+    whole()
+    monkeypatch.setattr(raw_files, "remove", real)
+    compact_raw(spark, path)
+    assert whole() == 1 and len(raw_files._compacted(spark, path)) == 1
