@@ -344,3 +344,18 @@ def test_lines_query(spark, sf_dir):
             assert r.kept_md5 == hashlib.md5(texts[i].encode()).hexdigest()
     repeated = {i for i in texts for line in texts[i].split("\n") if len(line.strip(" ")) >= 10 and exact[line.strip(" \t\r")] != i}
     assert all(got[i].lines_removed > 0 for i in repeated)
+
+
+def test_numbered_lines_of_one_template_make_few_pairs(spark, monkeypatch):
+    """Lines that differ in their digits alone are told apart by counts, before pairs of them are written."""
+    chance, made, real = random.Random(11), {}, line_dedup.materialize
+
+    def counted(df, label):
+        kept = real(df, label)
+        made[label] = kept.count()
+        return kept
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    text = "\n".join(f"Invoice {chance.randint(10**11, 10**12)} was settled in full by the customer" for _ in range(300))
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert out.text == text and out.lines_removed == 0
+    assert made["matched"] > 300 and made["near"] < 20 * 300
