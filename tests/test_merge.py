@@ -120,15 +120,6 @@ def test_rejects(spark):
         assert results.accepted(marked).count() == 2 and results.rejected(marked).count() == 3
 
 
-def test_update_may_set_null_and_ignores_unknown_keys(spark):
-    schema = "unique_id string, resume_name string, resume_content string, resume_key_aspect string, score int"
-    rows = spark.createDataFrame([("a", "n", "c", "old", 1), ("b", "n", "c", "old", 2)], schema)
-    updates = spark.createDataFrame([("a", None, None), ("z", "x", 9)],
-                                    "unique_id string, resume_key_aspect string, score int")
-    got = results.apply_updates(rows, updates).sort("unique_id").collect()
-    assert [(r.unique_id, r.resume_key_aspect, r.score) for r in got] == [("a", None, None), ("b", "old", 2)]
-
-
 def test_report_counts_overwritten(spark):
     rows = spark.createDataFrame(
         [(1, "a", "txt", "ok", 1, -1, "u1"), (1, "a", "txt", "ok", 2, -1, "u2"), (2, "a", "txt", "ok", 1, -1, "u3"),
