@@ -56,9 +56,12 @@ def matched(found: Column, terms: Column) -> Column:
     return F.array_intersect(terms, found)
 
 
-def phrase_hits(clean: Column, wanted: Sequence[str]) -> Column:
-    """How many different phrases of a fixed list occur in a cleaned text as whole words."""
-    return F.size(matched(phrases(tokens(clean), longest(wanted)), term_array(wanted)))
+def phrase_hits(words: Column, wanted: Sequence[str]) -> Column:
+    """How many different phrases of a fixed list occur among the words of a text.
+
+    Give a plain column of words: an expression would be evaluated for every phrase.
+    """
+    return F.size(matched(phrases(words, longest(wanted)), term_array(wanted)))
 
 
 def run_starts(sorted_words: Column) -> Column:
