@@ -68,7 +68,8 @@ def _job_texts(spark, sf_dir):
 
 def _dictionary(spark, sf_dir):
     """Terms of each job by their place in its text, and terms of all jobs."""
-    words = jobs(spark, sf_dir).select("request_id", F.split(clean_text(F.col("jd_text")), " ").alias("w"))
+    # Written down: otherwise the text would be cleaned again for every word of it.
+    words = materialize(jobs(spark, sf_dir).select("request_id", F.split(clean_text(F.col("jd_text")), " ").alias("w")), "job_words")
     placed = words.select("request_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
     word, none = F.element_at("w", F.col("i")), F.lit(None)
     pair = F.concat_ws("-", word, F.get("w", F.col("i")))
