@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.text import clean_text
@@ -16,6 +16,7 @@ from tallyfolio.plans.registry import query
 from tallyfolio.plans.samples import documents, docx_bytes, jobs, stored_files, uploads, zip_bytes
 from tallyfolio.plans.store_queries import new_results_table
 from tallyfolio.plans.stubs import stub_models
+from tallyfolio.slices import all_slices
 from tallyfolio.sources.archives import expand_archives as expand
 from tallyfolio.sources.decoders import decode_docx, decode_text, decode_with
 from tallyfolio.sources.files import list_folders, read_folder
@@ -42,12 +43,14 @@ def src_files(spark, sf_dir):
 
 def _packed(spark, sf_dir, pack, name: str):
     """``(doc_id, name, content)`` with the text of each document packed into bytes."""
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "name": [f"{name}{i}" for i in batch["doc_id"]],
-                                "content": [pack(i, text) for i, text in zip(batch["doc_id"], batch["text"])]})
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in all_slices(batches):
+            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch["doc_id"], "name": pa.array([f"{name}{i}" for i in ids], pa.string()),
+                "content": pa.array([pack(i, text) for i, text in zip(ids, texts)], pa.binary())})
     rows = documents(spark, sf_dir).select("doc_id", "text")
-    return rows.mapInPandas(build, "doc_id long, name string, content binary")
+    return rows.mapInArrow(build, "doc_id long, name string, content binary")
 
 
 def _archive(number: int, text: str) -> bytes:
