@@ -7,13 +7,14 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfolio.sources.files import MAX_LENGTH, file_system
+from tallyfolio.slices import all_slices
+from tallyfolio.sources.files import CHUNK, MAX_LENGTH, file_system
 from tallyfolio.workspace import materialize
 
-_CHUNK = 32 << 20
 RANGE = 128 << 20       # bytes of an archive whose members one task reads
 MEMBERS = 50_000        # or so many members
 
@@ -36,6 +37,32 @@ def _members(data: bytes) -> Iterator[tuple[int, str, bytes | None, str | None]]
                 yield number, info.filename, *_member(archive, info)
 
 
+class _Held:
+    """Members that leave the task together: their batch's ``keep`` columns and archive, member, name, content, error."""
+
+    def __init__(self, batch: pa.RecordBatch, keep: list[str]) -> None:
+        self.batch, self.keep, self.rows, self.bytes = batch, keep, [], 0
+
+    def add(self, place: int, archive: str, member: int | None, name: str | None, content: bytes | None, error: str | None) -> Iterator[pa.RecordBatch]:
+        """Hold a member of the archive in row ``place`` of the batch; what would be too much with it goes first."""
+        size = len(content or b"")
+        if self.bytes + size > CHUNK:
+            yield from self.out()
+        self.rows.append((place, archive, member, name, content, error))
+        self.bytes += size
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        place, *columns = zip(*self.rows)
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string()]
+        kept = [self.batch[c].take(pa.array(place, pa.int64())) for c in self.keep]
+        batch = pa.RecordBatch.from_arrays([*kept, *[pa.array(c, kind) for c, kind in zip(columns, kinds)]],
+                                           names=[*self.keep, "archive", "member", "name", "content", "error"])
+        self.rows, self.bytes = [], 0
+        yield batch
+
+
 def expand_archives(archives: DataFrame, keep: list[str], spread: bool = True) -> DataFrame:
     """One row per member of each archive: ``keep`` columns, archive, member, name, content, error.
 
@@ -47,26 +74,19 @@ def expand_archives(archives: DataFrame, keep: list[str], spread: bool = True) -
     source = archives.select(*keep, "name", "content")
     kept = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kept}, archive string, member int, name string, content binary, error string"
-    columns = [*keep, "archive", "member", "name", "content", "error"]
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, held = [], 0
-            for row in batch.itertuples(index=False):
-                head = [getattr(row, c) for c in keep]
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in all_slices(batches):
+            held = _Held(batch, keep)
+            for place, (name, content) in enumerate(zip(batch["name"].to_pylist(), batch["content"].to_pylist())):
                 try:
-                    for number, name, content, error in _members(row.content):
-                        rows.append([*head, row.name, number, name, content, error])
-                        held += len(content or b"")
-                        if held >= _CHUNK:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows, held = [], 0
+                    for member in _members(content):
+                        yield from held.add(place, name, *member)
                 except Exception as failure:
-                    rows.append([*head, row.name, None, None, None, f"{type(failure).__name__}: {failure}"])
-            if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({"member": "Int32"})
+                    yield from held.add(place, name, None, None, None, f"{type(failure).__name__}: {failure}")
+            yield from held.out()
 
-    members = source.mapInPandas(expand, schema)
+    members = source.mapInArrow(expand, schema)
     return members.repartition(*keep, "archive", "member") if spread else members
 
 
@@ -140,32 +160,24 @@ def expand_listed(listing: DataFrame, keep: list[str]) -> DataFrame:
                         .mapInPandas(_directory, "folder string, path string, first long, last long, error string"), "archives")
     ranges = found.join(named, ["folder", "path"])
     kept = ", ".join(f"`{c}` {listing.schema[c].dataType.simpleString()}" for c in keep)
-    columns = [*keep, "archive", "member", "name", "content", "error"]
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, held = [], 0
-            for row in batch.itertuples(index=False):
-                head = [getattr(row, c) for c in keep]
-                if row.error is not None:
-                    rows.append([*head, row.name, None, None, None, row.error])
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in all_slices(batches):
+            held = _Held(batch, keep)
+            told = zip(*(batch[c].to_pylist() for c in ("folder", "path", "name", "first", "last", "error")))
+            for place, (folder, path, name, first, last, error) in enumerate(told):
+                if error is not None:
+                    yield from held.add(place, name, None, None, None, error)
                     continue
                 try:
-                    with _open(row.folder, row.path) as file, zipfile.ZipFile(file) as archive:
-                        for number, info in enumerate(archive.infolist()[int(row.first):int(row.last) + 1], int(row.first)):
-                            if info.is_dir():
-                                continue
-                            content, error = _member(archive, info)
-                            rows.append([*head, row.name, number, info.filename, content, error])
-                            held += len(content or b"")
-                            if held >= _CHUNK:
-                                yield pd.DataFrame(rows, columns=columns).astype({"member": "Int32"})
-                                rows, held = [], 0
+                    with _open(folder, path) as file, zipfile.ZipFile(file) as archive:
+                        for number, info in enumerate(archive.infolist()[first:last + 1], first):
+                            if not info.is_dir():
+                                yield from held.add(place, name, number, info.filename, *_member(archive, info))
                 except OSError as failure:          # the archive has gone or changed since it was listed
-                    rows.append([*head, row.name, None, None, None, f"{type(failure).__name__}: {failure}"])
-            if rows:
-                yield pd.DataFrame(rows, columns=columns).astype({"member": "Int32"})
+                    yield from held.add(place, name, None, None, None, f"{type(failure).__name__}: {failure}")
+            yield from held.out()
 
     count = max(1, min(ranges.count(), 64 * named.sparkSession.sparkContext.defaultParallelism))
     dealt = ranges.repartition(count, "folder", "path", F.coalesce("first", F.lit(-1)))
-    return dealt.mapInPandas(expand, f"{kept}, archive string, member int, name string, content binary, error string")
+    return dealt.mapInArrow(expand, f"{kept}, archive string, member int, name string, content binary, error string")

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.naming import ARCHIVE_FORMAT, UNSUPPORTED, route_format
+from tallyfolio.slices import all_slices
 from tallyfolio.workspace import materialize
 
 TOO_LARGE = "too_large"
@@ -25,7 +27,7 @@ LISTING = "folder string, path string, name string, length long, source_seq long
 _FOUND = LISTING + ", is_folder boolean"
 _ROWS = 10_000
 _FOLDERS_A_TASK = 16
-_CHUNK = 32 << 20
+CHUNK = 4 << 20         # bytes of contents that leave a task together
 _READ_A_TASK = 256 << 20
 
 
@@ -126,18 +128,24 @@ def _content(folder: str, path: str) -> tuple[bytes | None, str | None]:
         return None, UNREADABLE
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contents of the wanted files, in chunks of bounded size."""
-    for batch in batches:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents of the wanted files, in chunks of bounded size; the last two columns are status and wanted."""
+    def out(batch: pa.RecordBatch, rows: list[tuple], end: int) -> pa.RecordBatch:
+        contents, states = zip(*rows)
+        told = batch.slice(end - len(rows), len(rows))
+        return pa.RecordBatch.from_arrays([*told.columns[:-2], pa.array(contents, pa.binary()), pa.array(states, pa.string())],
+                                          names=[*batch.schema.names[:-2], "content", "status"])
+
+    for batch in all_slices(batches):
         rows, held = [], 0
-        for row in batch.itertuples(index=False):
-            content, status = _content(row.folder, row.path) if row.wanted else (None, None)
-            rows.append((*row[:-2], content, status or row.status))
-            held += len(content or b"")
-            if held >= _CHUNK:
-                yield pd.DataFrame(rows, columns=[*batch.columns[:-2], "content", "status"])
+        for place, (folder, path, told, wanted) in enumerate(zip(*(batch[c].to_pylist() for c in ("folder", "path", "status", "wanted")))):
+            content, status = _content(folder, path) if wanted else (None, None)
+            if rows and held + len(content or b"") > CHUNK:
+                yield out(batch, rows, place)
                 rows, held = [], 0
-        yield pd.DataFrame(rows, columns=[*batch.columns[:-2], "content", "status"])
+            rows.append((content, status or told))
+            held += len(content or b"")
+        yield out(batch, rows, batch.num_rows)
 
 
 def _status(length: Column, route: Column) -> Column:
@@ -164,7 +172,7 @@ def read_listed(listing: DataFrame) -> DataFrame:
     tasks = max(spark.sparkContext.defaultParallelism, int(size) // _READ_A_TASK + 1)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in ["folder", *kept, "is_archive"]) + ", content binary, status string"
-    return rows.repartition(tasks, "folder", "path").mapInPandas(_read, schema).drop("folder")
+    return rows.repartition(tasks, "folder", "path").mapInArrow(_read, schema).drop("folder")
 
 
 def read_folder(spark: SparkSession, folder: str, listing: DataFrame | None = None) -> DataFrame:
