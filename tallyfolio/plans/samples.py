@@ -10,11 +10,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfolio.functions.naming import make_id
+from tallyfolio.slices import all_slices
 from tallyfolio.sources.files import file_system
 from tallyfolio.workspace import materialize, new_folder, spread_small
 
@@ -105,14 +106,14 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", F.col("doc_id").alias("source_seq"),
         F.concat(F.lit("cv"), F.col("n_chars") % 97).alias("stem"), "text")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            files = [upload_of(*row) for row in zip(batch["source_seq"], batch["stem"], batch["text"])]
-            yield pd.DataFrame({
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in all_slices(batches):
+            files = [upload_of(*row) for row in zip(*(batch[c].to_pylist() for c in ("source_seq", "stem", "text")))]
+            yield pa.RecordBatch.from_pydict({
                 "request_id": batch["request_id"], "source_seq": batch["source_seq"],
-                "name": [name for name, _ in files], "content": [content for _, content in files]})
+                "name": pa.array([name for name, _ in files], pa.string()), "content": pa.array([content for _, content in files], pa.binary())})
 
-    packed = docs.mapInPandas(pack, "request_id long, source_seq long, name string, content binary")
+    packed = docs.mapInArrow(pack, "request_id long, source_seq long, name string, content binary")
     return materialize(packed, "uploads")
 
 
@@ -123,17 +124,17 @@ def stored_files(spark: SparkSession, sf_dir: str) -> str:
     """
     folder = new_folder(spark, "files")
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
-        for batch in batches:
-            for number, text in zip(batch["doc_id"], batch["text"]):
+        for batch in all_slices(batches):
+            for number, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 empty = number % 11 == 0
                 place = f"{base}/d{number % 16}" + ("/sub" if number % 3 == 0 else "")
                 system.create_dir(place, recursive=True)
                 name = ("", "_", ".", "", "")[number % 5] + f"cv{number // 16}" + (".xyz" if number % 7 == 5 and not empty else ".txt")
                 with system.open_output_stream(f"{place}/{name}") as file:
                     file.write(b"" if empty else text.encode())
-            yield pd.DataFrame({"n": [len(batch)]})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    documents(spark, sf_dir).select("doc_id", "text").mapInPandas(store, "n long").agg(F.sum("n")).first()
+    documents(spark, sf_dir).select("doc_id", "text").mapInArrow(store, "n long").agg(F.sum("n")).first()
     return folder
