@@ -11,11 +11,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfolio.functions import evidence as ev
+from tallyfolio.slices import all_slices, column_slices
 from tallyfolio.workspace import fits_broadcast
 
 # Kinds of dictionary terms, and the columns they become.
@@ -73,26 +74,29 @@ class Trie:
 _built: dict[str, Trie] = {}
 
 
-def _trie(name: str, rows) -> Trie:
+def _trie(name: str, sent) -> Trie:
     """The trie of a broadcast, built once in this worker; a former one is let go."""
     if name not in _built:
         _built.clear()
-        _built[name] = Trie(rows.value)
+        parts = all_slices(pa.ipc.open_stream(sent.value))
+        _built[name] = Trie(row for part in parts for row in zip(*(column.to_pylist() for column in part.columns)))
     return _built[name]
 
 
 def _walk(dictionary: DataFrame, request: Column, clean: Column) -> Column:
-    rows = [tuple(row) for row in dictionary.select(F.col("request_id").cast("string"), "kind", "term", "critical", "rank").collect()]
-    name, sent = uuid.uuid4().hex, dictionary.sparkSession.sparkContext.broadcast(rows)
+    rows, packed = dictionary.select(F.col("request_id").cast("string"), "kind", "term", "critical", "rank").toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(packed, rows.schema) as stream:     # one value to a worker, not an object for each term beside the trie
+        stream.write_table(rows)
+    name, sent = uuid.uuid4().hex, dictionary.sparkSession.sparkContext.broadcast(packed.getvalue().to_pybytes())
 
-    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         trie = _trie(name, sent)
         columns = [*COUNTED, DEGREE]
-        for requests, texts in batches:
-            rows = [trie.found((text or "").lower().split(" "), request) for request, text in zip(requests.tolist(), texts.tolist())]
-            yield pd.DataFrame(rows, columns=columns, dtype="int32")
+        for requests, texts in column_slices(batches):
+            rows = [trie.found((text or "").lower().split(" "), request) for request, text in zip(requests, texts)]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in zip(*rows)], names=columns)
 
-    return F.pandas_udf(found, FOUND)(request.cast("string"), clean)
+    return F.arrow_udf(found, FOUND)(request.cast("string"), clean)
 
 
 def _join(documents: DataFrame, dictionary: DataFrame, key: str, request: str, clean: str) -> DataFrame:
