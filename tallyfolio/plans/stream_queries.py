@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyfolio.plans import sql
@@ -11,6 +11,7 @@ from tallyfolio.plans.registry import query
 from tallyfolio.plans.samples import documents, jobs, with_request
 from tallyfolio.plans.store_queries import new_results_table
 from tallyfolio.plans.stubs import stub_models
+from tallyfolio.slices import all_slices
 from tallyfolio.sources.files import file_system
 from tallyfolio.streaming.intake import Arrivals, score_stream
 from tallyfolio.workspace import new_folder
@@ -21,15 +22,18 @@ WAVES = 3
 def _store_wave(rows, folder: str) -> None:
     """Every row as a file ``folder/<request>/<wave>/<name>``."""
     def store(batches):
-        system, base = file_system(folder)
-        for batch in batches:
-            for path, text in zip(batch["path"], batch["text"]):
-                system.create_dir(f"{base}/{path.rsplit('/', 1)[0]}", recursive=True)
+        (system, base), made = file_system(folder), set()
+        for batch in all_slices(batches):
+            for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
+                place = f"{base}/{path.rsplit('/', 1)[0]}"
+                if place not in made:
+                    system.create_dir(place, recursive=True)
+                    made.add(place)
                 with system.open_output_stream(f"{base}/{path}") as file:
                     file.write(text.encode())
-            yield pd.DataFrame({"n": [len(batch)]})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    rows.mapInPandas(store, "n long").agg(F.sum("n")).first()
+    rows.mapInArrow(store, "n long").agg(F.sum("n")).first()
 
 
 @query("stream_arrivals", f"""WITH files AS (
