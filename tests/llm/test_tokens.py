@@ -240,3 +240,26 @@ def test_language_model_of_nothing(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None), (2, ""), (None, "c")], "doc_id bigint, text string")
     got = sorted(map(tuple, pitman_yor.pitman_yor_scores(rows, F.lit(None).cast("boolean")).collect()))
     assert got == [(1, 3, 0, 0, 0.0, 0.0), (2, 2, 0, 0, 0.0, 0.0)]
+
+
+def test_what_is_dealt_out_does_not_grow_with_the_parts():
+    chance = random.Random(3)
+    texts = [" ".join(f"w{int(chance.paretovariate(0.8))}" for _ in range(700)) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([chance.getrandbits(62) for _ in texts], pa.int64()), "text": texts, "train": [True] * len(texts)})
+    few, many = (sum(len(b) for got in pitman_yor._deal(np.zeros(0, np.uint64), parts)(iter([batch])) for b in got["blob"].to_pylist()) for parts in (4, 400))
+    assert many < 1.25 * few
+
+
+def test_an_id_in_several_batches_is_summed(spark):
+    rows = spark.createDataFrame([(i % 7, "a b " * i) for i in range(70)], "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: r for r in pitman_yor.pitman_yor_scores(rows, F.lit(True), parts=5).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {k: sum(2 * i + 1 for i in range(k, 70, 7)) for k in range(7)}
+    assert {r.train_tokens for r in got.values()} == {sum(2 * i + 1 for i in range(70))}
+    assert all(r.n_known == r.n_tokens for r in got.values())
+
+
+def test_a_batch_without_its_pairs_is_refused():
+    uses = pa.table({"part": [-6], "batch": [5], "blob": pa.array([b""], pa.binary())})
+    none = pa.table({"part": pa.array([], pa.int64()), "home": pa.array([], pa.int64()), "blob": pa.array([], pa.binary()), "total": pa.array([], pa.int64())})
+    with pytest.raises(ValueError):
+        pitman_yor._sum_scores((pa.scalar(-6),), uses, none)
