@@ -234,6 +234,25 @@ def test_tables_grow_with_customers_and_base():
     assert 1 < few < many < 200
 
 
+def test_every_customer_of_a_frequent_dish_is_seated_by_the_rule():
+    """Tables and weights spread as those of customers who come in one by one; without a discount the weight is fixed."""
+    chance, seed = np.random.default_rng(4), np.arange(8000, dtype=np.uint64)
+    for n, new, discount in ((17, 0.5, 0.7), (400, 3.0, 0.9), (300, 1000.0, 0.6), (2000, 50.0, 0.7)):
+        tables, weight = pitman_yor.seat(np.full(8000, n, np.int64), np.full(8000, 10.0), np.full(8000, new / 10), discount, seed, 2)
+        one, sums = np.ones(8000), np.full(8000, math.log(new))
+        for seated in range(1, n):
+            whole = new + seated - discount * one
+            sums += np.log(whole)
+            one += chance.random(8000) * whole < new
+        assert 1 <= tables.min() and tables.max() <= n
+        for got, wanted in ((tables, one), (weight, sums)):
+            assert abs(got.mean() - wanted.mean()) < 5 * wanted.std() / math.sqrt(4000)
+            assert math.isclose(got.std(), wanted.std(), rel_tol=0.05)
+    count = np.array([1, 2, 16, 17, 18, 100, 70_000], np.int64)
+    _, weight = pitman_yor.seat(count, np.full(7, 4.0), np.full(7, 0.3), 0.0, seed[:7], 0)
+    assert np.allclose(weight, [sum(math.log(1.2 + i) for i in range(n)) for n in count], rtol=1e-9)
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert pitman_yor.pitman_yor_scores(empty, F.lit(True)).count() == 0
