@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyfolio.functions.prompts import chat_reply, chat_request, request_body
 from tallyfolio.operators.calls import CallPolicy, ModelCall, Window
 from tallyfolio.schemas import STAGE_REPLIES
-from tallyfolio.workspace import lookup_join, materialize, new_folder
+from tallyfolio.workspace import lookup_join, materialize, new_folder, remove, written
 
 ModelFactory = Callable[[], ModelCall]
 
@@ -96,7 +96,7 @@ def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, p
     The stage table is written before anything reads the replies: neither a lost executor nor a second use
     of the result calls the model again. With a ``table`` path of the caller, only calls that it holds no reply
     for are made: a call that failed before is asked again. Such a table is filled in up to ``commits`` ranges
-    of the call key, so a run that dies keeps the ranges it has finished.
+    of the call key, so a run that dies keeps the ranges it has finished. The requests are removed once they are answered.
     """
     spark = calls.sparkSession
     if table is None:
@@ -104,19 +104,23 @@ def run_stage(calls: DataFrame, model: ModelFactory, table: str | None = None, p
         call_model(calls, model, policy).write.parquet(path)
         replies = spark.read.schema(STAGE_REPLIES).parquet(path)
         return replies.select("unique_id", chat_reply(F.col("body")).alias("reply"), "error")
+    folder, asked = new_folder(spark, "calls"), None
     if _exists(spark, table):
         # Requests are written only of the calls that are left.
         asked = materialize(calls.select("unique_id", "call_key"), "asked")
         done = spark.read.schema(STAGE_REPLIES).parquet(table).filter(F.col("body").isNotNull())
         left = materialize(asked.join(done.select("call_key"), "call_key", "left_anti").select("call_key").distinct(), "left")
-        open_calls = materialize(lookup_join(calls, left, ["call_key"], "left_semi"), "calls")
-    else:
-        open_calls = materialize(calls, "calls")
-        asked = open_calls.select("unique_id", "call_key")
-    commits = max(1, min(commits, open_calls.count() // CALLS_A_COMMIT))
-    for number in range(commits):
-        some = open_calls.filter(F.pmod(F.xxhash64("call_key"), F.lit(commits)) == number)
-        call_model(some, model, policy).write.mode("append").parquet(table)
+        calls = lookup_join(calls, left, ["call_key"], "left_semi")
+    try:
+        open_calls = written(calls, folder)
+        if asked is None:
+            asked = materialize(open_calls.select("unique_id", "call_key"), "asked")
+        commits = max(1, min(commits, open_calls.count() // CALLS_A_COMMIT))
+        for number in range(commits):
+            some = open_calls.filter(F.pmod(F.xxhash64("call_key"), F.lit(commits)) == number)
+            call_model(some, model, policy).write.mode("append").parquet(table)
+    finally:
+        remove(spark, folder)
     held = spark.read.schema(STAGE_REPLIES).parquet(table)
     # Of a call that was asked several times a reply comes before an error.
     best = (lookup_join(held, asked.select("call_key").distinct(), ["call_key"], "left_semi").groupBy("call_key")

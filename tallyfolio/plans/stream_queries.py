@@ -14,7 +14,7 @@ from tallyfolio.plans.stubs import stub_models
 from tallyfolio.slices import all_slices
 from tallyfolio.sources.files import file_system
 from tallyfolio.streaming.intake import Arrivals, score_stream
-from tallyfolio.workspace import new_folder
+from tallyfolio.workspace import folders_in, new_folder, remove, scratch
 
 WAVES = 3
 
@@ -36,6 +36,20 @@ def _store_wave(rows, folder: str) -> None:
     rows.mapInArrow(store, "n long").agg(F.sum("n")).first()
 
 
+def _remove_landed(spark, folder: str) -> None:
+    """Remove the files of all requests in tasks, as they were made."""
+    def drop(batches):
+        system, base = file_system(folder)
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                system.delete_dir_contents(f"{base}/{name}", missing_dir_ok=True)
+            yield batch
+
+    names = spark.createDataFrame([(name,) for name in folders_in(spark, folder)], "name string")
+    names.repartition(spark.sparkContext.defaultParallelism).mapInArrow(drop, "name string").count()
+    remove(spark, folder)
+
+
 @query("stream_arrivals", f"""WITH files AS (
     SELECT {sql.REQUEST} AS request_id, doc_id // {sql.N_JOBS} // {WAVES} AS slot, doc_id // {sql.N_JOBS} % {WAVES} AS wave,
       {sql.clean("text")} AS content FROM documents),
@@ -57,7 +71,10 @@ def stream_arrivals(spark, sf_dir):
     asked = jobs(spark, sf_dir).select(F.concat(F.lit("r"), "request_id").alias("request_id"), "jd_text")
     landing, work, store = new_folder(spark, "landing"), new_folder(spark, "stream"), new_results_table(spark)
     for wave in range(WAVES):
-        _store_wave(files.filter(F.col("wave") == wave), landing)
+        with scratch(spark):
+            _store_wave(files.filter(F.col("wave") == wave), landing)
         arrivals = Arrivals(spark, [landing], f"{work}/arrivals")
         score_stream(arrivals, asked, stub_models(), store, f"{work}/checkpoint").awaitTermination()
+    _remove_landed(spark, landing)      # the table holds all that is returned
+    remove(spark, work)
     return store.read().select("load_id", "resume_name", "resume_content", "resume_key_aspect", "score")

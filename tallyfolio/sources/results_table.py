@@ -13,6 +13,7 @@ from tallyfolio.workspace import lookup_join, materialize
 
 QUARANTINE_COLUMNS = ["unique_id", "name", "reason", "error"]
 SET = ["resume_key_aspect", "score"]
+CODEC = "zstd"      # a row is written once and stays: texts take about 40 % less than with the default
 FEW_IDS = 1000      # ids that are written into a filter, which the files' bloom filters answer
 
 
@@ -50,7 +51,7 @@ class ResultsTable:
 
     def _publish(self, version: int, rows: DataFrame) -> None:
         folder = f"{self.location}/versions/{version}-{uuid.uuid4().hex}"
-        rows.select("unique_id", "of_load", *SET).write.parquet(folder)
+        rows.select("unique_id", "of_load", *SET).write.option("compression", CODEC).parquet(folder)
         self.spark.sql(f"ALTER TABLE {self.scores} ADD PARTITION (version={version}) LOCATION '{folder}'")
 
     def insert(self, load_id: str, rows: DataFrame) -> None:
@@ -58,7 +59,7 @@ class ResultsTable:
         folder = f"{self.location}/loads/{checked_load(load_id)}/{uuid.uuid4().hex}"
         version = max([0, *self._versions()])
         (rows.select(*RESULT_COLUMNS, F.lit(version).cast("bigint").alias("inserted")).write
-         .option("parquet.bloom.filter.enabled#unique_id", "true").parquet(folder))
+         .option("compression", CODEC).option("parquet.bloom.filter.enabled#unique_id", "true").parquet(folder))
         partition = f"PARTITION (load_id='{load_id}')"
         self.spark.sql(f"ALTER TABLE {self.documents} ADD IF NOT EXISTS {partition} LOCATION '{folder}'")
         self.spark.sql(f"ALTER TABLE {self.documents} {partition} SET LOCATION '{folder}'")

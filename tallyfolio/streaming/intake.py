@@ -15,6 +15,7 @@ from tallyfolio.sources.intake import read_uploads
 from tallyfolio.sources.results_table import ResultsTable
 from tallyfolio.streaming.latest import LatestNames
 from tallyfolio.streaming.ledger import FOLD_AFTER, Ledger
+from tallyfolio.workspace import folders_in, remove, scratch
 
 _FILE = ["folder", "path", "length", "source_seq"]
 
@@ -39,12 +40,13 @@ class Arrivals:
             return known
         before = self.ledger.before(number)
         self.ledger.fold(number, before)
-        new = list_folders(self.spark, self.folders).join(self.ledger.before(number).select(*_FILE), _FILE, "left_anti")
-        if self.max_files is not None:
-            new = new.orderBy("source_seq", "folder", "path").limit(self.max_files)
-        if new.isEmpty():
-            return None
-        return self.ledger.write(number, new)
+        with scratch(self.spark):
+            new = list_folders(self.spark, self.folders).join(self.ledger.before(number).select(*_FILE), _FILE, "left_anti")
+            if self.max_files is not None:
+                new = new.orderBy("source_seq", "folder", "path").limit(self.max_files)
+            if new.isEmpty():
+                return None
+            return self.ledger.write(number, new)
 
 
 def uploads(listing: DataFrame) -> DataFrame:
@@ -78,14 +80,19 @@ def score_stream(arrivals: Arrivals, jobs: DataFrame, models: Models, results: R
     Of all files of a request and name the last one has a score, whichever micro-batches they came in; a file that is
     overtaken loses its score. The load and the stage tables are named by the micro-batch number, so a micro-batch that is
     repeated after a failure replaces its own rows and asks the models only for what they have not answered.
+
+    What a micro-batch writes on its way is removed at its end, its stage tables by the next one, when it can't be repeated any more.
     """
     latest = LatestNames(results.spark, f"{checkpoint}/latest", fold_after)
 
     def score(listing: DataFrame, number: int) -> None:
-        files = uploads(listing)
+        for done in folders_in(results.spark, f"{checkpoint}/stages"):
+            if int(done) < number:
+                remove(results.spark, f"{checkpoint}/stages/{done}")
         stages = {stage: f"{checkpoint}/stages/{number}/{stage}" for stage in ("job", "resume", "score")}
         present = listing.select(F.substring_index("path", "/", 1).alias("request_id")).distinct()
-        score_batch(files, jobs.join(present, "request_id", "left_semi"), models, results, f"stream-{number}",
-                    raw_path, decoders, stages, latest=lambda heads: latest.take(number, heads))
+        with scratch(results.spark):
+            score_batch(uploads(listing), jobs.join(present, "request_id", "left_semi"), models, results, f"stream-{number}",
+                        raw_path, decoders, stages, latest=lambda heads: latest.take(number, heads))
 
     return each_arrival(arrivals, score, f"{checkpoint}/progress", every)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import glob
 import os
 import random
 import uuid
@@ -20,6 +21,7 @@ from tallyfolio.sources.results_table import ResultsTable
 from tallyfolio.streaming.intake import Arrivals, each_arrival, score_stream, uploads
 from tallyfolio.streaming.latest import LatestNames
 from tallyfolio.streaming.ledger import Ledger
+from tallyfolio.workspace import SHUFFLE_CLEANUP, materialize, scratch, shared_folder
 
 
 def put(folder, path, content, seconds):
@@ -184,3 +186,32 @@ def test_listing_is_left_out_by_size_and_time(spark, tmp_path):
     assert [r.length for r in arrivals.listed(1).collect()] == [2]
     assert list_folders(spark, [str(tmp_path / "landing")]).count() == 1 and arrivals.listed(2) is None
     assert "content" not in arrivals.listed(1).columns and arrivals.listed(1).filter(F.col("folder") == str(tmp_path / "landing")).count() == 1
+
+
+def test_micro_batches_leave_only_what_is_read_again(spark, tmp_path):
+    """Working tables go with their micro-batch, stage tables with the next one, shuffle files with their query."""
+    jobs = spark.createDataFrame(JOBS, "request_id string, jd_text string")
+    table, before = new_table(spark, tmp_path), spark.conf.get(SHUFFLE_CLEANUP)
+    held = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/tallyfolio/*"))
+    for number, wave in enumerate(WAVES[:2]):
+        for path, content, seconds in wave:
+            put(tmp_path / "landing", path, content, seconds)
+        score_stream(Arrivals(spark, [str(tmp_path / "landing")], str(tmp_path / "arrivals")), jobs, stub_models(), table, str(tmp_path / "checkpoint")).awaitTermination(180)
+        assert [n for n in os.listdir(tmp_path / "checkpoint" / "stages") if not n.startswith(".")] == [str(number)]
+        assert set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/tallyfolio/*")) == held
+    assert table.read().count() == 6 and spark.conf.get(SHUFFLE_CLEANUP) == before
+
+
+def test_scratch_removes_its_own_tables_alone(spark):
+    before, folders = spark.conf.get(SHUFFLE_CLEANUP), lambda frame: [os.path.exists(p.removeprefix("file://")) for p in frame.inputFiles()]
+    outer = materialize(spark.range(3), "outer")
+    with scratch(spark):
+        middle = materialize(spark.range(5), "middle")
+        with pytest.raises(ValueError), scratch(spark):
+            inner = materialize(spark.range(4), "inner")
+            files = [p.removeprefix("file://") for p in inner.inputFiles()]
+            assert inner.repartition(3).groupBy("id").count().count() == 4 and spark.conf.get(SHUFFLE_CLEANUP) == "true"
+            raise ValueError("down")
+        assert not any(map(os.path.exists, files)) and middle.count() == 5 and spark.conf.get(SHUFFLE_CLEANUP) == "true"
+    assert not any(folders(middle)) and all(folders(outer)) and outer.count() == 3
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
